@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from riffle.llm import simhash
+from riffle.llm import lines, mixing, sharding, simhash
 
-MODULES = [simhash]
+MODULES = [simhash, lines, mixing, sharding]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
