@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from riffle.llm import bpe, lines, mixing, sharding, simhash
+from riffle.llm import bpe, lines, mixing, quality, sharding, simhash
 
-MODULES = [simhash, lines, mixing, sharding, bpe]
+MODULES = [simhash, lines, mixing, sharding, bpe, quality]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
