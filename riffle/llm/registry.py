@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from riffle.llm import audio, bpe, licences, lines, mixing, quality, sharding, simhash
+from riffle.llm import ann, audio, bpe, licences, lines, mixing, quality, sharding, simhash
 
-MODULES = [simhash, lines, mixing, sharding, bpe, quality, audio, licences]
+MODULES = [simhash, lines, mixing, sharding, bpe, quality, audio, licences, ann]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
