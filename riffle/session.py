@@ -12,13 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, keep it in the shared checkpoint folder and cut its lineage.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one of ``spark.checkpoint.dir``.
 
-    The folder is the one of ``spark.checkpoint.dir``. Only where no folder is configured
-    (tests, a laptop) a temporary one is set.
+    Only where no folder is configured (tests, a laptop) a temporary one is set.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="riffle-ck-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="riffle-ck-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once, keep it in the shared folder and cut its lineage."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
