@@ -30,15 +30,18 @@ LOWER = bytes(range(256)).replace(bytes(range(65, 91)), bytes(range(97, 123)))
 BLOCK = 1 << 16
 #: Fingerprints of one bucket that one task compares; larger buckets are compared in pairs of blocks.
 MAX_BUCKET = 20_000
+#: Bits that may differ without a look at the texts, where a wider radius is asked for.
+SURE = 4
 #: Buckets up to this size are compared by shifted arrays, all at once.
 SMALL = 48
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of the shingles of a text, repeats included, in blocks of big-endian numbers."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     n = len(words)
     if not n:
-        return 0
+        return
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, n)
     del words
@@ -46,24 +49,29 @@ def fingerprint(text: str | None, shingle: int) -> int:
     start = end - size
     total = max(1, n - shingle + 1)
     end = end[shingle - 1 :] if n >= shingle else end[-1:]
-    ones = np.zeros(64, np.int64)
     for at in range(0, total, BLOCK):
         spans = zip(start[at : min(at + BLOCK, total)].tolist(), end[at : at + BLOCK].tolist(), strict=True)
-        h = np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in spans], dtype=">u8")
+        yield np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in spans], dtype=">u8")
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    ones, total = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, shingle):
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big")
+        total += len(h)
+    return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big") if total else 0
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp``: the SimHash of each whole text over XXH64 (seed 42) of its ``shingle``-word shingles."""
+    """``doc_id, tag, fp``: the SimHash of each whole text over XXH64 (seed 42) of its ``shingle``-word shingles. tag is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "tag", "fp"])
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tag"))
+    return rows.mapInArrow(run, "doc_id long, tag long, fp long")
 
 
 def covering_masks(radius: int, bits: range = range(64)) -> list[int]:
@@ -119,7 +127,9 @@ def small_links(group: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
             break
         at = np.flatnonzero(same & (np.bitwise_count(fp[d:] ^ fp[:-d]) <= radius))
         found.append(np.stack([at, at + d], axis=1))
-    return forest(np.concatenate(found)) if found else np.zeros((0, 2), np.int64)
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    near = np.bitwise_count(fp[pairs[:, 0]] ^ fp[pairs[:, 1]])
+    return forest(pairs[np.argsort(near, kind="stable")])
 
 
 def bucket_links(radius: int, max_bucket: int):
@@ -142,8 +152,9 @@ def bucket_links(radius: int, max_bucket: int):
         if len(pairs := small_links(np.repeat(first, size)[few], some, radius)):
             yield links(some, pairs)
         for at, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-            if len(pairs := tree_links(fp[at : at + n], radius)):
-                yield links(fp[at : at + n], pairs)
+            for r in {min(radius, SURE), radius}:
+                if len(pairs := tree_links(fp[at : at + n], r)):
+                    yield links(fp[at : at + n], pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -181,7 +192,7 @@ def block_links(hot: DataFrame, radius: int, block: int) -> DataFrame:
 
     def compare(part: pa.Table) -> pa.Table:
         fp = np.unique(part.column("a").to_numpy()).view(np.uint64)
-        pairs = tree_links(fp, radius)
+        pairs = np.concatenate([tree_links(fp, r) for r in {min(radius, SURE), radius}])
         return pa.table({"a": fp[pairs[:, 0]].view(np.int64), "b": fp[pairs[:, 1]].view(np.int64)})
 
     return rows.groupBy("t", "k", "i", "j").applyInArrow(compare, "a long, b long")
@@ -218,15 +229,57 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, bands: int = 1, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """One row ``doc_id, fp, component_id`` for each document; component_id is the smallest doc_id that it reaches by links."""
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, bands: int = 1, similarity: float | None = None, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """One row ``doc_id, tag, fp, component_id, stays`` for each document; component_id is the smallest doc_id that it reaches by links.
+
+    With ``similarity``, links of more than ``SURE`` bits between groups that closer links leave apart count only if the
+    shingle sets of both texts have that Jaccard similarity. ``stays`` marks one text of each group: the one with that id,
+    and of several under it the one with the smallest tag.
+    """
     prints = cut(fingerprints(docs, shingle))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(near_links(nodes.select("fp"), radius, bands, max_bucket))
-    tied = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = tied.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    tied = cut(tied.join(least, "root").select("fp", "component_id"))
-    return prints.join(tied, "fp").select("doc_id", "fp", "component_id")
+    nodes = cut(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "tag")).alias("first")))
+    links = near_links(nodes.select("fp"), radius, bands, max_bucket)
+    if similarity is not None:
+        links = similar_links(docs, nodes, links, shingle, similarity)
+    tied = nodes.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = tied.groupBy("root").agg(F.min("first").alias("first"))
+    tied = cut(tied.select("fp", "root").join(least, "root").select("fp", "first"))
+    stays = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag"))
+    return prints.join(tied, "fp").select("doc_id", "tag", "fp", F.col("first.doc_id").alias("component_id"), stays.alias("stays"))
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links of at most SURE bits, and of the others those between two of their groups whose texts are similar enough."""
+    links = links.withColumn("near", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= SURE)
+    sure = links.where("near").select("a", "b")
+    roots = components(sure)
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    far = links.where("NOT near").select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    far = cut(far.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
+    asked = far.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes, "fp")
+    asked = asked.select("fp", F.col("first.doc_id").alias("__id"), F.col("first.tag").alias("__tag"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), "text", F.xxhash64("text").alias("__key"))
+    texts = texts.join(asked, (texts["__doc"] == asked["__id"]) & (texts["__key"] == asked["__tag"])).select("fp", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.concatenate([*shingle_hashes(t.as_py(), shingle), np.zeros(0, np.uint64)]).astype(np.uint64)).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "grams"])
+
+    grams = cut(texts.mapInArrow(run, "fp long, grams array<long>").dropDuplicates(["fp"]))
+    side = lambda x: grams.select(F.col("fp").alias(x), F.col("grams").alias(f"{x}_grams"))
+    both = F.size(F.array_intersect("a_grams", "b_grams"))
+    like = both >= similarity * (F.size("a_grams") + F.size("b_grams") - both)
+    return cut(sure.unionByName(far.join(side("a"), "a").join(side("b"), "b").where(like).select("a", "b")))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 9, bands: int = 2, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates. Rows with a null id stay; repeated rows are one document."""
+    gone = near_duplicates(docs, shingle, radius, bands, similarity).where("NOT stays")
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).distinct()
+    rows = docs.withColumn("__key", F.xxhash64("text"))
+    left = rows.join(gone, (rows["doc_id"] == gone["__id"]) & (rows["__key"] == gone["__tag"]), "left_anti")
+    return left.dropDuplicates(["doc_id", "__key"]).drop("__key")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

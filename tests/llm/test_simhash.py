@@ -82,3 +82,11 @@ def test_edge_cases(spark):
     assert all(g[1] == slow_fingerprint(dict((i, t) for i, t, _ in rows)[g[0]]) for g in got if g[0] not in (4, 5))
     assert simhash.fingerprint(long, 4) == slow_fingerprint(long)
     assert near_duplicates(docs.where(F.lit(False))).count() == 0
+
+
+def test_links_of_dissimilar_texts_do_not_count(spark):
+    texts = ["a b c d e f", "a b c d e f", "x y z u v w", "p q r s t o n m"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = near_duplicates(docs, shingle=5, radius=63, bands=1 << 5, similarity=0.8).collect()
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 0, 2: 2, 3: 3}
+    assert sorted(r.doc_id for r in got if r.stays) == [0, 2, 3]
