@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+from collections import Counter
 
 import duckdb
 
@@ -41,4 +42,5 @@ def same(spark, query, sql: str, sf_dir: str) -> tuple[int, list, list]:
     names = [d[0] for d in cur.description]
     assert sorted(names) == sorted(df.columns), (sorted(names), sorted(df.columns))
     want = rows_of(names, cur.fetchall())
-    return len(got), [r for r in got if r not in set(want)][:3], [r for r in want if r not in set(got)][:3] if len(got) == len(want) else [("rows", len(got), len(want))]
+    extra, missing = Counter(got) - Counter(want), Counter(want) - Counter(got)
+    return len(got), list(extra)[:3], list(missing)[:3]
