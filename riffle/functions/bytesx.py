@@ -42,8 +42,12 @@ def put_le(v: Column, n: int) -> Column:
 
 def octets(data: Column) -> Column:
     """The bytes as an array of numbers."""
-    text = F.hex(data)
-    return F.transform(F.when(F.octet_length(data) > 0, F.sequence(F.lit(0), F.octet_length(data) - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.conv(F.substring(text, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    return F.transform(F.regexp_extract_all(F.hex(data), F.lit(".."), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("int"))
+
+
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def crc32_mpeg2(data: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from riffle.functions.bytesx import crc32_mpeg2, put_be
+from riffle.functions.bytesx import crc32_mpeg2, let, put_be
 
 TS_SIZE, TS_ROOM, TS_ROOM_PCR = 188, 182, 176
 
@@ -51,7 +51,7 @@ def descriptor(tag: int, data: Column) -> Column:
 
 def _section(table_id: int, id_: Column | int, body: Column) -> Column:
     head = _b(_n(table_id, 1), _n(F.octet_length(body) + (0xB000 + 9), 2), _n(id_, 2), "C1", "00", "00", body)
-    return F.concat(head, _n(crc32_mpeg2(head), 4))
+    return let(head, lambda h: F.concat(h, _n(crc32_mpeg2(h), 4)))
 
 
 def pat(stream: Column | int, program: int, pmt_pid: int) -> Column:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from riffle.functions.bytesx import let
+
 # Coefficients of the flat-top window.
 FLAT_TOP = (0.21557895, 0.41663158, 0.277263158, 0.083578947, 0.006947368)
 # Step sizes and index changes of IMA ADPCM.
@@ -94,11 +96,6 @@ def _clamp(v: Column) -> Column:
     return F.greatest(F.lit(-32768), F.least(F.lit(32767), v))
 
 
-def let(value: Column, then) -> Column:
-    """``then`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def _step(index: Column) -> Column:
     return F.get(F.array(*map(F.lit, STEPS)), index)
 
