@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from riffle.plans import continuity_queries, meta_queries, ordered_queries, packet_queries, reassembly_queries, signal_queries
+from riffle.plans import continuity_queries, meta_queries, ordered_queries, packet_queries, reassembly_queries, signal_queries, syntax_queries
 
-MODULES = [continuity_queries, ordered_queries, signal_queries, packet_queries, meta_queries, reassembly_queries]
+MODULES = [continuity_queries, ordered_queries, signal_queries, packet_queries, meta_queries, reassembly_queries, syntax_queries]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
