@@ -202,7 +202,7 @@ def near_links(nodes: DataFrame, radius: int = 4, bands: int = 1, max_bucket: in
     """Links ``a, b`` that connect all of the distinct fingerprints ``fp`` of ``nodes`` within ``radius`` bits of each other."""
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks_for(radius, bands))])
     rows = nodes.select("fp", F.inline(tables)).select("t", "k", "fp")
-    rows = rows.repartition("t", "k").sortWithinPartitions("t", "k")
+    rows = rows.repartition("t", "k").sortWithinPartitions("t", "k", "fp")  # the same links at every run
     found = cut(rows.mapInArrow(bucket_links(radius, max_bucket), "t int, k long, a long, b long"))
     return cut(found.where("t < 0").select("a", "b").unionByName(block_links(found.where("t >= 0"), radius, max_bucket // 2)).distinct())
 
