@@ -64,7 +64,8 @@ def drop_positions(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
     """``id, tag, drop``: the positions of the lines that go, for each document that loses any. tag tells rows of one id with different texts apart."""
     lines = cut(line_hashes(docs, min_chars))
     often = lines.groupBy("h1", "h2").agg(F.countDistinct("id").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
-    gone = lines.join(often.select("h1", "h2", "keeper"), ["h1", "h2"]).where("id != keeper")
+    often = cut(often.select("h1", "h2", "keeper"))  # so that the join below stands alone and a common line's part of it can be split
+    gone = lines.join(often, ["h1", "h2"]).where("id != keeper")
     return gone.groupBy("id", "tag").agg(F.collect_set("pos").alias("drop"))
 
 
