@@ -32,7 +32,7 @@ from riffle.session import cut, table
 SAMPLE = 2_000
 TABLES, TARGET, SEED = 2, 0.97, 8
 #: Entries that a bucket holds on average, and entries of a bucket in one part.
-FILL, PART = 256, 2_048
+FILL, PART = 256, 512
 #: Candidates compared at a time, and queries whose nearest a task holds.
 CHUNK, HELD = 1_024, 20_000
 
