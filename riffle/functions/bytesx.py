@@ -50,14 +50,23 @@ def let(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def crc32_mpeg2(data: Column) -> Column:
-    """CRC-32 with polynomial 04C11DB7, start FFFFFFFF, not reflected and not inverted: the one of PSI sections."""
+def _crc_table() -> list[int]:
+    out = []
+    for byte in range(256):
+        c = byte << 24
+        for _ in range(8):
+            c = (c << 1 ^ (0x04C11DB7 if c & 0x80000000 else 0)) & 0xFFFFFFFF
+        out.append(c)
+    return out
+
 
-    def bit(c: Column, _: Column) -> Column:
-        return F.when(c.bitwiseAND(0x80000000) != 0, F.shiftleft(c, 1).bitwiseXOR(F.lit(0x04C11DB7))).otherwise(F.shiftleft(c, 1)).bitwiseAND(F.lit(0xFFFFFFFF))
+def crc32_mpeg2(data: Column) -> Column:
+    """CRC-32 with polynomial 04C11DB7, start FFFFFFFF, not reflected and not inverted: the one of PSI sections. A byte at a time."""
+    steps = F.array(*map(F.lit, _crc_table())).cast("array<bigint>")
 
     def byte(c: Column, b: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.lit(8)), c.bitwiseXOR(F.shiftleft(b.cast("long"), 24)), bit)
+        at = F.shiftright(c, 24).bitwiseXOR(b.cast("long")).cast("int")
+        return F.shiftleft(c, 8).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(F.get(steps, at))
 
     return F.aggregate(octets(data), F.lit(0xFFFFFFFF).cast("long"), byte)
 

@@ -46,11 +46,11 @@ def ts_pieces(data: Column) -> Column:
 
 
 def descriptor(tag: int, data: Column) -> Column:
-    return _b(_n(tag, 1), _n(F.octet_length(data), 1), data)
+    return let(data, lambda d: _b(_n(tag, 1), _n(F.octet_length(d), 1), d))
 
 
 def _section(table_id: int, id_: Column | int, body: Column) -> Column:
-    head = _b(_n(table_id, 1), _n(F.octet_length(body) + (0xB000 + 9), 2), _n(id_, 2), "C1", "00", "00", body)
+    head = let(body, lambda x: _b(_n(table_id, 1), _n(F.octet_length(x) + (0xB000 + 9), 2), _n(id_, 2), "C1", "00", "00", x))
     return let(head, lambda h: F.concat(h, _n(crc32_mpeg2(h), 4)))
 
 
@@ -59,7 +59,7 @@ def pat(stream: Column | int, program: int, pmt_pid: int) -> Column:
 
 
 def pmt(program: Column | int, pid: int, descriptors: Column, stream_type: int) -> Column:
-    return _section(2, program, _b(_n(0xE000 + pid, 2), _n(F.octet_length(descriptors) + 0xF000, 2), descriptors, _n(stream_type, 1), _n(0xE000 + pid, 2), "F000"))
+    return _section(2, program, let(descriptors, lambda d: _b(_n(0xE000 + pid, 2), _n(F.octet_length(d) + 0xF000, 2), d, _n(stream_type, 1), _n(0xE000 + pid, 2), "F000")))
 
 
 def flv_video_tag(timestamp: Column, key: Column, codec: int, packet_type: int, data: Column) -> Column:

@@ -42,7 +42,8 @@ def psi_with_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A PMT with the metadata as descriptor 26 behind another one, read back: tags, metadata, and the CRC checked over the section."""
     both = F.concat(pk.descriptor(5, F.encode(F.lit("RIFF"), "UTF-8")), pk.descriptor(0x26, m.encoded(F.col("kv"))))
     rows = entries(spark, sf_dir).select("o_orderkey", pk.pmt(F.col("o_orderkey") % 1000 + 1, 256, both, 27).alias("pmt"))
-    rows = rows.select("o_orderkey", "pmt", ps.descriptors(F.col("pmt")).alias("d"), ps.has_descriptor(F.col("pmt"), 0x26).alias("data"))
+    rows = rows.select("o_orderkey", "pmt", ps.descriptors(F.col("pmt")).alias("d"))
+    rows = rows.withColumn("data", F.get(F.filter("d", lambda x: x["tag"] == 0x26), F.lit(0))["data"])
     found, err = m.decoded(F.col("data"))
     return rows.select("o_orderkey", be(F.col("pmt"), 3, 2).alias("program"), F.array_join(F.transform("d", lambda x: x["tag"].cast("string")), ",").alias("tags"), m.encoded_text(found).alias("meta"), err.alias("err"), F.octet_length("pmt").alias("size"))
 

@@ -25,7 +25,7 @@ def sps_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     ue = lambda v: h.ue_bits(v if isinstance(v, F.Column) else F.lit(v))
     whole = F.concat(F.lpad(F.bin(F.lit(66)), 8, "0"), F.lit("00000000"), F.lpad(F.bin(F.lit(30)), 8, "0"), ue(F.col("p_partkey") % 32), ue(4), ue(kind), F.when(kind == 0, ue(2)).otherwise(""), ue(1), F.lit("0"), ue(size + 1), ue(size), F.when(size % 2 == 0, "1").otherwise("01"))
     rows = table(spark, sf_dir, "part").select("p_partkey", whole.alias("bits"))
-    rows = rows.select("p_partkey", *[c.alias(n) for n, c in h.sps_fields(F.col("bits")).items()])
+    rows = rows.select("p_partkey", h.sps_fields(F.col("bits")).alias("sps")).select("p_partkey", "sps.*")
     return rows.select("*", *[c.alias(n) for n, c in h.picture_size(F.col("width_mbs"), F.col("height_units"), F.col("frame_mbs_only")).items()])
 
 
