@@ -10,8 +10,19 @@ from pyspark.sql import functions as F
 
 from riffle.functions.bytesx import let
 
-# Names of slice types.
-SLICE_TYPES = ("P", "B", "I", "SP", "SI")
+# Coded block pattern of each code number, for intra and inter prediction, with chroma of half resolution and without or with full chroma.
+CBP = {
+    (True, True): (47, 31, 15, 0, 23, 27, 29, 30, 7, 11, 13, 14, 39, 43, 45, 46, 16, 3, 5, 10, 12, 19, 21, 26, 28, 35, 37, 42, 44, 1, 2, 4, 8, 17, 18, 20, 24, 6, 9, 22, 25, 32, 33, 34, 36, 40, 38, 41),
+    (True, False): (0, 16, 1, 2, 4, 8, 32, 3, 5, 10, 12, 15, 47, 7, 11, 13, 14, 6, 9, 31, 35, 37, 42, 44, 33, 34, 36, 40, 39, 43, 45, 46, 17, 18, 20, 24, 19, 21, 26, 28, 23, 27, 29, 30, 22, 25, 38, 41),
+    (False, True): (15, 0, 7, 11, 13, 14, 3, 5, 10, 12, 1, 2, 4, 8, 6, 9),
+    (False, False): (0, 1, 2, 4, 8, 3, 5, 10, 12, 15, 7, 11, 13, 14, 6, 9),
+}
+# Names of macroblock types of P and B slices.
+P_TYPES = ("P_L0_16x16", "P_L0_L0_16x8", "P_L0_L0_8x16", "P_8x8", "P_8x8ref0")
+B_TYPES = (
+    "B_Direct_16x16", "B_L0_16x16", "B_L1_16x16", "B_Bi_16x16", "B_L0_L0_16x8", "B_L0_L0_8x16", "B_L1_L1_16x8", "B_L1_L1_8x16", "B_L0_L1_16x8", "B_L0_L1_8x16", "B_L1_L0_16x8", "B_L1_L0_8x16",
+    "B_L0_Bi_16x8", "B_L0_Bi_8x16", "B_L1_Bi_16x8", "B_L1_Bi_8x16", "B_Bi_L0_16x8", "B_Bi_L0_8x16", "B_Bi_L1_16x8", "B_Bi_L1_8x16", "B_Bi_Bi_16x8", "B_Bi_Bi_8x16", "B_8x8",
+)
 
 
 def ue_bits(v: Column) -> Column:
@@ -129,3 +140,23 @@ def ueg(v: Column, cut: int, k: int, with_sign: bool) -> Column:
     suffix = F.concat(F.repeat(F.lit("1"), steps), F.lit("0"), F.when(bits > 0, F.lpad(F.bin(left.cast("long")), bits, F.lit("0"))).otherwise(""))
     body = F.when(size < cut, unary(size)).otherwise(F.concat(F.repeat(F.lit("1"), F.lit(cut)), suffix))
     return F.concat(body, F.when(v > 0, "0").when(v < 0, "1").otherwise("")) if with_sign else body
+
+
+def me_value(code: Column, half_chroma: bool, intra: bool) -> Column:
+    """The coded block pattern of a code number; null beyond the table."""
+    return F.get(F.array(*map(F.lit, CBP[half_chroma, intra])), code.cast("int"))
+
+
+def macroblock_name(slice_type: Column, kind: Column) -> Column:
+    """The name of a macroblock type. Behind the types of P and B slices come those of I slices, whose names follow from the number."""
+    own = F.when(slice_type == "P", F.get(F.array(*map(F.lit, P_TYPES)), kind.cast("int"))).when(slice_type == "B", F.get(F.array(*map(F.lit, B_TYPES)), kind.cast("int")))
+    i = kind - F.when(slice_type == "P", len(P_TYPES)).when(slice_type == "B", len(B_TYPES)).otherwise(0)
+    j = i - 1
+    text = lambda v: v.cast("int").cast("string")
+    whole = F.concat(F.lit("I_16x16_"), text(j % 4), F.lit("_"), text(F.floor(j / 4) % 3), F.lit("_"), F.when(j >= 12, "1").otherwise("0"))
+    return F.coalesce(own, F.when(i == 0, "I_NxN").when(i == 25, "I_PCM").when((i > 0) & (i < 25), whole))
+
+
+def context_state(m: Column, n: Column, slice_qp: Column) -> Column:
+    """The starting state of an arithmetic coding context, before it is split into index and most probable symbol."""
+    return clip3(F.lit(1), F.lit(126), F.shiftright(m * clip3(F.lit(0), F.lit(51), slice_qp), 4) + n)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from riffle.functions.bytesx import be, u8
+from riffle.functions.bytesx import be, crc32_mpeg2, let, put_be, u8
 
 
 def ts_fields(p: Column) -> dict[str, Column]:
@@ -51,6 +51,48 @@ def has_descriptor(section: Column, tag: int) -> Column:
     return F.get(F.filter(descriptors(section), lambda d: d["tag"] == tag), F.lit(0))["data"]
 
 
+def programs(section: Column) -> Column:
+    """Of a PAT section: ``map<program, PMT PID>``; program 0 names the network and is left out."""
+    n = F.floor((F.octet_length(section) - 12) / 4).cast("int")
+    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    found = F.transform(at, lambda i: F.struct(be(section, i * 4 + 8, 2).cast("int").alias("key"), be(section, i * 4 + 10, 2).bitwiseAND(0x1FFF).cast("int").alias("value")))
+    return F.map_from_entries(F.filter(found, lambda e: e["key"] != 0))
+
+
+def elementary_streams(section: Column) -> Column:
+    """Of a PMT section: ``array<struct<type,pid>>``."""
+    kind = "struct<at:int,found:array<struct<type:int,pid:int>>>"
+    end = F.octet_length(section) - 4
+
+    def walk(s: Column, _: Column) -> Column:
+        at = s["at"]
+        item = F.struct(u8(section, at).cast("int").alias("type"), be(section, at + 1, 2).bitwiseAND(0x1FFF).cast("int").alias("pid"))
+        after = at + 5 + be(section, at + 3, 2).bitwiseAND(0x3FF)
+        return F.when(at + 5 <= end, F.struct(after.cast("int").alias("at"), F.concat(s["found"], F.array(item)).alias("found")).cast(kind)).otherwise(s)
+
+    start = F.struct((be(section, 10, 2).bitwiseAND(0x3FF) + 12).cast("int").alias("at"), F.array().cast("array<struct<type:int,pid:int>>").alias("found")).cast(kind)
+    return F.aggregate(F.sequence(F.lit(0), F.floor(F.octet_length(section) / 5).cast("int")), start, walk)["found"]
+
+
+def with_descriptor(section: Column, tag: int, data: Column) -> Column:
+    """A PMT section with the descriptor added, or replaced where it is; lengths and CRC follow. Null above 180 bytes of descriptors."""
+    from riffle.functions.packing import _b, _n, descriptor
+
+    old = descriptors(section)
+    packed = lambda d: F.concat(put_be(d["tag"], 1), put_be(F.octet_length(d["data"]), 1), F.hex(d["data"]))
+    new = F.hex(descriptor(tag, data))
+    texts = F.when(F.exists(old, lambda d: d["tag"] == tag), F.transform(old, lambda d: F.when(d["tag"] == tag, new).otherwise(packed(d)))).otherwise(F.concat(F.transform(old, packed), F.array(new)))
+    total = be(section, 10, 2).bitwiseAND(0x3FF)
+    tail = F.substring(section, (total + 13).cast("int"), (F.octet_length(section) - total - 16).cast("int"))
+
+    def build(d: Column) -> Column:
+        body = _b(F.substring(section, F.lit(4), F.lit(7)), _n(F.octet_length(d) + 0xF000, 2), d, tail)
+        head = let(body, lambda x: _b(F.substring(section, F.lit(1), F.lit(1)), _n(F.octet_length(x) + (0xB000 + 4), 2), x))
+        return F.when(F.octet_length(d) <= 180, let(head, lambda h: F.concat(h, _n(crc32_mpeg2(h), 4))))
+
+    return let(F.unhex(F.array_join(texts, "")), build)
+
+
 def rtp_fields(p: Column) -> dict[str, Column]:
     """Padding stays part of the payload."""
     n = u8(p, 0).bitwiseAND(15)

@@ -48,6 +48,15 @@ def psi_with_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", be(F.col("pmt"), 3, 2).alias("program"), F.array_join(F.transform("d", lambda x: x["tag"].cast("string")), ",").alias("tags"), m.encoded_text(found).alias("meta"), err.alias("err"), F.octet_length("pmt").alias("size"))
 
 
+def psi_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata replaced or added in a PMT: whole sections in hex after the edit, streams read from them, and the PAT that names them."""
+    first = F.when(F.col("o_orderkey") % 2 == 0, pk.descriptor(0x26, F.encode(F.lit("old"), "UTF-8"))).otherwise(F.lit(b""))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", pk.pmt(F.col("o_orderkey") % 1000 + 1, 256, first, 27).alias("pmt"), pk.pat(F.col("o_orderkey") % 500, 1, 4096).alias("pat"))
+    rows = rows.select("o_orderkey", ps.with_descriptor(F.col("pmt"), 0x26, F.encode("o_orderstatus", "UTF-8")).alias("pmt"), ps.programs(F.col("pat")).alias("p"))
+    s = ps.elementary_streams(F.col("pmt"))
+    return rows.select("o_orderkey", F.hex(F.expr("substring(pmt, 1, octet_length(pmt) - 4)")).alias("section"), F.col("p")[1].alias("pmt_pid"), F.size("p").alias("n_programs"), F.to_json(s).alias("streams"))
+
+
 def url_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page addresses as stream addresses: the scheme, the extension and the query vary with the id."""
     k = F.col("page_id") % 7
@@ -128,7 +137,7 @@ def largest_contour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.largest(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("area")), "l_orderkey", "area", 30_000.0)
 
 
-QUERIES = {f.__name__: f for f in (meta_encode, meta_edit, meta_parse, psi_with_meta, url_fields, rtsp_texts, codec_dim_join, qtable_scale, sync_pairs, sync_statistics, iqr_filter, clock_angles, recording_pairs, marker_corners, largest_contour)}
+QUERIES = {f.__name__: f for f in (meta_encode, meta_edit, meta_parse, psi_with_meta, psi_edit, url_fields, rtsp_texts, codec_dim_join, qtable_scale, sync_pairs, sync_statistics, iqr_filter, clock_angles, recording_pairs, marker_corners, largest_contour)}
 
 _KV = "r AS (SELECT *, 'cust=' || o_custkey || chr(9) || 'status=' || o_orderstatus || chr(9) || 'prio=' || o_orderpriority AS t FROM orders)"
 _URL = """u AS (SELECT page_id, ['rtmp', 'rtmpt', 'rtmps', 'rtmpe', 'http', 'rtmp', 'rtmpts'][page_id % 7 + 1] AS scheme, regexp_replace(url, '^[a-z]+://', '') || ['/a.mp4', '/b.flv', '/c', '/mp3:d.mp3', '/e.f4v', '', '/f.mp3?key=1'][page_id % 5 + 1 + CASE WHEN page_id % 7 = 5 THEN 2 ELSE 0 END] AS rest FROM pages),
@@ -142,6 +151,7 @@ ORACLES = {
     "meta_edit": "SELECT o_orderkey, 'status=X' || chr(9) || 'prio=' || o_orderpriority || chr(9) || 'ts=' || o_orderkey AS meta FROM orders",
     "meta_parse": "SELECT o_orderkey, CASE o_orderkey % 21 WHEN 0 THEN 'too short' WHEN 7 THEN 'wrong length' WHEN 14 THEN 'unexpected format' END AS err, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS prio, CASE WHEN o_orderkey % 7 <> 0 THEN 3 END AS n FROM orders",
     "psi_with_meta": f"WITH {_KV} SELECT o_orderkey, o_orderkey % 1000 + 1 AS program, '5,38' AS tags, t AS meta, CAST(NULL AS VARCHAR) AS err, strlen(t) + 33 AS size FROM r",
+    "psi_edit": """SELECT o_orderkey, '02B0' || printf('%02X', 18 + 3) || printf('%04X', o_orderkey % 1000 + 1) || 'C10000E100F003' || '2601' || hex(encode(o_orderstatus)) || '1BE100F000' AS section, 4096 AS pmt_pid, 1 AS n_programs, '[{"type":27,"pid":256}]' AS streams FROM orders""",
     "url_fields": f"""WITH {_URL} SELECT page_id, url, CASE WHEN err IS NULL THEN num END AS protocol, CASE WHEN err IS NULL THEN host END AS host, CASE WHEN err IS NULL THEN CASE WHEN ep <> '' THEN CAST(ep AS INTEGER) WHEN (num & 1) <> 0 THEN 80 ELSE 1935 END END AS port, CASE WHEN err IS NULL THEN a END AS app,
 CASE WHEN err IS NULL THEN CASE WHEN ext IN ('.mp4', '.f4v') THEN CASE WHEN starts_with(stem, 'mp4:') THEN stem ELSE 'mp4:' || stem END WHEN ext = '.mp3' THEN CASE WHEN starts_with(stem, 'mp3:') THEN stem ELSE 'mp3:' || stem END WHEN ext = '.flv' THEN stem ELSE p END || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS playpath, err FROM z""",
     "rtsp_texts": """SELECT page_id, 'SETUP ' || url || ' RTSP/1.0' || chr(13) || chr(10) || 'CSeq: ' || (page_id + 1) || chr(13) || chr(10) || 'Transport: RTP/AVP;unicast' || chr(13) || chr(10) || 'Session: ' || page_id || chr(13) || chr(10) || chr(13) || chr(10) AS request,

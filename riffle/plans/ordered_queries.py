@@ -27,7 +27,7 @@ def segments_for_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trim_to_meta_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_meta(raw_packets(spark, sf_dir))
     found = o.range_between(rows, F.col("pmt") & (F.col("n") == 1), F.col("pmt") & (F.col("n") == 3), "pid", "off")
-    inside = rows.join(F.broadcast(found), "pid").where(F.col("off").between(F.col("first_off"), F.col("last_off")))  # eight streams
+    inside = rows.join(found, "pid").where(F.col("off").between(F.col("first_off"), F.col("last_off")))
     counts = inside.groupBy("pid").agg(F.count("*").alias("n_packets"))
     return found.join(counts, "pid", "left").select("pid", "first_off", "last_off", "err", F.coalesce("n_packets", F.lit(0)).alias("n_packets"))
 

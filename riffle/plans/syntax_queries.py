@@ -67,7 +67,13 @@ def bit_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", *out)
 
 
-QUERIES = {f.__name__: f for f in (exp_golomb, sps_parse, slice_groups, order_counts, binarisations, amf_round_trip, bit_reader)}
+def macroblocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, code = F.col("l_partkey") % 30, F.col("l_partkey") % 50
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.element_at(F.array(*map(F.lit, "IPB")), (F.col("l_orderkey") % 3 + 1).cast("int")).alias("slice"))
+    return rows.select("l_orderkey", "l_linenumber", "slice", h.macroblock_name(F.col("slice"), kind).alias("name"), h.me_value(code, True, True).alias("intra"), h.me_value(code, False, False).alias("inter"), h.context_state(kind - 15, code, F.col("l_linenumber") * 9).cast("long").alias("state"))
+
+
+QUERIES = {f.__name__: f for f in (exp_golomb, sps_parse, slice_groups, order_counts, binarisations, amf_round_trip, bit_reader, macroblocks)}
 
 _BITS = "2 * len(bin({v} + 1)) - 1"
 _UEG = """CASE WHEN abs({s}) < {c} THEN repeat('1', abs({s})) || '0' ELSE repeat('1', {c}) || repeat('1', st) || '0' || CASE WHEN st + {k} > 0 THEN lpad(bin(abs({s}) - {c} - ((1 << (st + {k})) - (1 << {k}))), CAST(st + {k} AS INTEGER), '0') ELSE '' END END"""
@@ -86,5 +92,8 @@ t AS (SELECT *, CAST(CASE WHEN abs(s) >= 9 THEN floor(log2(((abs(s) - 9) >> 3) +
 SELECT l_orderkey, l_linenumber, repeat('1', v) || '0' AS u, CASE WHEN v < 7 THEN repeat('1', v) || '0' ELSE repeat('1', v) END AS tu, lpad(bin(v), 3, '0') AS fl,
 {_UEG.format(s='s', c=9, k=3).replace(' st', ' st3').replace('(st ', '(st3 ')} || CASE WHEN s > 0 THEN '0' WHEN s < 0 THEN '1' ELSE '' END AS ueg3, {_UEG.format(s='s', c=14, k=0).replace(' st', ' st0').replace('(st ', '(st0 ')} AS ueg0 FROM t""",
     "amf_round_trip": "SELECT o_orderkey, 64 + strlen(o_orderstatus) AS size, 'connect' AS cmd, CAST(o_totalprice AS DOUBLE) AS price, o_orderstatus AS status, o_orderkey % 2 = 0 AS even FROM orders",
+    "macroblocks": f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey % 30 AS k, l_partkey % 50 AS c, ['I', 'P', 'B'][l_orderkey % 3 + 1] AS slice FROM lineitem), i AS (SELECT *, k - CASE slice WHEN 'P' THEN 5 WHEN 'B' THEN 23 ELSE 0 END AS i FROM r)
+SELECT l_orderkey, l_linenumber, slice, CASE WHEN slice = 'P' AND k < 5 THEN {list(h.P_TYPES)}[k + 1] WHEN slice = 'B' AND k < 23 THEN {list(h.B_TYPES)}[k + 1] WHEN i = 0 THEN 'I_NxN' WHEN i = 25 THEN 'I_PCM' WHEN i BETWEEN 1 AND 24 THEN 'I_16x16_' || ((i - 1) % 4) || '_' || (((i - 1) // 4) % 3) || '_' || CASE WHEN i > 12 THEN 1 ELSE 0 END END AS name,
+{list(h.CBP[True, True])}[c + 1] AS intra, {list(h.CBP[False, False])}[c + 1] AS inter, CAST(greatest(1, least(126, CAST(floor((k - 15) * greatest(0, least(51, l_linenumber * 9)) / 16.0) AS BIGINT) + c)) AS BIGINT) AS state FROM i""",
     "bit_reader": """WITH b AS (SELECT page_id, ('0x' || substring(hex(encode(url)), 1, 8))::BIGINT AS v FROM pages) SELECT page_id, v >> 29 AS f3, (v >> 24) & 31 AS f5, (v >> 13) & 2047 AS f11, v & 8191 AS f13 FROM b""",
 }

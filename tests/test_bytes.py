@@ -137,3 +137,26 @@ def test_h265_and_jpeg_machines():
 def test_repaired_counter(spark):
     rows = spark.createDataFrame([(1, i, c) for i, c in enumerate([14, 15, 1, 2])], "pid int, off int, cc int")
     assert [r.c for r in rows.select("off", continuity.repaired_cc().alias("c")).orderBy("off").collect()] == [14, 15, 0, 1]
+
+
+def test_descriptor_edits_equal_a_fresh_section(spark):
+    from riffle.functions.packing import descriptor, pmt
+
+    d = lambda t, x: descriptor(t, F.lit(x))
+    cases = [(F.lit(b""), 5, b"abc", d(5, b"abc")), (F.concat(d(5, b"abc"), d(7, b"z")), 5, b"longer than before", F.concat(d(5, b"longer than before"), d(7, b"z"))), (d(5, b"abc"), 9, b"", F.concat(d(5, b"abc"), d(9, b"")))]
+    for old, tag, data, new in cases:
+        got = one(spark, ps.with_descriptor(pmt(3, 256, old, 27), tag, F.lit(data)), pmt(3, 256, new, 27), ps.elementary_streams(pmt(3, 256, new, 27)))
+        assert got[0] == got[1] and [tuple(s) for s in got[2]] == [(27, 256)]
+    assert one(spark, ps.with_descriptor(pmt(3, 256, F.lit(b""), 27), 5, F.lit(b"x" * 200)))[0] is None
+    assert one(spark, ps.programs(pk.pat(1, 4, 4096)))[0] == {4: 4096}
+
+
+def test_exp_golomb_tables(spark):
+    from riffle.functions import h264 as h
+
+    bits = "1" "010" "011" "00100" "00101" "00110" "00111" "0001000"
+    assert one(spark, h.ue_values(F.col("b"), F.lit(20)), b=bits)[0] == list(range(8))
+    assert [one(spark, h.signed(F.lit(k)))[0] for k in range(6)] == [0, 1, -1, 2, -2, 3]
+    assert one(spark, h.te_value(F.lit("0"), F.lit(1)), h.te_value(F.lit("1"), F.lit(1)), h.te_value(F.lit("00101"), F.lit(5)))[0:] == (1, 0, 4)
+    assert all(sorted(t) == list(range(len(t))) for t in h.CBP.values())
+    assert [one(spark, h.ueg(F.lit(v), 9, 3, True))[0] for v in (0, -3, 9, 17)] == ["0", "11101", "1" * 9 + "0000" + "0", "1" * 9 + "10" + "0000" + "0"]
