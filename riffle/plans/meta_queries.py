@@ -128,9 +128,10 @@ def recording_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marker_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("i", "v"))
-    points = rows.groupBy("vec_id", F.floor(F.col("i") / 2).alias("p")).agg(F.max(F.when(F.col("i") % 2 == 0, F.col("v").cast("double"))).alias("x"), F.max(F.when(F.col("i") % 2 == 1, F.col("v").cast("double"))).alias("y"))
-    return sync.corners(points, "vec_id").select("vec_id", *[F.round(F.col(f"{c}.{a}"), 6).alias(f"{c}_{a}") for c in ("tl", "tr", "br", "bl") for a in ("x", "y")])
+    """Every eight components of a vector are the four points of a marker."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v")).select((F.col("vec_id") * 8 + F.floor(F.col("i") / 8)).alias("marker"), "i", "v")
+    points = rows.groupBy("marker", F.floor(F.col("i") / 2).alias("p")).agg(F.max(F.when(F.col("i") % 2 == 0, F.col("v").cast("double"))).alias("x"), F.max(F.when(F.col("i") % 2 == 1, F.col("v").cast("double"))).alias("y"))
+    return sync.corners(points, "marker").select("marker", *[F.round(F.col(f"{c}.{a}"), 6).alias(f"{c}_{a}") for c in ("tl", "tr", "br", "bl") for a in ("x", "y")])
 
 
 def largest_contour(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,8 +178,8 @@ SELECT event_type, event_id, value FROM events JOIN q USING (event_type) WHERE v
     "clock_angles": "SELECT vec_id, round((degrees(atan2(CAST(embedding[2] AS DOUBLE), CAST(embedding[1] AS DOUBLE))) + 360) % 360, 6) AS angle FROM embeddings",
     "recording_pairs": """WITH n AS (SELECT DISTINCT user_id % 2 AS side, strftime(ts, '%Y%m%d_%H') || '0000' AS t FROM events)
 SELECT l.t AS "time", 'left_' || l.t || '.mkv' AS "left", 'right_' || l.t || '.mkv' AS "right" FROM n l JOIN n r ON l.t = r.t AND l.side = 0 AND r.side = 1""",
-    "marker_corners": """WITH p AS (SELECT vec_id, unnest([{'x': CAST(embedding[1] AS DOUBLE), 'y': CAST(embedding[2] AS DOUBLE)}, {'x': embedding[3], 'y': embedding[4]}, {'x': embedding[5], 'y': embedding[6]}, {'x': embedding[7], 'y': embedding[8]}]) AS p FROM embeddings),
-c AS (SELECT vec_id, arg_min(p, p.x + p.y) AS tl, arg_min(p, p.y - p.x) AS tr, arg_max(p, p.x + p.y) AS br, arg_max(p, p.y - p.x) AS bl FROM p GROUP BY vec_id)
-SELECT vec_id, round(tl.x, 6) AS tl_x, round(tl.y, 6) AS tl_y, round(tr.x, 6) AS tr_x, round(tr.y, 6) AS tr_y, round(br.x, 6) AS br_x, round(br.y, 6) AS br_y, round(bl.x, 6) AS bl_x, round(bl.y, 6) AS bl_y FROM c""",
+    "marker_corners": """WITH p AS (SELECT vec_id * 8 + k // 4 AS marker, {'x': CAST(embedding[2 * k + 1] AS DOUBLE), 'y': CAST(embedding[2 * k + 2] AS DOUBLE)} AS p FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding) // 2)) AS k FROM embeddings)),
+c AS (SELECT marker, arg_min(p, p.x + p.y) AS tl, arg_min(p, p.y - p.x) AS tr, arg_max(p, p.x + p.y) AS br, arg_max(p, p.y - p.x) AS bl FROM p GROUP BY marker)
+SELECT marker, round(tl.x, 6) AS tl_x, round(tl.y, 6) AS tl_y, round(tr.x, 6) AS tr_x, round(tr.y, 6) AS tr_y, round(br.x, 6) AS br_x, round(br.y, 6) AS br_y, round(bl.x, 6) AS bl_x, round(bl.y, 6) AS bl_y FROM c""",
     "largest_contour": "SELECT l_orderkey, arg_max(l_linenumber, l_extendedprice) AS l_linenumber, max(CAST(l_extendedprice AS DOUBLE)) AS area FROM lineitem WHERE l_extendedprice > 30000 GROUP BY l_orderkey",
 }

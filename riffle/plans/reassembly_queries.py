@@ -48,9 +48,11 @@ def h264_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adts_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns in frames of at most 8000 bytes of payload, as the length field has 13 bits."""
+    rows = turns(spark, sf_dir).select("conv_id", "turn", F.posexplode(chunks(F.col("data"), 8000)).alias("i", "data")).select("conv_id", (F.col("turn") * 100_000 + F.col("i")).alias("turn"), "data")
     n = F.octet_length("data") + 7
     head = _x("FFF1", F.unhex(put_be(F.lit(0x50000000).bitwiseOR(F.shiftleft(F.lit(2).cast("long"), 22)).bitwiseOR(F.shiftleft(n.cast("long"), 5)).bitwiseOR(F.lit(0x1F)), 4)), "FC")
-    stream = _stream(turns(spark, sf_dir).withColumn("data", F.substring("data", F.lit(1), F.lit(8000))), _x(head, F.col("data")))
+    stream = _stream(rows, _x(head, F.col("data")))
     rows = stream.select("conv_id", F.posexplode(sp.adts_frames(F.col("data"))).alias("n", "f"))
     return rows.select("conv_id", "n", "f.profile", "f.rate", "f.channels", F.sha2("f.payload", 256).alias("sha256"))
 
@@ -108,7 +110,8 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS
     "h264_predicates": f"""WITH {_T}, f AS (SELECT conv_id, arg_min(turn, turn) AS first, arg_min(role, turn) AS role, count(*) + 2 * count(*) FILTER (turn % 5 = 0) AS n_units, min(CASE WHEN turn % 5 = 0 THEN turn END) AS sps FROM t GROUP BY conv_id)
 SELECT conv_id, CASE WHEN first % 5 = 0 THEN 7 WHEN role = 'user' THEN 5 ELSE 1 END AS nal_type, role = 'user' AS "key", first % 5 = 0 AS sequence_header, n_units,
  (SELECT CAST(sum(n + 5 + CASE WHEN turn % 5 = 0 THEN 14 ELSE 0 END) AS BIGINT) FROM t WHERE t.conv_id = f.conv_id AND t.turn >= f.sps) AS from_sps FROM f""",
-    "adts_split": f"WITH {_T} SELECT conv_id, {_N}, 1 AS profile, 4 AS rate, 2 AS channels, sha256(x) AS sha256 FROM t",
+    "adts_split": f"""WITH {_T}, c AS (SELECT conv_id, turn, i, substring(hex(encode(x)), CAST(i * 16000 + 1 AS BIGINT), 16000) AS h FROM (SELECT *, unnest(range(0, (strlen(x) + 7999) // 8000)) AS i FROM t))
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS INTEGER) AS n, 1 AS profile, 4 AS rate, 2 AS channels, sha256(unhex(h)) AS sha256 FROM c""",
     "mjpeg_split": f"WITH {_T} SELECT conv_id, {_N}, n + 10 AS size, sha256(unhex('FFD8FFD80102FFD9' || hex(encode(x)) || 'FFD9')) AS sha256 FROM t".replace("n + 10", "strlen(x) + 10"),
     "h264_units": f"""WITH {_T}, u AS (SELECT conv_id, turn, 1 AS k, '0000000109F0' || '0000000167414200' || '0000000168CE' AS h FROM t WHERE turn % 5 = 0
 UNION ALL SELECT conv_id, turn, 2, '0000000109F000000001' || CASE WHEN role = 'user' THEN '65' ELSE '41' END || hex(encode(x)) FROM t UNION ALL SELECT DISTINCT conv_id, -1, 0, '0000000109F0' FROM t)
