@@ -30,10 +30,12 @@ LOWER = bytes(range(256)).replace(bytes(range(65, 91)), bytes(range(97, 123)))
 BLOCK = 1 << 16
 #: Fingerprints of one bucket that one task compares; larger buckets are compared in pairs of blocks.
 MAX_BUCKET = 20_000
-#: Bits that may differ without a look at the texts, where a wider radius is asked for.
+#: Bits within which pairs are looked at first, where a wider radius is asked for.
 SURE = 4
 #: Buckets up to this size are compared by shifted arrays, all at once.
 SMALL = 48
+#: Members of a block where all pairs of a bucket are wanted.
+BLOCK_PAIRS = 2_048
 
 
 def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
@@ -62,6 +64,11 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big") if total else 0
 
 
+def gram_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingles of a text, in order."""
+    return np.unique(np.concatenate([*shingle_hashes(text, shingle), np.zeros(0, np.uint64)]).astype(np.uint64))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, tag, fp``: the SimHash of each whole text over XXH64 (seed 42) of its ``shingle``-word shingles. tag is a hash of the text."""
 
@@ -232,45 +239,147 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, bands: int = 1, similarity: float | None = None, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """One row ``doc_id, tag, fp, component_id, stays`` for each document; component_id is the smallest doc_id that it reaches by links.
 
-    With ``similarity``, links of more than ``SURE`` bits between groups that closer links leave apart count only if the
-    shingle sets of both texts have that Jaccard similarity. ``stays`` marks one text of each group: the one with that id,
-    and of several under it the one with the smallest tag.
+    With ``similarity``, links count only if the shingle sets of both texts have that Jaccard similarity. ``stays`` marks
+    one text of each group: the one with that id, and of several under it the one with the smallest tag.
     """
     prints = cut(fingerprints(docs, shingle))
-    nodes = cut(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "tag")).alias("first")))
-    links = near_links(nodes.select("fp"), radius, bands, max_bucket)
+    key = ["fp"]
+    nodes = cut(prints.groupBy(*key).agg(F.min(F.struct("doc_id", "tag")).alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    links = near_links(nodes.select("fp").distinct(), radius, bands, max_bucket)
     if similarity is not None:
-        links = similar_links(docs, nodes, links, shingle, similarity)
-    tied = nodes.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        links = similar_links(docs, nodes, links, shingle, radius, bands, similarity, min(BLOCK_PAIRS, max_bucket))
+    else:
+        links = of_heads(nodes, links)
+    tied = nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = tied.groupBy("root").agg(F.min("first").alias("first"))
-    tied = cut(tied.select("fp", "root").join(least, "root").select("fp", "first"))
+    tied = cut(tied.select(*key, "root").join(least, "root").select(*key, "first"))
     stays = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag"))
-    return prints.join(tied, "fp").select("doc_id", "tag", "fp", F.col("first.doc_id").alias("component_id"), stays.alias("stays"))
-
-
-def similar_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The links of at most SURE bits, and of the others those between two of their groups whose texts are similar enough."""
-    links = links.withColumn("near", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= SURE)
-    sure = links.where("near").select("a", "b")
-    roots = components(sure)
-    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
-    far = links.where("NOT near").select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    far = cut(far.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
-    asked = far.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes, "fp")
-    asked = asked.select("fp", F.col("first.doc_id").alias("__id"), F.col("first.tag").alias("__tag"))
+    return prints.join(tied, key).select("doc_id", "tag", "fp", F.col("first.doc_id").alias("component_id"), stays.alias("stays"))
+
+
+def of_heads(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Links of fingerprints as links of the first node of each."""
+    head = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    of = lambda x: head.select(F.col("fp").alias(x), F.col("node").alias(f"{x}_node"))
+    return links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+
+def close_pairs(masks: list[int], low: int, high: int, similarity: float):
+    """Reads (t, k, i, j, c, node, root, n, fp) sorted by (t, k, i, j): blocks i and j of bucket (t, k). Gives every pair of
+    nodes that differ in more than ``low`` and at most ``high`` bits, of different roots and of set sizes that allow the
+    similarity: each pair once, in the first table in which it meets."""
+    all_masks = np.array(masks, np.uint64)
+
+    def pick(g: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        t, c, node, root, n, fp, apart = g
+        differ = fp[a] ^ fp[b]
+        bits = np.bitwise_count(differ).astype(np.int64)
+        ok = (bits > low) & (bits <= high) & (root[a] != root[b]) & ~(apart[a] & (c[a] == c[b]))
+        ok &= np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b])
+        a, b, differ = a[ok], b[ok], differ[ok]
+        ok = ((differ[:, None] & all_masks) == 0).argmax(axis=1) == t[a]
+        return pa.RecordBatch.from_arrays([pa.array(node[a[ok]]), pa.array(node[b[ok]])], names=["a", "b"])
+
+    def whole(g: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        t, k, i, j = g[:4]
+        of = [t, *g[4:8], g[8].view(np.uint64), i != j]
+        first = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        size = np.diff(np.append(first, len(t)))
+        few = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
+        group = np.repeat(first, size)[few]
+        for d in range(1, SMALL):
+            same = np.flatnonzero(group[d:] == group[:-d])
+            if not len(same):
+                break
+            for at in range(0, len(same), BLOCK):
+                yield pick(of, few[same[at : at + BLOCK]], few[same[at : at + BLOCK] + d])
+        for at, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            for x in range(at, at + n - 1):
+                rest = np.arange(x + 1, at + n)
+                near = rest[np.bitwise_count(of[5][rest] ^ of[5][x]) <= high]
+                if len(near):
+                    yield pick(of, np.full(len(near), x), near)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            g = [batch.column(x).to_numpy() for x in range(9)]
+            if not len(g[0]):
+                continue
+            # the last bucket of a batch may go on in the next one
+            last = int(np.argmax((g[0] == g[0][-1]) & (g[1] == g[1][-1]) & (g[2] == g[2][-1]) & (g[3] == g[3][-1])))
+            if held and (last or any(x[0] != y[-1] for x, y in zip(g[:4], held[-1][:4], strict=True))):
+                yield from gathered(whole([np.concatenate(x) for x in zip(*held, [y[:last] for y in g], strict=True)]))
+                held = []
+            elif last:
+                yield from gathered(whole([x[:last] for x in g]))
+            held.append([x[last:] for x in g])
+        if held:
+            yield from gathered(whole([np.concatenate(x) for x in zip(*held, strict=True)]))
+
+    return run
+
+
+def gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Many small batches as fewer larger ones."""
+    held: list[pa.RecordBatch] = []
+    for part in parts:
+        if part.num_rows:
+            held.append(part)
+        if len(held) >= 1_000 or sum(x.num_rows for x in held[-1:]) >= BLOCK:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def every_pair(members: DataFrame, masks: list[int], low: int, high: int, similarity: float, block: int) -> DataFrame:
+    """``a, b``: all pairs of ``members`` (node, root, n, fp) that a link of more than ``low`` and at most ``high`` bits may join; large buckets in pairs of blocks."""
+    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks)])
+    rows = members.select("node", "root", "n", "fp", F.inline(tables))
+    sizes = rows.groupBy("t", "k").agg(F.count("*").alias("rows"), F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
+    rows = rows.join(sizes.select("t", "k", F.ceil(F.col("rows") / block).cast("int").alias("blocks")), ["t", "k"])
+    rows = rows.withColumn("c", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("t", "k", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "c", "node", "root", F.col("n").cast("long").alias("n"), "fp")
+    rows = rows.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j")
+    return rows.mapInArrow(close_pairs(masks, low, high, similarity), "a long, b long")
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, shingle: int, radius: int, bands: int, similarity: float, block: int) -> DataFrame:
+    """Links of nodes that connect all whose texts are similar enough within the radius.
+
+    ``links`` span the groups of near fingerprints. They are compared as texts first, as they join most of what belongs
+    together; but a dropped one may have stood for others. So inside groups that fall apart, every other pair between two parts is
+    compared too, the nearer ones first.
+    """
+    near = of_heads(nodes, links)
+    groups = cut(components(near))
+    asked = groups.select("node").join(nodes, "node").select("node", "fp", F.col("first.doc_id").alias("__id"), F.col("first.tag").alias("__tag"))
     texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), "text", F.xxhash64("text").alias("__key"))
-    texts = texts.join(asked, (texts["__doc"] == asked["__id"]) & (texts["__key"] == asked["__tag"])).select("fp", "text")
+    texts = texts.join(asked, (texts["__doc"] == asked["__id"]) & (texts["__key"] == asked["__tag"])).select("node", "fp", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(np.concatenate([*shingle_hashes(t.as_py(), shingle), np.zeros(0, np.uint64)]).astype(np.uint64)).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "grams"])
-
-    grams = cut(texts.mapInArrow(run, "fp long, grams array<long>").dropDuplicates(["fp"]))
-    side = lambda x: grams.select(F.col("fp").alias(x), F.col("grams").alias(f"{x}_grams"))
-    both = F.size(F.array_intersect("a_grams", "b_grams"))
-    like = both >= similarity * (F.size("a_grams") + F.size("b_grams") - both)
-    return cut(sure.unionByName(far.join(side("a"), "a").join(side("b"), "b").where(like).select("a", "b")))
+            sets = [gram_set(t.as_py(), shingle).view(np.int64) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["node", "fp", "grams"])
+
+    grams = cut(texts.mapInArrow(run, "node long, fp long, grams array<long>").dropDuplicates(["node"]))
+    side = lambda x: grams.select(F.col("node").alias(x), F.col("grams").alias(f"{x}_grams"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = F.size(F.array_intersect("a_grams", "b_grams"))
+        like = both >= similarity * (F.size("a_grams") + F.size("b_grams") - both)
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(like).select("a", "b")
+
+    found, low = cut(alike(near)), -1
+    for high in sorted({min(SURE, radius), radius}):
+        part = groups.withColumnRenamed("root", "group").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        split = part.groupBy("group").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("group")
+        members = part.join(split, "group").join(grams.select("node", "fp", F.size("grams").alias("n")), "node")
+        members = cut(members.select("node", "root", "n", "fp"))
+        more = cut(every_pair(members, masks_for(radius, bands), low, high, similarity, block))
+        found, low = cut(found.unionByName(alike(more))), high
+    return found
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 9, bands: int = 2, similarity: float = 0.8) -> DataFrame:

@@ -90,3 +90,38 @@ def test_links_of_dissimilar_texts_do_not_count(spark):
     got = near_duplicates(docs, shingle=5, radius=63, bands=1 << 5, similarity=0.8).collect()
     assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 0, 2: 2, 3: 3}
     assert sorted(r.doc_id for r in got if r.stays) == [0, 2, 3]
+
+
+def family(rng, copies, least, most, n=150):
+    base = [f"w{i}" for i in rng.integers(0, 3000, n)]
+    texts = [" ".join(base)]
+    for _ in range(copies):
+        words = list(base)
+        for at in rng.choice(n, int(rng.integers(least, most + 1)), replace=False):
+            words[at] = f"x{rng.integers(0, 10**9)}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def slow_groups(texts, radius, similarity, k=5):
+    def grams(text):
+        words = text.split()
+        return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+    fps, sets, label = [simhash.fingerprint(t, k) for t in texts], [grams(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= radius and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return dict(enumerate(label))
+
+
+@pytest.mark.parametrize("max_bucket", [20_000, 40])
+def test_no_similar_pair_hides_behind_a_dissimilar_one(spark, max_bucket):
+    texts = family(np.random.default_rng(7), 150, 1, 6)
+    want = slow_groups(texts, 9, 0.8)
+    assert 1 < len(set(want.values())) < 150
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = near_duplicates(docs, 5, 9, 2, 0.8, max_bucket).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
