@@ -15,7 +15,7 @@ columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,28 +57,43 @@ def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
+    return _fingerprint(shingle_hashes(text, shingle))
+
+
+def _fingerprint(blocks: Iterable[np.ndarray]) -> int:
     ones, total = np.zeros(64, np.int64), 0
-    for h in shingle_hashes(text, shingle):
+    for h in blocks:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         total += len(h)
     return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big") if total else 0
 
 
-def gram_set(text: str | None, shingle: int) -> np.ndarray:
+def gram_set(blocks: Iterable[np.ndarray]) -> np.ndarray:
     """The distinct shingles of a text, in order."""
-    return np.unique(np.concatenate([*shingle_hashes(text, shingle), np.zeros(0, np.uint64)]).astype(np.uint64))
+    return np.unique(np.concatenate([*blocks, np.zeros(0, np.uint64)]).astype(np.uint64))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, tag, fp``: the SimHash of each whole text over XXH64 (seed 42) of its ``shingle``-word shingles. tag is a hash of the text."""
+def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
+    """``doc_id, tag, fp``: the SimHash of each whole text over XXH64 (seed 42) of its ``shingle``-word shingles. tag is a hash of the text.
+
+    With ``sets``, also ``kin``: 128 bits that stand for the set of shingles.
+    """
+    kind = "doc_id long, tag long, fp long" + (", kin binary" if sets else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "tag", "fp"])
+            fps, kin = np.zeros(batch.num_rows, np.uint64), []
+            for i, t in enumerate(batch.column(1)):
+                blocks = shingle_hashes(t.as_py(), shingle)
+                if sets:
+                    blocks = list(blocks)
+                    kin.append(xxhash.xxh3_128_digest(gram_set(blocks).tobytes()))
+                fps[i] = _fingerprint(blocks)
+            columns = [batch.column(0), batch.column(2), pa.array(fps.view(np.int64))] + ([pa.array(kin, pa.binary())] if sets else [])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "fp", "kin"][: len(columns)])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tag"))
-    return rows.mapInArrow(run, "doc_id long, tag long, fp long")
+    return rows.mapInArrow(run, kind)
 
 
 def covering_masks(radius: int, bits: range = range(64)) -> list[int]:
@@ -242,8 +257,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, bands: i
     With ``similarity``, links count only if the shingle sets of both texts have that Jaccard similarity. ``stays`` marks
     one text of each group: the one with that id, and of several under it the one with the smallest tag.
     """
-    prints = cut(fingerprints(docs, shingle))
-    key = ["fp"]
+    prints = cut(fingerprints(docs, shingle, sets=similarity is not None))
+    key = ["fp"] if similarity is None else ["fp", "kin"]  # texts of one fingerprint may have nothing else in common
     nodes = cut(prints.groupBy(*key).agg(F.min(F.struct("doc_id", "tag")).alias("first")).withColumn("node", F.monotonically_increasing_id()))
     links = near_links(nodes.select("fp").distinct(), radius, bands, max_bucket)
     if similarity is not None:
@@ -352,7 +367,9 @@ def similar_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, shingle:
     together; but a dropped one may have stood for others. So inside groups that fall apart, every other pair between two parts is
     compared too, the nearer ones first.
     """
-    near = of_heads(nodes, links)
+    head = nodes.groupBy("fp").agg(F.min("node").alias("b"))
+    under = nodes.join(head, "fp").where("node != b").select(F.col("node").alias("a"), "b")
+    near = cut(of_heads(nodes, links).unionByName(under))
     groups = cut(components(near))
     asked = groups.select("node").join(nodes, "node").select("node", "fp", F.col("first.doc_id").alias("__id"), F.col("first.tag").alias("__tag"))
     texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), "text", F.xxhash64("text").alias("__key"))
@@ -360,7 +377,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, shingle:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [gram_set(t.as_py(), shingle).view(np.int64) for t in batch.column(2)]
+            sets = [gram_set(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["node", "fp", "grams"])
 
     grams = cut(texts.mapInArrow(run, "node long, fp long, grams array<long>").dropDuplicates(["node"]))

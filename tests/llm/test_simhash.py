@@ -125,3 +125,18 @@ def test_no_similar_pair_hides_behind_a_dissimilar_one(spark, max_bucket):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = near_duplicates(docs, 5, 9, 2, 0.8, max_bucket).collect()
     assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_texts_of_one_fingerprint_are_compared(spark):
+    rng = np.random.default_rng(1)
+    tail = [[f"t{x}" for x in rng.integers(0, 10**6, 20)] for _ in range(60)]
+    texts = [" ".join(["spam"] * 100 + w) for w in tail] + [" ".join(["spam"] * 104 + tail[3]), " ".join(["spam"] * 100 + [*tail[5], "more"])]
+    assert len({simhash.fingerprint(t, 5) for t in texts}) < 10
+    docs = spark.createDataFrame([*enumerate(texts), (70, texts[8]), (8, texts[9]), (80, None), (81, "")], "doc_id long, text string")
+    got = {(r.doc_id, r.tag): r.component_id for r in near_duplicates(docs, 5, 9, 2, 0.8, 20).collect()}
+    root = {i: [v for (x, _), v in sorted(got.items()) if x == i] for i in range(82)}
+    assert all(root[i] == [i] for i in range(60) if i not in (8, 9))
+    assert root[60] == [3] and root[61] == [5] and root[70] == [8] and root[80] == root[81] == [80]
+    assert root[8] == [8, 8] and root[9] == [8]
+    kept = sorted((r.doc_id, r.text) for r in simhash.one_of_each(docs.where("doc_id < 80")).collect())
+    assert len({t for _, t in kept}) == len(kept) == 60
