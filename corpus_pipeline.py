@@ -35,8 +35,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids``: the token ids of each whole text."""
-    return bpe.encode_documents(docs, bpe._file(), packed=False)
+    """``doc_id, n_tokens, ids, text``: the token ids of each whole text, and the text that they decode to."""
+    return bpe.decode_documents(bpe.encode_documents(docs, bpe._file(), packed=False), bpe._file(), packed=False)
 
 
 STAGES = [("quality", good_quality), ("line_dedup", without_repeated_lines), ("near_dedup", one_of_each_group), ("mixing", mixed), ("encoding", encoded)]

@@ -219,8 +219,8 @@ def encode_documents(docs: DataFrame, path: str, packed: bool = True) -> DataFra
     return rows.mapInArrow(run, f"doc_id long, n_tokens long, ids {'binary' if packed else 'array<int>'}")
 
 
-def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` (doc_id, n_tokens, packed ids) with the ``text`` that the ids stand for: tokens with a space between, as the file names no decoder."""
+def decode_documents(encoded: DataFrame, path: str, packed: bool = True) -> DataFrame:
+    """``encoded`` (doc_id, n_tokens, ids, packed or an array) with the ``text`` that the ids stand for: tokens with a space between, as the file names no decoder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = load(path).tokens.__getitem__
@@ -228,7 +228,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
             at, n = 0, 0
             texts: list[str] = []
             for ids in batch.column(2):
-                texts.append(" ".join(map(token, np.frombuffer(ids.as_py(), "<u4").tolist())))
+                texts.append(" ".join(map(token, np.frombuffer(ids.as_py(), "<u4").tolist() if packed else ids.as_py())))
                 n += len(texts[-1])
                 if n > 4 * SEGMENT:
                     yield out(batch.slice(at, len(texts)), texts)
@@ -238,7 +238,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     def out(rows: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "text"])
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, text string")
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, f"doc_id long, n_tokens long, ids {'binary' if packed else 'array<int>'}, text string")
 
 
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:

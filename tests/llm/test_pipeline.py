@@ -70,3 +70,12 @@ def test_near_copies_go_and_others_stay(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 50
+
+
+def test_encoding_decodes_too(spark):
+    texts = ["Two words", "", None, "caf\u00e9 \u4e16\u754c\n\n x"]
+    rows = corpus_pipeline.encoded(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), SF).collect()
+    model = bpe.load(bpe._file()).library
+    want = {i: model.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert {r.doc_id: r.ids for r in rows} == want
+    assert {r.doc_id: r.text for r in rows} == {i: model.decode(ids, skip_special_tokens=False) for i, ids in want.items()}
