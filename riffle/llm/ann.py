@@ -9,7 +9,8 @@ row is indexed. Candidates of all tables are ranked by their exact distance.
 
 Exact copies share one index entry for the smallest ids that can matter, as many as results are asked for and one more, so a
 vector that a third of the rows share is compared once. Buckets are dealt out in salted parts of about ``PART`` entries and
-streamed through tasks, which keep only the nearest few of each query that they meet.
+streamed through tasks, which keep only the nearest few of each query that they meet. Queries that met fewer than asked for
+are compared with every entry.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part; ties go to the smaller id; repeated rows (same id and vector) are one row; rows with a null id take no part; with fewer candidates than asked for, the others
@@ -227,7 +228,27 @@ def nearest_neighbours(rows: DataFrame, query: Column, nearest: int = 10, tables
     here = here.join(entries.select("entry", "v"), "entry").select("t", "key", "part", "block", F.lit(1).alias("is_entry"), F.col("entry").alias("id"), "v")
     there = probes.join(parts, ["t", "key"]).withColumn("block", of("query_id", "blocks")).withColumn("part", each("parts"))
     there = there.join(queries, "query_id").select("t", "key", "part", "block", F.lit(0).alias("is_entry"), F.col("query_id").alias("id"), "v")
-    dealt = here.unionByName(there).repartition("t", "key", "part", "block").sortWithinPartitions("t", "key", "part", "block", "is_entry")
+    out = cut(ranked(here.unionByName(there), entries, nearest))
+
+    # queries that met too few: compared with every entry, in blocks of both
+    least = min(nearest, one.count() - 1)
+    short = queries.join(out.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < least)
+    short = cut(short.select("query_id", "v"))
+    if not (n := short.count()):
+        return out
+    parts, blocks = math.ceil(entries.count() / part), math.ceil(n / part)
+    pick = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = [F.lit(0).alias("t"), F.lit(0).cast("long").alias("key"), "part", "block"]
+    here = entries.withColumn("part", pick("entry", parts)).withColumn("block", every(blocks)).select(*place, F.lit(1).alias("is_entry"), F.col("entry").alias("id"), "v")
+    there = short.withColumn("block", pick("query_id", blocks)).withColumn("part", every(parts)).select(*place, F.lit(0).alias("is_entry"), F.col("query_id").alias("id"), "v")
+    whole = ranked(here.unionByName(there), entries, nearest)
+    return out.join(short.select("query_id"), "query_id", "left_anti").unionByName(whole)
+
+
+def ranked(rows: DataFrame, entries: DataFrame, nearest: int) -> DataFrame:
+    """``query_id, rank, vec_id, score`` from queries and entries dealt to (t, key, part, block)."""
+    dealt = rows.repartition("t", "key", "part", "block").sortWithinPartitions("t", "key", "part", "block", "is_entry")
     found = dealt.mapInArrow(search(nearest + 1), "query_id long, entry long, d2 double").distinct()
     first = Window.partitionBy("query_id").orderBy("d2", "entry")
     found = found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= nearest + 1).join(entries.select("entry", "ids").distinct(), "entry")

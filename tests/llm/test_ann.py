@@ -74,3 +74,16 @@ def test_edge_cases(spark):
     assert got == [(0, 1, 8, 0.0), (0, 2, 9, 0.0), (0, 3, 100, r2), (100, 1, 0, r2), (100, 2, 8, r2), (100, 3, 9, r2)]
     assert nearest_neighbours(docs.where(F.lit(False)), F.col("vec_id") % 100 == 0).count() == 0
     assert nearest_neighbours(docs.where("vec_id = 0"), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_queries_in_thin_regions_get_all_their_rows(spark):
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.standard_normal((8, 16)), 75, axis=0) + 0.05 * rng.standard_normal((600, 16))
+    x[::60] *= rng.uniform(20, 60, (10, 1))
+    docs = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    queries = list(range(0, 600, 20))
+    got = nearest_neighbours(docs, F.col("vec_id") % 20 == 0, fill=16, part=64).collect()
+    by = {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in queries}
+    assert all(len(v) == 10 for v in by.values())
+    want = slow(list(range(600)), x, queries)
+    assert all(by[q] == [v for _, v in want[q]] for q in queries if q % 60 == 0)
