@@ -5,7 +5,8 @@ small versioned map says which shard holds each slot. Rebalancing edits the map
 version names new shards for as few slots as are needed.
 
 The law is ``bytes``: the map is made so that shard sizes are near equal. Slots are dealt from the largest to the
-smallest, each to the lightest shard so far. A map has one row for each slot, so it is bounded by ``SLOTS`` whatever
+smallest, each to the lightest shard so far. A slot is never split: all rows of one key, however many, are in one shard
+and one window partition, so the largest shard is beyond the mean by at most the largest slot. A map has one row for each slot, so it is bounded by ``SLOTS`` whatever
 the input, and may be held by the driver and broadcast.
 
 Defined results: a null text has size 1 and CRC 0; a null key hashes like any other value; repeated rows get places of
@@ -16,11 +17,12 @@ result. Other columns of the input are ignored, whatever their names.
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riffle.session import cut, table
+from riffle.session import cut, shared_dir, table
 
 #: Virtual slots: fixed for the life of a dataset.
 SLOTS = 16_384
@@ -112,7 +114,9 @@ def placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
 def op10_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cut(records(table(spark, sf_dir, "documents")))
     sizes = slot_sizes(rows)
-    out = placed(rows, map_rows(spark, first_map(sizes, 8), sizes, 1))
+    folder = f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    store_map(map_rows(spark, first_map(sizes, 8), sizes, 1), folder)
+    out = placed(rows, load_map(spark, folder))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"))
 
 

@@ -52,3 +52,17 @@ def test_the_map_is_edited_in_versions(spark, tmp_path):
 def test_empty_table(spark):
     rows = cut(records(docs(spark).where(F.lit(False))))
     assert slot_sizes(rows) == {} and placed(rows, map_rows(spark, first_map({}, 8), {}, 1)).count() == 0
+
+
+def test_the_query_stores_its_map(spark):
+    import glob
+
+    from riffle.llm import sharding
+    from riffle.session import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/slot-map-*"))
+    rows = sharding.op10_virtual_slot_sharding(spark, "/root/testdata/sf0.001").collect()
+    (path,) = set(glob.glob(f"{folder}/slot-map-*")) - before
+    held = {r.slot: r.shard for r in sharding.load_map(spark, path, 1).collect()}
+    assert rows and all(held[r.virtual_slot] == r.shard for r in rows)
