@@ -370,7 +370,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, shingle:
     head = nodes.groupBy("fp").agg(F.min("node").alias("b"))
     under = nodes.join(head, "fp").where("node != b").select(F.col("node").alias("a"), "b")
     near = cut(of_heads(nodes, links).unionByName(under))
-    groups = cut(components(near))
+    groups = components(near)  # without the roots themselves
+    groups = cut(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()))
     asked = groups.select("node").join(nodes, "node").select("node", "fp", F.col("first.doc_id").alias("__id"), F.col("first.tag").alias("__tag"))
     texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), "text", F.xxhash64("text").alias("__key"))
     texts = texts.join(asked, (texts["__doc"] == asked["__id"]) & (texts["__key"] == asked["__tag"])).select("node", "fp", "text")
