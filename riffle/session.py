@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +28,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, keep it in the shared folder and cut its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut``, but as a Parquet table in the shared folder, whose true size the planner knows.
+
+    A checkpoint keeps the size that was estimated for it. Joins multiply estimates, so in a loop they grow to numbers
+    that take the planner minutes; loops store what they hand on to the next round.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
