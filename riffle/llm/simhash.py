@@ -1,45 +1,110 @@
 """SimHash near-duplicate detection with covering locality-sensitive hashing.
 
-Every document gets one 64-bit SimHash of its word shingles. Two fingerprints are linked when at most
-``radius`` bits differ, and components of linked fingerprints are the groups of near-duplicates.
+Every document gets one SimHash of its word shingles. Two fingerprints are linked when at most ``reach`` bits differ,
+and components of linked fingerprints are the groups of near-duplicates.
 
 Links are found with covering masks: bit ``i`` carries a non-zero vector ``m(i)`` of ``r + 1`` bits, and mask
 ``v`` (one for each non-zero ``v``) keeps the bits whose ``m(i)`` has an odd inner product with ``v``. The vectors
 of at most ``r`` differing bits span at most ``r`` dimensions, so some ``v`` is orthogonal to all of them: that
-mask hides every differing bit and the pair meets in its table. No pair within the radius is missed.
-
-Defined results: a null text is an empty text and has fingerprint 0, linked like any other; rows with a null
-``doc_id`` are left out; repeated rows each come back with the same values; an empty table gives an empty result; other
-columns of the input are ignored, whatever their names.
+mask hides every differing bit and the pair meets in its table. No pair within the radius is missed. A fingerprint of
+several words has masks over each word, and one word of a pair within the radius has no more than its part of the bits.
+
+With ``similarity``, fingerprints only propose pairs, and a link is a pair whose shingle sets have that Jaccard
+similarity. Texts are then compared in three rounds: pairs that span each group of proposed pairs; in groups that
+fall apart, all other pairs of different parts that are very near; and then all the rest of them. A pair is left
+uncompared only where links that were found join its two texts already, so no link is lost.
+
+Defined results: a null text is an empty text and has fingerprint 0, linked like any other; a null ``doc_id`` is an id
+like any other, but the last one, so a group has component_id null only if none of its rows has an id; repeated rows
+each come back with the same values; an empty table gives an empty result; other columns of the input are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riffle.session import cut, table
+from riffle.session import cut, stored, table
 
 LOWER = bytes(range(256)).replace(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Shingles hashed at a time: the memory that a very long text takes.
 BLOCK = 1 << 16
 #: Fingerprints of one bucket that one task compares; larger buckets are compared in pairs of blocks.
 MAX_BUCKET = 20_000
-#: Bits within which pairs are looked at first, where a wider radius is asked for.
-SURE = 4
 #: Buckets up to this size are compared by shifted arrays, all at once.
 SMALL = 48
 #: Members of a block where all pairs of a bucket are wanted.
 BLOCK_PAIRS = 2_048
+#: Shingles and texts that are compared as sets in one block; two blocks meet in a task.
+SET_GRAMS, SET_TEXTS = 1 << 18, 1_024
+
+
+@dataclass(frozen=True)
+class Shape:
+    """Fingerprints of ``words`` words of ``width`` bits. The masks of a word cover ``each`` differing bits of it; a pair is linked or proposed within ``reach`` bits."""
+
+    words: int = 1
+    width: int = 64
+    each: int = 4
+    reach: int = 4
+    #: Bits within which pairs are looked at first.
+    near: int = 4
+
+    @property
+    def covered(self) -> int:
+        """Pairs that differ in so many bits meet with certainty."""
+        return self.words * (self.each + 1) - 1
+
+    @property
+    def columns(self) -> list[str]:
+        return [f"f{i}" for i in range(self.words)]
+
+    @cached_property
+    def masks(self) -> list[tuple[int, int]]:
+        """Word and mask of each table."""
+        return [(w, m) for w in range(self.words) for m in covering_masks(self.each, range(self.width))]
+
+    def tables(self) -> Column:
+        """An array of ``t, k``: the bucket of a fingerprint in each table."""
+        return F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"f{w}").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, (w, m) in enumerate(self.masks)])
+
+    def first_table(self, differ: list[np.ndarray]) -> np.ndarray:
+        """The first table in which pairs meet that differ in these bits; a pair may meet in several, and counts in one."""
+        out = np.full(len(differ[0]), -1)
+        for at in range(0, len(out), 1 << 13):
+            part = [d[at : at + (1 << 13)] for d in differ]
+            hit = np.concatenate([(d[:, None] & np.array([m for x, m in self.masks if x == w], np.uint64)) == 0 for w, d in enumerate(part)], axis=1)
+            out[at : at + (1 << 13)] = np.where(hit.any(axis=1), hit.argmax(axis=1), -1)
+        return out
+
+
+#: What the contract of the query names: XXH64 and 4 of 64 bits.
+PLAIN = Shape()
+#: For similarity 0.8: such texts differ in about 15 of 96 bits. All pairs of 14 bits meet, and most up to 22, the reach.
+WIDE = Shape(words=3, width=32, each=4, reach=22, near=8)
+
+
+def covering_masks(radius: int, bits: range = range(64)) -> list[int]:
+    """The 2^(radius+1)-1 masks over ``bits``; vectors are dealt in turn, so that the masks are of nearly equal weight."""
+    n = (1 << (radius + 1)) - 1
+    return [sum(1 << b for i, b in enumerate(bits) if ((i % n + 1) & v).bit_count() & 1) for v in range(1, n + 1)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
-    """XXH64 (seed 42) of the shingles of a text, repeats included, in blocks of big-endian numbers."""
+def shingle_hashes(text: str | None, shingle: int, wide: bool = False) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of a text, repeats included, as rows of bytes: XXH64 (seed 42), or XXH3 of 128 bits if ``wide``."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     n = len(words)
     if not n:
@@ -51,65 +116,67 @@ def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
     start = end - size
     total = max(1, n - shingle + 1)
     end = end[shingle - 1 :] if n >= shingle else end[-1:]
+    digest = xxhash.xxh3_128_digest if wide else xxhash.xxh64_digest
     for at in range(0, total, BLOCK):
         spans = zip(start[at : min(at + BLOCK, total)].tolist(), end[at : at + BLOCK].tolist(), strict=True)
-        yield np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in spans], dtype=">u8")
+        yield np.frombuffer(b"".join([digest(joined[a:b], 42) for a, b in spans]), np.uint8).reshape(-1, 16 if wide else 8)
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    return _fingerprint(shingle_hashes(text, shingle))
+def fingerprint(text: str | None, shingle: int, shape: Shape = PLAIN) -> list[int]:
+    return _fingerprint(shingle_hashes(text, shingle, shape.words > 1), shape)
 
 
-def _fingerprint(blocks: Iterable[np.ndarray]) -> int:
-    ones, total = np.zeros(64, np.int64), 0
+def _fingerprint(blocks: Iterable[np.ndarray], shape: Shape) -> list[int]:
+    each = shape.width // 8
+    ones, total = np.zeros(shape.words * shape.width, np.int64), 0
     for h in blocks:
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        ones += np.unpackbits(h[:, : each * shape.words], axis=1).sum(axis=0, dtype=np.int64)
         total += len(h)
-    return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big") if total else 0
+    bits = np.packbits(ones * 2 > total).tobytes() if total else bytes(each * shape.words)
+    return [int.from_bytes(bits[each * w : each * (w + 1)], "big") for w in range(shape.words)]
 
 
 def gram_set(blocks: Iterable[np.ndarray]) -> np.ndarray:
     """The distinct shingles of a text, in order."""
-    return np.unique(np.concatenate([*blocks, np.zeros(0, np.uint64)]).astype(np.uint64))
+    found = [np.ascontiguousarray(h[:, :8]).view(np.int64).ravel() for h in blocks]
+    return np.unique(np.concatenate([*found, np.zeros(0, np.int64)]))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
-    """``doc_id, tag, fp``: the SimHash of each whole text over XXH64 (seed 42) of its ``shingle``-word shingles. tag is a hash of the text.
+def fingerprints(docs: DataFrame, shingle: int = 4, shape: Shape = PLAIN, sets: bool = False) -> DataFrame:
+    """``doc_id, tag, f0, ...``: the SimHash of each whole text. tag is a hash of the text.
 
-    With ``sets``, also ``kin``: 128 bits that stand for the set of shingles.
+    With ``sets``, also ``kin``, 128 bits that stand for the set of shingles, and ``n``, its size.
     """
-    kind = "doc_id long, tag long, fp long" + (", kin binary" if sets else "")
+    kind = "doc_id long, tag long, " + ", ".join(f"{c} long" for c in shape.columns) + (", kin binary, n int" if sets else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, kin = np.zeros(batch.num_rows, np.uint64), []
+            fps, kin, n = np.zeros((batch.num_rows, shape.words), np.uint64), [], []
             for i, t in enumerate(batch.column(1)):
-                blocks = shingle_hashes(t.as_py(), shingle)
+                blocks = shingle_hashes(t.as_py(), shingle, shape.words > 1)
                 if sets:
                     blocks = list(blocks)
-                    kin.append(xxhash.xxh3_128_digest(gram_set(blocks).tobytes()))
-                fps[i] = _fingerprint(blocks)
-            columns = [batch.column(0), batch.column(2), pa.array(fps.view(np.int64))] + ([pa.array(kin, pa.binary())] if sets else [])
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "fp", "kin"][: len(columns)])
+                    own = gram_set(blocks)
+                    kin.append(xxhash.xxh3_128_digest(own.tobytes()))
+                    n.append(len(own))
+                fps[i] = _fingerprint(blocks, shape)
+            columns = [batch.column(0), batch.column(2), *[pa.array(np.ascontiguousarray(fps[:, w]).view(np.int64)) for w in range(shape.words)]]
+            columns += [pa.array(kin, pa.binary()), pa.array(n, pa.int32())] if sets else []
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", *shape.columns, "kin", "n"][: len(columns)])
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tag"))
-    return rows.mapInArrow(run, kind)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tag")).mapInArrow(run, kind)
 
 
-def covering_masks(radius: int, bits: range = range(64)) -> list[int]:
-    """The 2^(radius+1)-1 masks over ``bits``; vectors are dealt in turn, so that the masks are of nearly equal weight."""
-    n = (1 << (radius + 1)) - 1
-    return [sum(1 << b for i, b in enumerate(bits) if ((i % n + 1) & v).bit_count() & 1) for v in range(1, n + 1)]
-
-
-def masks_for(radius: int, bands: int) -> list[int]:
-    """Masks that cover ``radius``. With several bands, one band of a linked pair has at most radius // bands differing bits."""
-    cuts = [64 * b // bands for b in range(bands + 1)]
-    return [m for a, b in zip(cuts, cuts[1:], strict=False) for m in covering_masks(radius // bands, range(a, b))]
+def apart(fp: list[np.ndarray], a: np.ndarray | slice | int, b: np.ndarray | slice) -> np.ndarray:
+    """Differing bits of the fingerprints at places ``a`` and ``b``."""
+    out = np.bitwise_count(fp[0][a] ^ fp[0][b])
+    for f in fp[1:]:
+        out = out + np.bitwise_count(f[a] ^ f[b])
+    return out
 
 
 def forest(pairs: np.ndarray) -> np.ndarray:
-    """Of index pairs, those that join two trees: the links without the redundant ones."""
+    """Places of the index pairs that join two trees: the links without the redundant ones."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -122,17 +189,17 @@ def forest(pairs: np.ndarray) -> np.ndarray:
         if (x := root(a)) != (y := root(b)):
             parent[max(x, y)] = min(x, y)
             kept.append(i)
-    return pairs[kept]
+    return np.array(kept, dtype=np.int64)
 
 
-def tree_links(fp: np.ndarray, radius: int) -> np.ndarray:
+def tree_links(fp: list[np.ndarray], radius: int) -> np.ndarray:
     """Pairs of positions that span the components of one bucket: each one reached is compared with those not yet reached."""
-    left, links = np.arange(len(fp)), []
+    left, links = np.arange(len(fp[0])), []
     while len(left):
         frontier, left = [left[0]], left[1:]
         while frontier and len(left):
             at = frontier.pop()
-            near = np.bitwise_count(fp[left] ^ fp[at]) <= radius
+            near = apart(fp, left, at) <= radius
             if near.any():
                 found, left = left[near], left[~near]
                 links += [(at, x) for x in found]
@@ -140,165 +207,186 @@ def tree_links(fp: np.ndarray, radius: int) -> np.ndarray:
     return np.array(links, dtype=np.int64).reshape(-1, 2)
 
 
-def small_links(group: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
+def small_links(group: np.ndarray, fp: list[np.ndarray], radius: int) -> np.ndarray:
     """Links inside many small adjacent groups at once: each element against the one d places on."""
     found = []
     for d in range(1, SMALL):
-        same = group[d:] == group[:-d]
-        if not same.any():
+        same = np.flatnonzero(group[d:] == group[:-d])
+        if not len(same):
             break
-        at = np.flatnonzero(same & (np.bitwise_count(fp[d:] ^ fp[:-d]) <= radius))
+        at = same[apart(fp, same, same + d) <= radius]
         found.append(np.stack([at, at + d], axis=1))
     pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    near = np.bitwise_count(fp[pairs[:, 0]] ^ fp[pairs[:, 1]])
-    return forest(pairs[np.argsort(near, kind="stable")])
+    pairs = pairs[np.argsort(apart(fp, pairs[:, 0], pairs[:, 1]), kind="stable")]
+    return pairs[forest(pairs)]
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
 
+def bucket_links(shape: Shape, max_bucket: int):
+    """Reads rows (t, k, f...) sorted by bucket (t, k). Gives links as (-1, 0, f..., g..., d) and members of larger buckets as (t, k, f..., 0..., 0).
 
-def bucket_links(radius: int, max_bucket: int):
-    """Reads rows (t, k, fp) sorted by bucket (t, k). Gives links as (-1, 0, fp, fp) and members of larger buckets as (t, k, fp, 0)."""
+    A link is given only in the first table in which its pair meets. That loses nothing: by induction over the tables,
+    the pairs of a tree that were left out are joined by links of earlier tables.
+    """
+    names = ["t", "k", *shape.columns, *[f"g{i}" for i in range(shape.words)], "d"]
+
+    def batch(t: np.ndarray, k: np.ndarray, a: list[np.ndarray], b: list[np.ndarray], d: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(k), *[pa.array(x.view(np.int64)) for x in (*a, *b)], pa.array(d.astype(np.int32))], names=names)
 
-    def batch(t: np.ndarray, k: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(k), pa.array(a), pa.array(b)], names=["t", "k", "a", "b"])
+    def links(t: np.ndarray, fp: list[np.ndarray], pairs: np.ndarray) -> pa.RecordBatch:
+        x, y = pairs[:, 0], pairs[:, 1]
+        own = shape.first_table([f[x] ^ f[y] for f in fp]) == t[x]
+        x, y = x[own], y[own]
+        return batch(np.full(len(x), -1), np.zeros(len(x), np.int64), [f[x] for f in fp], [f[y] for f in fp], apart(fp, x, y))
 
-    def links(fp: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
-        a, b = fp[pairs[:, 0]], fp[pairs[:, 1]]
-        return batch(np.full(len(a), -1), np.zeros(len(a), np.int64), a.view(np.int64), b.view(np.int64))
+    def hot_rows(t: np.ndarray, k: np.ndarray, fp: list[np.ndarray]) -> pa.RecordBatch:
+        return batch(t, k, fp, [np.zeros_like(f) for f in fp], np.zeros(len(t)))
 
-    def whole(t: np.ndarray, k: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(fp):
+    def whole(t: np.ndarray, k: np.ndarray, *fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(t):
             return
-        first = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (k[1:] != k[:-1]))))
-        size = np.diff(np.append(first, len(fp)))
+        first = _starts(t, k)
+        size = np.diff(np.append(first, len(t)))
         few = np.repeat((size > 1) & (size <= SMALL), size)
-        some = fp[few]
-        if len(pairs := small_links(np.repeat(first, size)[few], some, radius)):
-            yield links(some, pairs)
+        if few.any():
+            some = [f[few] for f in fp]
+            yield links(t[few], some, small_links(np.repeat(first, size)[few], some, shape.reach))
         for at, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-            for r in {min(radius, SURE), radius}:
-                if len(pairs := tree_links(fp[at : at + n], r)):
-                    yield links(fp[at : at + n], pairs)
+            part = [f[at : at + n] for f in fp]
+            for r in sorted({min(shape.near, shape.reach), shape.reach}):
+                yield links(t[at : at + n], part, tree_links(part, r))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[list[np.ndarray]] = []
         hot = None  # the bucket that has outgrown this task
         for part in batches:
-            t, k, fp = (part.column(i).to_numpy() for i in range(3))
-            fp = fp.view(np.uint64)
+            g = [part.column(i).to_numpy() for i in range(2 + shape.words)]
+            g[2:] = [f.view(np.uint64) for f in g[2:]]
             if hot is not None:
-                more = (t == hot[0]) & (k == hot[1])
-                yield batch(t[more], k[more], fp[more].view(np.int64), np.zeros(more.sum(), np.int64))
-                t, k, fp = t[~more], k[~more], fp[~more]
-            if not len(t):
+                more = (g[0] == hot[0]) & (g[1] == hot[1])
+                yield hot_rows(g[0][more], g[1][more], [f[more] for f in g[2:]])
+                g = [x[~more] for x in g]
+            if not len(g[0]):
                 continue
             hot = None
-            t, k, fp = (np.concatenate(x) for x in zip(*held, (t, k, fp), strict=True))
-            last = int(np.argmax((t == t[-1]) & (k == k[-1])))
-            yield from whole(t[:last], k[:last], fp[:last])
-            t, k, fp = t[last:], k[last:], fp[last:]
-            held = [(t, k, fp)]
-            if len(t) > max_bucket:
-                yield batch(t, k, fp.view(np.int64), np.zeros(len(t), np.int64))
-                hot, held = (t[0], k[0]), []
-        for t, k, fp in held:
-            yield from whole(t, k, fp)
+            g = [np.concatenate(x) for x in zip(*held, g, strict=True)]
+            last = int(np.argmax((g[0] == g[0][-1]) & (g[1] == g[1][-1])))
+            yield from whole(*[x[:last] for x in g])
+            g = [x[last:] for x in g]
+            held = [g]
+            if len(g[0]) > max_bucket:
+                yield hot_rows(g[0], g[1], g[2:])
+                hot, held = (g[0][0], g[1][0]), []
+        for g in held:
+            yield from whole(*g)
 
     return run
 
 
-def block_links(hot: DataFrame, radius: int, block: int) -> DataFrame:
+def block_links(hot: DataFrame, shape: Shape, block: int) -> DataFrame:
     """Links inside the buckets that are too large for one task: blocks of about ``block`` members, each pair of blocks in a task."""
     sizes = hot.groupBy("t", "k").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
-    rows = hot.join(sizes, ["t", "k"]).withColumn("c", F.pmod(F.xxhash64("a"), F.col("n")).cast("int"))
+    rows = hot.join(sizes, ["t", "k"]).withColumn("c", F.pmod(F.xxhash64(*shape.columns), F.col("n")).cast("int"))
     rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    rows = rows.select("t", "k", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "a")
+    rows = rows.select("t", "k", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), *shape.columns)
+    ends = [*shape.columns, *[f"g{i}" for i in range(shape.words)]]
 
     def compare(part: pa.Table) -> pa.Table:
-        fp = np.unique(part.column("a").to_numpy()).view(np.uint64)
-        pairs = np.concatenate([tree_links(fp, r) for r in {min(radius, SURE), radius}])
-        return pa.table({"a": fp[pairs[:, 0]].view(np.int64), "b": fp[pairs[:, 1]].view(np.int64)})
+        fp = np.unique(np.stack([part.column(c).to_numpy() for c in shape.columns]), axis=1).view(np.uint64)
+        fp = [np.ascontiguousarray(f) for f in fp]
+        pairs = np.concatenate([tree_links(fp, r) for r in sorted({min(shape.near, shape.reach), shape.reach})])
+        columns = [f[pairs[:, i]].view(np.int64) for i in range(2) for f in fp]
+        return pa.table([*map(pa.array, columns), pa.array(apart(fp, pairs[:, 0], pairs[:, 1]).astype(np.int32))], names=[*ends, "d"])
 
-    return rows.groupBy("t", "k", "i", "j").applyInArrow(compare, "a long, b long")
+    return rows.groupBy("t", "k", "i", "j").applyInArrow(compare, ", ".join(f"{c} long" for c in ends) + ", d int")
 
 
-def near_links(nodes: DataFrame, radius: int = 4, bands: int = 1, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """Links ``a, b`` that connect all of the distinct fingerprints ``fp`` of ``nodes`` within ``radius`` bits of each other."""
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks_for(radius, bands))])
-    rows = nodes.select("fp", F.inline(tables)).select("t", "k", "fp")
-    rows = rows.repartition("t", "k").sortWithinPartitions("t", "k", "fp")  # the same links at every run
-    found = cut(rows.mapInArrow(bucket_links(radius, max_bucket), "t int, k long, a long, b long"))
-    return cut(found.where("t < 0").select("a", "b").unionByName(block_links(found.where("t >= 0"), radius, max_bucket // 2)).distinct())
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def near_links(nodes: DataFrame, shape: Shape = PLAIN, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """Links ``f0, ..., g0, ..., d`` (differing bits) that connect all of the distinct fingerprints ``f0, ...`` of ``nodes`` within reach of each other."""
+    rows = nodes.select(*shape.columns, F.inline(shape.tables())).select("t", "k", *shape.columns)
+    rows = rows.repartition("t", "k").sortWithinPartitions("t", "k", *shape.columns)  # the same links at every run
+    ends = [*shape.columns, *[f"g{i}" for i in range(shape.words)]]
+    found = cut(rows.mapInArrow(bucket_links(shape, max_bucket), "t int, k long, " + ", ".join(f"{c} long" for c in ends) + ", d int"))
+    return cut(found.where("t < 0").select(*ends, "d").unionByName(block_links(found.where("t >= 0"), shape, max_bucket // 2)))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, root``: each linked node with the smallest node that it reaches (alternating large and small stars)."""
+    """``node, root``: each linked node with the smallest node that it reaches (alternating large and small stars).
+
+    The smallest neighbours are kept as a table, so that the join with them stands alone and a hub's part of it can be split.
+    """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, bands: int = 1, similarity: float | None = None, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """One row ``doc_id, tag, fp, component_id, stays`` for each document; component_id is the smallest doc_id that it reaches by links.
+def near_duplicates(docs: DataFrame, shingle: int = 4, shape: Shape = PLAIN, similarity: float | None = None, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """One row ``doc_id, tag, f0, ..., component_id, stays`` for each document; component_id is the smallest doc_id that it reaches by links.
 
-    With ``similarity``, links count only if the shingle sets of both texts have that Jaccard similarity. ``stays`` marks
-    one text of each group: the one with that id, and of several under it the one with the smallest tag.
+    With ``similarity``, links are pairs of that Jaccard similarity. ``stays`` marks one text of each group: the one with
+    that id, and of several under it the one with the smallest tag.
     """
-    prints = cut(fingerprints(docs, shingle, sets=similarity is not None))
-    key = ["fp"] if similarity is None else ["fp", "kin"]  # texts of one fingerprint may have nothing else in common
-    nodes = cut(prints.groupBy(*key).agg(F.min(F.struct("doc_id", "tag")).alias("first")).withColumn("node", F.monotonically_increasing_id()))
-    links = near_links(nodes.select("fp").distinct(), radius, bands, max_bucket)
-    if similarity is not None:
-        links = similar_links(docs, nodes, links, shingle, radius, bands, similarity, min(BLOCK_PAIRS, max_bucket))
+    prints = cut(fingerprints(docs, shingle, shape, similarity is not None))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", *([] if similarity is None else [*shape.columns, "n"])))
+    key = shape.columns if similarity is None else ["kin"]  # texts of one fingerprint may have nothing else in common
+    nodes = cut(prints.groupBy(*key).agg(first.alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    if similarity is None:
+        links = of_heads(nodes, near_links(nodes, shape, max_bucket), shape)
     else:
-        links = of_heads(nodes, links)
-    tied = nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = tied.groupBy("root").agg(F.min("first").alias("first"))
+        links = similar_links(docs, nodes, shingle, shape, similarity, max_bucket)
+    tied = cut(nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")).select(*key, "root", F.struct("first.none", "first.doc_id", "first.tag").alias("first")))
+    least = cut(tied.groupBy("root").agg(F.min("first").alias("first")))  # kept, so that a large group's part of the join can be split
     tied = cut(tied.select(*key, "root").join(least, "root").select(*key, "first"))
-    stays = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag"))
-    return prints.join(tied, key).select("doc_id", "tag", "fp", F.col("first.doc_id").alias("component_id"), stays.alias("stays"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag"))
+    return prints.join(tied, key).select("doc_id", "tag", *shape.columns, F.col("first.doc_id").alias("component_id"), stays.alias("stays"))
 
 
-def of_heads(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Links of fingerprints as links of the first node of each."""
-    head = nodes.groupBy("fp").agg(F.min("node").alias("node"))
-    of = lambda x: head.select(F.col("fp").alias(x), F.col("node").alias(f"{x}_node"))
-    return links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+def of_heads(nodes: DataFrame, links: DataFrame, shape: Shape) -> DataFrame:
+    """Links of fingerprints as links ``a, b, d`` of the first node of each."""
+    head = cut(nodes.groupBy(*shape.columns).agg(F.min("node").alias("node")))
+    a = head.select(*shape.columns, F.col("node").alias("a"))
+    b = head.select(*[F.col(c).alias(f"g{i}") for i, c in enumerate(shape.columns)], F.col("node").alias("b"))
+    return links.join(a, shape.columns).join(b, [f"g{i}" for i in range(shape.words)]).select("a", "b", "d")
 
 
-def close_pairs(masks: list[int], low: int, high: int, similarity: float):
-    """Reads (t, k, i, j, c, node, root, n, fp) sorted by (t, k, i, j): blocks i and j of bucket (t, k). Gives every pair of
+def close_pairs(shape: Shape, low: int, high: int, similarity: float):
+    """Reads (t, k, i, j, c, node, root, n, f...) sorted by (t, k, i, j): blocks i and j of bucket (t, k). Gives every pair of
     nodes that differ in more than ``low`` and at most ``high`` bits, of different roots and of set sizes that allow the
     similarity: each pair once, in the first table in which it meets."""
-    all_masks = np.array(masks, np.uint64)
 
     def pick(g: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        t, c, node, root, n, fp, apart = g
-        differ = fp[a] ^ fp[b]
-        bits = np.bitwise_count(differ).astype(np.int64)
-        ok = (bits > low) & (bits <= high) & (root[a] != root[b]) & ~(apart[a] & (c[a] == c[b]))
-        ok &= np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b])
-        a, b, differ = a[ok], b[ok], differ[ok]
-        ok = ((differ[:, None] & all_masks) == 0).argmax(axis=1) == t[a]
-        return pa.RecordBatch.from_arrays([pa.array(node[a[ok]]), pa.array(node[b[ok]])], names=["a", "b"])
+        (t, c, node, root, n, cross), fp = g[:6], g[6:]
+        bits = apart(fp, a, b).astype(np.int32)
+        ok = (bits > low) & (bits <= high) & (root[a] != root[b]) & ~(cross[a] & (c[a] == c[b]))
+        ok &= np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9
+        a, b, bits = a[ok], b[ok], bits[ok]
+        ok = shape.first_table([f[a] ^ f[b] for f in fp]) == t[a]
+        return pa.RecordBatch.from_arrays([pa.array(node[a[ok]]), pa.array(node[b[ok]]), pa.array(bits[ok])], names=["a", "b", "d"])
 
     def whole(g: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         t, k, i, j = g[:4]
-        of = [t, *g[4:8], g[8].view(np.uint64), i != j]
-        first = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        fp = [f.view(np.uint64) for f in g[8:]]
+        of = [t, *g[4:8], i != j, *fp]
+        first = _starts(t, k, i, j)
         size = np.diff(np.append(first, len(t)))
         few = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
         group = np.repeat(first, size)[few]
@@ -311,18 +399,18 @@ def close_pairs(masks: list[int], low: int, high: int, similarity: float):
         for at, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
             for x in range(at, at + n - 1):
                 rest = np.arange(x + 1, at + n)
-                near = rest[np.bitwise_count(of[5][rest] ^ of[5][x]) <= high]
-                if len(near):
-                    yield pick(of, np.full(len(near), x), near)
+                rest = rest[apart(fp, rest, x) <= high]
+                if len(rest):
+                    yield pick(of, np.full(len(rest), x), rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         for batch in batches:
-            g = [batch.column(x).to_numpy() for x in range(9)]
+            g = [batch.column(x).to_numpy() for x in range(8 + shape.words)]
             if not len(g[0]):
                 continue
             # the last bucket of a batch may go on in the next one
-            last = int(np.argmax((g[0] == g[0][-1]) & (g[1] == g[1][-1]) & (g[2] == g[2][-1]) & (g[3] == g[3][-1])))
+            last = int(_starts(*g[:4])[-1])
             if held and (last or any(x[0] != y[-1] for x, y in zip(g[:4], held[-1][:4], strict=True))):
                 yield from gathered(whole([np.concatenate(x) for x in zip(*held, [y[:last] for y in g], strict=True)]))
                 held = []
@@ -338,80 +426,164 @@ def close_pairs(masks: list[int], low: int, high: int, similarity: float):
 def gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Many small batches as fewer larger ones."""
     held: list[pa.RecordBatch] = []
+    rows = 0
     for part in parts:
         if part.num_rows:
             held.append(part)
-        if len(held) >= 1_000 or sum(x.num_rows for x in held[-1:]) >= BLOCK:
+            rows += part.num_rows
+        if len(held) >= 1_000 or rows >= BLOCK:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held = []
+            held, rows = [], 0
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def every_pair(members: DataFrame, masks: list[int], low: int, high: int, similarity: float, block: int) -> DataFrame:
-    """``a, b``: all pairs of ``members`` (node, root, n, fp) that a link of more than ``low`` and at most ``high`` bits may join; large buckets in pairs of blocks."""
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks)])
-    rows = members.select("node", "root", "n", "fp", F.inline(tables))
+def every_pair(members: DataFrame, shape: Shape, low: int, high: int, similarity: float, block: int) -> DataFrame:
+    """``a, b, d``: all pairs of ``members`` (node, root, n, f0, ...) that a link of more than ``low`` and at most ``high`` bits may join; large buckets in pairs of blocks."""
+    rows = members.select("node", "root", "n", *shape.columns, F.inline(shape.tables()))
     sizes = rows.groupBy("t", "k").agg(F.count("*").alias("rows"), F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
-    rows = rows.join(sizes.select("t", "k", F.ceil(F.col("rows") / block).cast("int").alias("blocks")), ["t", "k"])
+    sizes = cut(sizes.select("t", "k", F.ceil(F.col("rows") / block).cast("int").alias("blocks")))
+    rows = rows.join(sizes, ["t", "k"])
     rows = rows.withColumn("c", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("t", "k", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "c", "node", "root", F.col("n").cast("long").alias("n"), "fp")
-    rows = rows.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j")
-    return rows.mapInArrow(close_pairs(masks, low, high, similarity), "a long, b long")
-
-
-def similar_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, shingle: int, radius: int, bands: int, similarity: float, block: int) -> DataFrame:
-    """Links of nodes that connect all whose texts are similar enough within the radius.
-
-    ``links`` span the groups of near fingerprints. They are compared as texts first, as they join most of what belongs
-    together; but a dropped one may have stood for others. So inside groups that fall apart, every other pair between two parts is
-    compared too, the nearer ones first.
+    rows = rows.select("t", "k", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "c", "node", "root", F.col("n").cast("long").alias("n"), *shape.columns)
+    rows = rows.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", *shape.columns, "node")
+    return rows.mapInArrow(close_pairs(shape, low, high, similarity), "a long, b long, d int")
+
+
+class Sets:
+    """Shingle sets of some texts, side by side, and the parts that they form. Texts of one ``part`` belong together from the start."""
+
+    def __init__(self, grams: np.ndarray, size: np.ndarray, part: np.ndarray):
+        self.size, self.start = size, np.cumsum(size) - size
+        _, self.gram = np.unique(grams, return_inverse=True)
+        self.width = int(self.gram.max(initial=0)) + 1
+        self.held = np.repeat(np.arange(len(size)), size) * self.width + self.gram  # in order, as the sets are
+        _, first, of = np.unique(part, return_index=True, return_inverse=True)
+        self.root = first[of]
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Shared shingles of each pair: those of the smaller set that the other one holds."""
+        swap = self.size[a] > self.size[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        n = self.size[a]
+        pair = np.repeat(np.arange(len(a)), n)
+        at = np.arange(len(pair)) + np.repeat(self.start[a] - (np.cumsum(n) - n), n)
+        wanted = b[pair] * self.width + self.gram[at]
+        place = np.minimum(np.searchsorted(self.held, wanted), len(self.held) - 1)
+        return np.bincount(pair[self.held[place] == wanted], minlength=len(a))
+
+    def links(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+        """Places of the pairs that are alike and join two parts. Pairs are taken in order; those inside a part are passed over."""
+        found, at = [], 0
+        while at < len(a):
+            part = np.arange(at, min(len(a), at + BLOCK))
+            some = np.cumsum(np.minimum(self.size[a[part]], self.size[b[part]])) <= 8 * BLOCK
+            part = part[: max(1, int(some.sum()))]
+            at += len(part)
+            part = part[self.root[a[part]] != self.root[b[part]]]
+            if not len(part):
+                continue
+            x, y = a[part], b[part]
+            both = self.common(x, y)
+            part = part[both >= similarity * (self.size[x] + self.size[y] - both) - 1e-9]
+            ends = np.stack([self.root[a[part]], self.root[b[part]]], axis=1)
+            new = forest(ends)
+            found.append(part[new])
+            parent = np.arange(len(self.root))
+            for p, q in ends[new].tolist():
+                while parent[p] != p:
+                    p = parent[p]
+                while parent[q] != q:
+                    q = parent[q]
+                parent[max(p, q)] = min(p, q)
+            while (up := parent[parent]).tolist() != parent.tolist():
+                parent = up
+            self.root = parent[self.root]
+        return np.concatenate([*found, np.zeros(0, np.int64)])
+
+
+def alike(pairs: DataFrame, texts: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b, d) that are similar enough, without the redundant ones.
+
+    ``texts`` has ``node, team, block, grams``: texts of a group are dealt to blocks of bounded size, and a task gets the
+    pairs of two blocks and one copy of each set that they name. ``parts`` (node, root) says what belongs together already.
     """
-    head = nodes.groupBy("fp").agg(F.min("node").alias("b"))
-    under = nodes.join(head, "fp").where("node != b").select(F.col("node").alias("a"), "b")
-    near = cut(of_heads(nodes, links).unionByName(under))
-    groups = components(near)  # without the roots themselves
-    groups = cut(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()))
-    asked = groups.select("node").join(nodes, "node").select("node", "fp", F.col("first.doc_id").alias("__id"), F.col("first.tag").alias("__tag"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), "text", F.xxhash64("text").alias("__key"))
-    texts = texts.join(asked, (texts["__doc"] == asked["__id"]) & (texts["__key"] == asked["__tag"])).select("node", "fp", "text")
+    place = lambda x: texts.select(F.col("node").alias(x), F.col("team").alias(f"team_{x}"), F.col("block").alias(f"block_{x}"))
+    unit = ["team", "i", "j"]
+    dealt = pairs.join(place("a"), "a").join(place("b"), "b")
+    dealt = cut(dealt.select(F.col("team_a").alias("team"), F.least("block_a", "block_b").alias("i"), F.greatest("block_a", "block_b").alias("j"), "a", "b", "d"))
+    wanted = dealt.select(*unit, F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = wanted.join(texts.select("node", "grams"), "node").join(parts.select("node", "root"), "node")
+    wanted = wanted.select(*[F.col(c).alias(f"of_{c}") for c in unit], "node", "root", "grams")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        node = right.column("node").to_numpy()
+        order = np.argsort(node)
+        node, grams = node[order], right.column("grams").combine_chunks().take(pa.array(order))
+        a, b, d = (left.column(c).to_numpy() for c in "abd")
+        turn = np.lexsort((b, a, d))
+        a, b, d = a[turn], b[turn], d[turn]
+        sets = Sets(grams.flatten().to_numpy(), pa.compute.list_value_length(grams).to_numpy(), right.column("root").to_numpy()[order])
+        new = sets.links(np.searchsorted(node, a), np.searchsorted(node, b), similarity)
+        return pa.table({"a": a[new], "b": b[new]})
+
+    return dealt.groupBy(*unit).cogroup(wanted.groupBy(*[f"of_{c}" for c in unit])).applyInArrow(compare, "a long, b long")
+
+
+def _row_key(doc_id: Column, tag: Column) -> list[Column]:
+    """Equality of these is equality of id and text, nulls included."""
+    return [doc_id.isNull().alias("none"), F.coalesce(doc_id.cast("long"), F.lit(0)).alias("id"), tag.alias("tag")]
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, shape: Shape, similarity: float, max_bucket: int) -> DataFrame:
+    """Links ``a, b`` of nodes that connect all whose texts are similar enough and whose fingerprints propose it."""
+    nodes = cut(nodes.select("node", *[F.col(f"first.{c}").alias(c) for c in ("none", "doc_id", "tag", *shape.columns, "n")]))
+    proposed = of_heads(nodes, near_links(nodes.select(*shape.columns).distinct(), shape, max_bucket), shape)
+    head = nodes.groupBy(*shape.columns).agg(F.min("node").alias("b"))
+    proposed = cut(proposed.unionByName(nodes.join(head, shape.columns).where("node != b").select(F.col("node").alias("a"), "b", F.lit(0).alias("d"))))
+    groups = cut(components(proposed))
+    groups = cut(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "group"))  # with the roots themselves
+
+    sizes = cut(groups.join(nodes.select("node", "n"), "node").groupBy("group").agg(F.sum(F.col("n") + 1).alias("grams"), F.count("*").alias("texts")))
+    blocks = F.ceil(F.greatest(F.col("grams") / SET_GRAMS, F.col("texts") / min(SET_TEXTS, max_bucket))).cast("int")
+    sizes = sizes.withColumn("blocks", blocks)
+    teams = -(-(sizes.where("blocks = 1").agg(F.sum("grams")).first()[0] or 0) // SET_GRAMS) or 1
+    team = F.when(F.col("blocks") > 1, F.col("group")).otherwise(-1 - F.pmod(F.xxhash64("group"), F.lit(teams)))  # small groups share a task
+    members = groups.join(sizes.select("group", "blocks"), "group").select("group", "node", team.alias("team"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    members = cut(members.join(nodes, "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [gram_set(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["node", "fp", "grams"])
-
-    grams = cut(texts.mapInArrow(run, "node long, fp long, grams array<long>").dropDuplicates(["node"]))
-    side = lambda x: grams.select(F.col("node").alias(x), F.col("grams").alias(f"{x}_grams"))
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        both = F.size(F.array_intersect("a_grams", "b_grams"))
-        like = both >= similarity * (F.size("a_grams") + F.size("b_grams") - both)
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(like).select("a", "b")
-
-    found, low = cut(alike(near)), -1
-    for high in sorted({min(SURE, radius), radius}):
-        part = groups.withColumnRenamed("root", "group").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = part.groupBy("group").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("group")
-        members = part.join(split, "group").join(grams.select("node", "fp", F.size("grams").alias("n")), "node")
-        members = cut(members.select("node", "root", "n", "fp"))
-        more = cut(every_pair(members, masks_for(radius, bands), low, high, similarity, block))
-        found, low = cut(found.unionByName(alike(more))), high
+            sets = [gram_set(shingle_hashes(t.as_py(), shingle, shape.words > 1)) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.list_(pa.int64()))], names=["node", "team", "block", "grams"])
+
+    rows = docs.select(*_row_key(F.col("doc_id"), F.xxhash64("text")), "text").join(members.select("node", "team", "block", *_row_key(F.col("doc_id"), F.col("tag"))), ["none", "id", "tag"])
+    texts = cut(rows.select("node", "team", "block", "text").mapInArrow(run, "node long, team long, block int, grams array<long>").dropDuplicates(["node"]))
+
+    found, low = cut(alike(proposed, texts, members.withColumn("root", F.col("node")), similarity)), -1
+    for high in sorted({min(shape.near, shape.reach), shape.reach}):
+        parts = members.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        split = cut(parts.groupBy("group").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("group"))
+        parts = cut(parts.join(split, "group").select("node", "root", "n", *shape.columns))
+        more = cut(every_pair(parts, shape, low, high, similarity, min(BLOCK_PAIRS, max_bucket)))
+        found, low = cut(found.unionByName(alike(more, texts, parts, similarity))), high
     return found
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 9, bands: int = 2, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates. Rows with a null id stay; repeated rows are one document."""
-    gone = near_duplicates(docs, shingle, radius, bands, similarity).where("NOT stays")
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).distinct()
-    rows = docs.withColumn("__key", F.xxhash64("text"))
-    left = rows.join(gone, (rows["doc_id"] == gone["__id"]) & (rows["__key"] == gone["__tag"]), "left_anti")
-    return left.dropDuplicates(["doc_id", "__key"]).drop("__key")
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, shape: Shape = WIDE) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates: the one with the smallest id, rows without an id last.
+
+    Repeated rows (one id and one text) are one document. All columns come through, whatever their names.
+    """
+    gone = near_duplicates(docs, shingle, shape, similarity).where("NOT stays").select(*_row_key(F.col("doc_id"), F.col("tag"))).distinct()
+    row = docs.select(F.struct("*").alias("row"))
+    rows = row.select(*_row_key(F.col("row.doc_id"), F.xxhash64("row.text")), "row")
+    return rows.join(gone, ["none", "id", "tag"], "left_anti").dropDuplicates(["none", "id", "tag"]).select("row.*")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, shape=PLAIN)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
 QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup}

@@ -45,49 +45,95 @@ def dense(rng, centres, each, flips=3):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("bands", "radius", "max_bucket"), [(1, 4, 20_000), (1, 4, 16), (2, 9, 60)])
-def test_links_connect_what_brute_force_connects(spark, bands, radius, max_bucket):
+HALVES = simhash.Shape(words=2, width=32, each=4, reach=9)
+
+
+def halves(x):
+    return (x >> 32, x & (2**32 - 1))
+
+
+@pytest.mark.parametrize(("shape", "max_bucket"), [(simhash.PLAIN, 20_000), (simhash.PLAIN, 16), (HALVES, 20_000), (HALVES, 60)])
+def test_links_connect_what_brute_force_connects(spark, shape, max_bucket):
     fps = dense(np.random.default_rng(5), 12, 40) + [0, 1, 3]
-    links = near_links(spark.createDataFrame([(x,) for x in fps], "fp long"), radius, bands, max_bucket).collect()
-    assert all((a ^ b).bit_count() <= radius for a, b in links)
-    want = slow_components(fps, radius)
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    rows = [halves(x) if shape.words > 1 else (x,) for x in fps]
+    links = near_links(spark.createDataFrame(rows, ", ".join(f"{c} long" for c in shape.columns)), shape, max_bucket).collect()
+    whole = [((r.f0 << 32 | r.f1, r.g0 << 32 | r.g1) if shape.words > 1 else (r.f0, r.g0), r.d) for r in links]
+    assert all((a ^ b).bit_count() == d <= shape.reach for (a, b), d in whole)
+    assert shape.covered == shape.reach
+    want = slow_components(fps, shape.reach)
+    got = {r.node: r.root for r in components(spark.createDataFrame([p for p, _ in whole], "a long, b long")).collect()}
     assert {x: got.get(x, x) for x in fps} == want
 
 
+def test_wide_masks_cover_fourteen_bits_and_most_pairs_in_reach():
+    rng = np.random.default_rng(1)
+    found = {}
+    for n in (14, 16, 19):
+        met = 0
+        for _ in range(1000):
+            bits = rng.choice(96, n, replace=False)
+            differ = [sum(1 << int(b % 32) for b in bits if b // 32 == w) for w in range(3)]
+            hit = [t for t, (w, m) in enumerate(simhash.WIDE.masks) if not m & differ[w]]
+            assert simhash.WIDE.first_table([np.array([d], np.uint64) for d in differ])[0] == (hit[0] if hit else -1)
+            met += bool(hit)
+        found[n] = met / 1000
+    assert simhash.WIDE.covered == 14 and found[14] == 1 and found[16] > 0.9 and found[19] > 0.6
+
+
 def test_a_bucket_split_over_batches_loses_nothing():
     import pyarrow as pa
 
+    shape = simhash.Shape()
+    shape.__dict__["masks"] = [(0, 0)]  # one table with one bucket
     fps = np.array(dense(np.random.default_rng(2), 1, 300), dtype=np.int64)
     n = len(fps)
-    whole = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64)), pa.array(fps)], names=["t", "k", "fp"])
-    links = [b for b in bucket_links(4, 1000)(whole.slice(i, 7) for i in range(0, n, 7))]
+    whole = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64)), pa.array(fps)], names=["t", "k", "f0"])
+    links = [b for b in bucket_links(shape, 1000)(whole.slice(i, 7) for i in range(0, n, 7))]
     pairs = {(x, y) for b in links for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)}
     label = {int(x): int(x) for x in fps}
     for _ in range(n):
         for a, b in pairs:
             label[a] = label[b] = min(label[a], label[b])
     assert label == slow_components([int(x) for x in fps], 4)
-    over = [b for b in bucket_links(4, 50)(whole.slice(i, 7) for i in range(0, n, 7))]
+    pairs_seen = {(min(p), max(p)) for p in pairs}
+    assert len(pairs_seen) == len(pairs)
+    over = [b for b in bucket_links(shape, 50)(whole.slice(i, 7) for i in range(0, n, 7))]
     assert sum(b.num_rows for b in over if b.column(0)[0].as_py() == 0) == n
 
 
 def test_edge_cases(spark):
     long = " ".join(f"w{i}" for i in range(70_000))
-    rows = [(3, None, "x"), (1, "", "y"), (2, "\t \n", None), (5, long, "a"), (4, long, "a"), (4, long, "a"), (7, "One two", "b"), (8, "ONE\x0btwo", "b"), (9, "é É", "b"), (None, "z", "c")]
-    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, fp int, component_id int")
-    got = sorted((r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in near_duplicates(docs).collect())
-    assert [g[0] for g in got] == [1, 2, 3, 4, 4, 5, 7, 8, 9]
-    assert {g[0]: g[2] for g in got} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 7: 7, 8: 7, 9: 9}
-    assert all(g[1] == slow_fingerprint(dict((i, t) for i, t, _ in rows)[g[0]]) for g in got if g[0] not in (4, 5))
-    assert simhash.fingerprint(long, 4) == slow_fingerprint(long)
+    rows = [(3, None, "x"), (1, "", "y"), (2, "\t \n", None), (5, long, "a"), (4, long, "a"), (4, long, "a"), (7, "One two", "b"), (8, "ONE\x0btwo", "b"), (9, "é É", "b"), (None, "z", "c"), (None, "z", "c"), (None, "one two", "c")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, source string, f0 int, component_id int, `a.b` int")
+    got = sorted(((r.doc_id or 99), r.f0 & (2**64 - 1), r.component_id) for r in near_duplicates(docs).collect())
+    assert [g[0] for g in got] == [1, 2, 3, 4, 4, 5, 7, 8, 9, 99, 99, 99]
+    assert {g[0]: g[2] for g in got if g[0] < 99} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 7: 7, 8: 7, 9: 9}
+    assert [g[2] for g in got if g[0] == 99].count(7) == 1 and [g[2] for g in got if g[0] == 99].count(None) == 2
+    assert all(g[1] == slow_fingerprint(dict((i, t) for i, t, _ in rows)[g[0]]) for g in got if g[0] not in (4, 5, 99))
+    assert simhash.fingerprint(long, 4) == [slow_fingerprint(long)]
     assert near_duplicates(docs.where(F.lit(False))).count() == 0
 
 
+def test_the_query_against_brute_force(spark):
+    from pyspark.sql import types as T
+
+    got = simhash.op1_simhash_near_dedup(spark, "/root/testdata/sf0.01")
+    assert isinstance(got.schema["doc_id"].dataType, T.LongType)
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    fp = {i: slow_fingerprint(t) for i, t in texts.items()}
+    label = slow_components(sorted(set(fp.values())), 4)
+    least = {}
+    for i, f in fp.items():
+        least[label[f]] = min(i, least.get(label[f], i))
+    rows = got.collect()
+    assert len(rows) == len(texts)
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in rows} == {i: (f"{f:016x}", least[label[f]]) for i, f in fp.items()}
+
+
 def test_links_of_dissimilar_texts_do_not_count(spark):
     texts = ["a b c d e f", "a b c d e f", "x y z u v w", "p q r s t o n m"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = near_duplicates(docs, shingle=5, radius=63, bands=1 << 5, similarity=0.8).collect()
+    got = near_duplicates(docs, 5, simhash.Shape(2, 48, 0, 96), 0.8).collect()
     assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 0, 2: 2, 3: 3}
     assert sorted(r.doc_id for r in got if r.stays) == [0, 2, 3]
 
@@ -103,40 +149,76 @@ def family(rng, copies, least, most, n=150):
     return texts
 
 
-def slow_groups(texts, radius, similarity, k=5):
-    def grams(text):
-        words = text.split()
-        return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+def grams_of(text, k=5):
+    words = text.split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
 
-    fps, sets, label = [simhash.fingerprint(t, k) for t in texts], [grams(t) for t in texts], list(range(len(texts)))
+
+def slow_groups(texts, shape, similarity):
+    """Groups by every pair that meets in some table within reach and whose texts are similar enough."""
+    fps, sets, label = [simhash.fingerprint(t, 5, shape) for t in texts], [grams_of(t) for t in texts], list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= radius and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) and label[i] != label[j]:
+            differ = [a ^ b for a, b in zip(fps[i], fps[j], strict=True)]
+            meet = sum(d.bit_count() for d in differ) <= shape.reach and any(not differ[w] & m for w, m in shape.masks)
+            if meet and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) and label[i] != label[j]:
                 old, new = max(label[i], label[j]), min(label[i], label[j])
                 label = [new if x == old else x for x in label]
     return dict(enumerate(label))
 
 
-@pytest.mark.parametrize("max_bucket", [20_000, 40])
-def test_no_similar_pair_hides_behind_a_dissimilar_one(spark, max_bucket):
-    texts = family(np.random.default_rng(7), 150, 1, 6)
-    want = slow_groups(texts, 9, 0.8)
+@pytest.mark.parametrize(("shape", "max_bucket"), [(simhash.WIDE, 20_000), (simhash.WIDE, 40), (simhash.Shape(2, 48, 4, 9, 4), 20_000), (simhash.Shape(2, 48, 4, 9, 4), 40)])
+def test_no_similar_pair_hides_behind_a_dissimilar_one(spark, shape, max_bucket):
+    texts = family(np.random.default_rng(7), 150, 2, 9)
+    want = slow_groups(texts, shape, 0.8)
     assert 1 < len(set(want.values())) < 150
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = near_duplicates(docs, 5, 9, 2, 0.8, max_bucket).collect()
+    got = near_duplicates(docs, 5, shape, 0.8, max_bucket).collect()
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_pairs_at_the_stated_similarity_are_found(spark):
+    """Pairs between 0.8 and 0.9, each by itself: nine in ten are found, and nothing below 0.8 is."""
+    rng = np.random.default_rng(3)
+    rows, similar = [], {}
+    for i in range(400):
+        n = int(rng.integers(60, 400))
+        base = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+        other = list(base)
+        for at in rng.choice(n, max(1, int(n * rng.uniform(0.01, 0.035))), replace=False):
+            other[at] = f"x{rng.integers(0, 10**9)}"
+        a, b = grams_of(" ".join(base)), grams_of(" ".join(other))
+        similar[i] = len(a & b) / len(a | b)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, simhash.WIDE, 0.8).collect()}
+    found = {i: got[2 * i + 1] == 2 * i for i in similar}
+    wanted = [i for i, j in similar.items() if 0.8 <= j < 0.9]
+    lowest = [i for i, j in similar.items() if 0.8 <= j < 0.83]
+    assert len(lowest) > 40 and sum(found[i] for i in lowest) >= 0.85 * len(lowest)
+    assert sum(found[i] for i in wanted) >= 0.9 * len(wanted)
+    assert not any(found[i] for i, j in similar.items() if j < 0.8)
+
+
 def test_texts_of_one_fingerprint_are_compared(spark):
     rng = np.random.default_rng(1)
     tail = [[f"t{x}" for x in rng.integers(0, 10**6, 20)] for _ in range(60)]
     texts = [" ".join(["spam"] * 100 + w) for w in tail] + [" ".join(["spam"] * 104 + tail[3]), " ".join(["spam"] * 100 + [*tail[5], "more"])]
-    assert len({simhash.fingerprint(t, 5) for t in texts}) < 10
+    assert len({tuple(simhash.fingerprint(t, 5, simhash.WIDE)) for t in texts}) < 10
     docs = spark.createDataFrame([*enumerate(texts), (70, texts[8]), (8, texts[9]), (80, None), (81, "")], "doc_id long, text string")
-    got = {(r.doc_id, r.tag): r.component_id for r in near_duplicates(docs, 5, 9, 2, 0.8, 20).collect()}
+    got = {(r.doc_id, r.tag): r.component_id for r in near_duplicates(docs, 5, simhash.WIDE, 0.8, 20).collect()}
     root = {i: [v for (x, _), v in sorted(got.items()) if x == i] for i in range(82)}
     assert all(root[i] == [i] for i in range(60) if i not in (8, 9))
     assert root[60] == [3] and root[61] == [5] and root[70] == [8] and root[80] == root[81] == [80]
     assert root[8] == [8, 8] and root[9] == [8]
     kept = sorted((r.doc_id, r.text) for r in simhash.one_of_each(docs.where("doc_id < 80")).collect())
     assert len({t for _, t in kept}) == len(kept) == 60
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", 1), (1, "a b c d e f", 1), (None, "p q r s t u", 2), (None, "p q r s t u", 3), (None, "other words here", 4), (5, "p q r s t u", 5), (6, None, 6)]
+    docs = spark.createDataFrame([(*r, "k", "i", "t", "n", "w", "d", "DOC") for r in rows], "doc_id long, text string, n int, __key string, id string, tag string, none string, `row` string, `a.b` string, Doc_Id2 string")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, "other words here"), (1, "a b c d e f"), (5, "p q r s t u"), (6, "")]
+    assert all(tuple(r)[3:] == ("k", "i", "t", "n", "w", "d", "DOC") for r in got)
