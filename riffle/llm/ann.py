@@ -13,7 +13,8 @@ streamed through tasks, which keep only the nearest few of each query that they
 are compared with every entry.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part; ties go to the smaller id; repeated rows (same id and vector) are one row; rows with a null id take no part; with fewer candidates than asked for, the others
+part; ties go to the smaller id; repeated rows (same id and vector) are one row; several vectors under one id are rows of
+their own, each a candidate (also of the others) and each a query; rows with a null id take no part; with fewer candidates than asked for, the others
 are missing; empty tables give an empty result. Other columns of the input are ignored.
 """
 
@@ -116,13 +117,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 class Nearest:
-    """The nearest ``n`` entries of each query met so far: squared distances and entries, in order."""
+    """The nearest ``n`` entries of each query met so far: squared distances, smallest ids and entries, in this order."""
 
     def __init__(self, n: int):
         self.n = n
-        self.of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.of: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
-    def meet(self, queries: np.ndarray, q: np.ndarray, entries: np.ndarray, x: np.ndarray) -> None:
+    def meet(self, queries: np.ndarray, q: np.ndarray, entries: np.ndarray, least: np.ndarray, x: np.ndarray) -> None:
         """Compares all queries of a bucket with some of its entries. Exact distances are taken wherever fast ones could decide wrongly."""
         q2, x2 = (q**2).sum(1), (x**2).sum(1)
         fast = q2[:, None] + x2 - 2 * (q @ x.T)
@@ -136,24 +137,24 @@ class Nearest:
             near = np.flatnonzero(row <= most + slack[i])
             if not len(near):
                 continue
-            d, e = ((x[near] - q[i]) ** 2).sum(axis=1), entries[near]
+            d, low, e = ((x[near] - q[i]) ** 2).sum(axis=1), least[near], entries[near]
             if known is not None:
-                d, e = np.concatenate([known[0], d]), np.concatenate([known[1], e])
+                d, low, e = (np.concatenate(both) for both in zip(known, (d, low, e), strict=True))
             e, first = np.unique(e, return_index=True)
-            d = d[first]
-            order = np.lexsort((e, d))[: self.n]
-            self.of[query] = d[order], e[order]
+            d, low = d[first], low[first]
+            order = np.lexsort((e, low, d))[: self.n]
+            self.of[query] = d[order], low[order], e[order]
 
     def flush(self) -> pa.RecordBatch:
-        n = [len(d) for d, _ in self.of.values()]
+        n = [len(x[0]) for x in self.of.values()]
         ids = np.repeat(np.fromiter(self.of, np.int64, len(n)), n)
-        d, e = (np.concatenate([x[k] for x in self.of.values()]) if n else np.zeros(0, t) for k, t in ((0, float), (1, np.int64)))
+        d, low, e = (np.concatenate([x[k] for x in self.of.values()]) if n else np.zeros(0, t) for k, t in enumerate((float, np.int64, np.int64)))
         self.of = {}
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(e), pa.array(d)], names=["query_id", "entry", "d2"])
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(e), pa.array(low), pa.array(d)], names=["query", "entry", "least", "d2"])
 
 
 def search(nearest: int):
-    """Reads (t, key, part, block, is_entry, id, v) sorted by bucket, queries before entries; gives the nearest entries of each query."""
+    """Reads (t, key, part, block, is_entry, id, least, v) sorted by bucket, queries before entries; gives the nearest entries of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, bucket = Nearest(nearest), None
@@ -163,7 +164,7 @@ def search(nearest: int):
             if not batch.num_rows:
                 continue
             head = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], axis=1)
-            row_id, v = batch.column(5).to_numpy(), _matrix(batch.column(6))
+            row_id, least, v = batch.column(5).to_numpy(), batch.column(6).to_numpy(), _matrix(batch.column(7))
             at = np.flatnonzero(np.concatenate(([True], (head[1:] != head[:-1]).any(axis=1), [True])))
             for a, b in zip(at, at[1:], strict=False):
                 if bucket is None or (head[a, :4] != bucket).any():
@@ -175,7 +176,8 @@ def search(nearest: int):
                     if len(ids) > 1:
                         ids, q = [np.concatenate(ids)], [np.concatenate(q)]
                     for c in range(a, b, CHUNK):
-                        best.meet(ids[0], q[0], row_id[c : min(b, c + CHUNK)], v[c : min(b, c + CHUNK)])
+                        end = min(b, c + CHUNK)
+                        best.meet(ids[0], q[0], row_id[c:end], least[c:end], v[c:end])
             if len(best.of) > HELD:
                 yield best.flush()
         yield best.flush()
@@ -192,16 +194,18 @@ def copies(one: DataFrame, nearest: int) -> DataFrame:
 
 def nearest_neighbours(rows: DataFrame, query: Column, nearest: int = 10, tables: int = TABLES, target: float = TARGET, fill: int = FILL, part: int = PART) -> DataFrame:
     """``query_id, rank, vec_id, score``: the nearest found of all ``rows`` (vec_id, embedding) for those that meet ``query`` (a condition on vec_id)."""
-    base = cut(usable(rows).select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(SEED), "v").alias("h2")))
+    base = usable(rows).select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(SEED), "v").alias("h2"))
+    base = cut(base.dropDuplicates(["vec_id", "h1", "h2"]))
     lengths = base.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     dim = lengths.n if lengths else 1
     base = base.where(F.size("v") == dim)
-    one = base.groupBy("vec_id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("vec_id", "h.h1", "h.h2")  # several vectors under one id: one of them
-    entries = copies(one, nearest).select("h1", "h2", "ids", F.element_at("ids", 1).alias("vec_id"))
-    entries = cut(entries.join(base, ["vec_id", "h1", "h2"]).select(F.col("vec_id").alias("entry"), "ids", "v"))
-    queries = one.where(query).join(base, ["vec_id", "h1", "h2"]).select(F.col("vec_id").alias("query_id"), "v")
+    entries = copies(base.select("vec_id", "h1", "h2"), nearest).select("h1", "h2", "ids", F.element_at("ids", 1).alias("vec_id"))
+    entries = entries.join(base, ["vec_id", "h1", "h2"]).select("h1", "h2", F.col("vec_id").alias("least"), "ids", "v")
+    entries = cut(entries.withColumn("entry", F.monotonically_increasing_id()))
+    queries = base.where(query).join(entries.select("h1", "h2", F.col("entry").alias("own")), ["h1", "h2"])
+    queries = cut(queries.select("vec_id", "own", "v").withColumn("query", F.monotonically_increasing_id()))
 
-    sample = entries.select("entry", "v").distinct().orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).toPandas()
+    sample = entries.select("least", "h1", "v").orderBy(F.xxhash64("least", "h1"), "least", "h1").limit(SAMPLE).toPandas()
     model = Hashing(np.array(sample["v"].tolist(), float).reshape(-1, dim), entries.count(), nearest, tables, target, fill)
 
     @F.pandas_udf("array<bigint>")
@@ -219,42 +223,47 @@ def nearest_neighbours(rows: DataFrame, query: Column, nearest: int = 10, tables
         return pd.Series([[{"t": t, "key": k} for t in range(tables) for k in model.key(model.probes(x[t])).tolist()] for x in at])
 
     index = cut(entries.select("entry", F.posexplode(keys("v")).alias("t", "key")))
-    probes = cut(queries.select("query_id", F.explode(visits("v")).alias("p")).select("query_id", "p.t", "p.key"))
+    probes = cut(queries.select("query", F.explode(visits("v")).alias("p")).select("query", "p.t", "p.key"))
     count = lambda df, name: df.groupBy("t", "key").agg(F.ceil(F.count("*") / part).cast("int").alias(name))
     parts = cut(count(index, "parts").join(count(probes, "blocks"), ["t", "key"]))
     of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    entry = [F.lit(1).alias("is_entry"), F.col("entry").alias("id"), "least", "v"]
+    asked = [F.lit(0).alias("is_entry"), F.col("query").alias("id"), F.lit(0).cast("long").alias("least"), "v"]
     here = index.join(parts, ["t", "key"]).withColumn("part", of("entry", "parts")).withColumn("block", each("blocks"))
-    here = here.join(entries.select("entry", "v"), "entry").select("t", "key", "part", "block", F.lit(1).alias("is_entry"), F.col("entry").alias("id"), "v")
-    there = probes.join(parts, ["t", "key"]).withColumn("block", of("query_id", "blocks")).withColumn("part", each("parts"))
-    there = there.join(queries, "query_id").select("t", "key", "part", "block", F.lit(0).alias("is_entry"), F.col("query_id").alias("id"), "v")
-    out = cut(ranked(here.unionByName(there), entries, nearest))
+    here = here.join(entries.select("entry", "least", "v"), "entry").select("t", "key", "part", "block", *entry)
+    there = probes.join(parts, ["t", "key"]).withColumn("block", of("query", "blocks")).withColumn("part", each("parts"))
+    there = there.join(queries.select("query", "v"), "query").select("t", "key", "part", "block", *asked)
+    out = cut(ranked(here.unionByName(there), entries, queries, nearest))
 
     # queries that met too few: compared with every entry, in blocks of both
-    least = min(nearest, one.count() - 1)
-    short = queries.join(out.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < least)
-    short = cut(short.select("query_id", "v"))
+    least = min(nearest, base.count() - 1)
+    short = queries.join(out.groupBy("query").agg(F.count("*").alias("n")), "query", "left").where(F.coalesce("n", F.lit(0)) < least)
+    short = cut(short.select("query", "v"))
+    columns = ["query_id", "rank", "vec_id", "score"]
     if not (n := short.count()):
-        return out
+        return out.select(*columns)
     parts, blocks = math.ceil(entries.count() / part), math.ceil(n / part)
     pick = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     place = [F.lit(0).alias("t"), F.lit(0).cast("long").alias("key"), "part", "block"]
-    here = entries.withColumn("part", pick("entry", parts)).withColumn("block", every(blocks)).select(*place, F.lit(1).alias("is_entry"), F.col("entry").alias("id"), "v")
-    there = short.withColumn("block", pick("query_id", blocks)).withColumn("part", every(parts)).select(*place, F.lit(0).alias("is_entry"), F.col("query_id").alias("id"), "v")
-    whole = ranked(here.unionByName(there), entries, nearest)
-    return out.join(short.select("query_id"), "query_id", "left_anti").unionByName(whole)
+    here = entries.withColumn("part", pick("entry", parts)).withColumn("block", every(blocks)).select(*place, *entry)
+    there = short.withColumn("block", pick("query", blocks)).withColumn("part", every(parts)).select(*place, *asked)
+    whole = ranked(here.unionByName(there), entries, queries, nearest)
+    return out.join(short.select("query"), "query", "left_anti").unionByName(whole).select(*columns)
 
 
-def ranked(rows: DataFrame, entries: DataFrame, nearest: int) -> DataFrame:
-    """``query_id, rank, vec_id, score`` from queries and entries dealt to (t, key, part, block)."""
+def ranked(rows: DataFrame, entries: DataFrame, queries: DataFrame, nearest: int) -> DataFrame:
+    """``query, query_id, rank, vec_id, score`` from queries and entries dealt to (t, key, part, block)."""
     dealt = rows.repartition("t", "key", "part", "block").sortWithinPartitions("t", "key", "part", "block", "is_entry")
-    found = dealt.mapInArrow(search(nearest + 1), "query_id long, entry long, d2 double").distinct()
-    first = Window.partitionBy("query_id").orderBy("d2", "entry")
-    found = found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= nearest + 1).join(entries.select("entry", "ids").distinct(), "entry")
-    found = found.select("query_id", F.explode("ids").alias("vec_id"), F.sqrt("d2").alias("score")).where("vec_id != query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+    found = dealt.mapInArrow(search(nearest + 1), "query long, entry long, least long, d2 double").distinct()
+    first = Window.partitionBy("query").orderBy("d2", "least", "entry")
+    found = found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= nearest + 1).select("query", "entry", "d2")
+    found = found.join(entries.select("entry", "ids"), "entry").join(queries.select("query", F.col("vec_id").alias("query_id"), "own"), "query")
+    found = found.select("query", "query_id", "entry", "own", F.explode("ids").alias("vec_id"), F.sqrt("d2").alias("score"))
+    found = found.where((F.col("vec_id") != F.col("query_id")) | (F.col("entry") != F.col("own")))  # all but the query's own row
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id", "entry"))
+    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= nearest).select("query", "query_id", "rank", "vec_id", "score")
 
 
 def op8_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,17 +70,18 @@ def drop_positions(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """``docs`` with the repeated lines taken out of ``text`` and, added, ``n_lines`` (before) and ``n_dropped``."""
-    gone = drop_positions(docs, min_chars, min_docs).select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("drop").alias("__drop"))
-    rows = docs.withColumn("__key", F.xxhash64("text"))
-    rows = rows.join(gone, (rows["doc_id"] == gone["__id"]) & (rows["__key"] == gone["__tag"]), "left")
-    rows = rows.withColumn("__lines", F.split(F.coalesce("text", F.lit("")), "\n"))
-    rows = rows.withColumn("__stay", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop")))
-    kept = F.array_join(F.transform("__stay", lambda i: F.get("__lines", i)), "\n")
+    """``docs`` with the repeated lines taken out of ``text`` and, added, ``n_lines`` (before) and ``n_dropped``, in place of columns of these names."""
+    gone = drop_positions(docs, min_chars, min_docs)
+    rows = docs.select(F.struct("*").alias("row"))  # no other name can clash with the columns of docs
+    row, text = F.col("row"), F.coalesce(F.col("row.text"), F.lit(""))
+    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64("row.text").alias("tag")).join(gone, ["id", "tag"], "left")
+    rows = rows.withColumn("lines", F.split(text, "\n"))
+    rows = rows.withColumn("stay", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop")))
+    kept = F.array_join(F.transform("stay", lambda i: F.get("lines", i)), "\n")
     return rows.select(
-        *[F.when(F.col("__drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")],
-        F.size("__lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        *[(F.when(F.col("drop").isNull(), text).otherwise(kept) if c.lower() == "text" else row.getField(c)).alias(c) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")],
+        F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

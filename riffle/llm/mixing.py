@@ -61,15 +61,18 @@ def _let(values: list[tuple[str, Column]], then) -> Column:
     return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values])), then), 1)
 
 
-ITEM = "struct<order:bigint,doc_id:bigint,size:bigint,words:double>"
-STATE = f"struct<held:{ITEM},done:array<struct<doc_id:bigint,size:bigint,up:int>>>"
+ITEM = "struct<order:bigint,doc_id:bigint,mark:bigint,nth:int,size:bigint,words:double>"
+#: What tells one row from another: the id, a hash of the text, and a number among rows that agree in both.
+ROW = ["doc_id", "mark", "nth", "size"]
+DONE = "array<struct<doc_id:bigint,mark:bigint,nth:int,size:bigint,up:int>>"
+STATE = f"struct<held:{ITEM},done:{DONE}>"
 
 
 def _meet(state: Column, x: Column) -> Column:
     """The document held so far meets ``x``; words move from one to the other until one of them is whole."""
     c = state["held"]
-    item = lambda it, words: F.struct(it["order"].alias("order"), it["doc_id"].alias("doc_id"), it["size"].alias("size"), words.alias("words"))
-    decided = lambda it, up: F.struct(it["doc_id"].alias("doc_id"), it["size"].alias("size"), up.cast("int").alias("up"))
+    item = lambda it, words: F.struct(*[it[c].alias(c) for c in ("order", *ROW)], words.alias("words"))
+    decided = lambda it, up: F.struct(*[it[c].alias(c) for c in ROW], up.cast("int").alias("up"))
     none = F.lit(None).cast(ITEM)
 
     def move(v: Column) -> Column:
@@ -83,25 +86,25 @@ def _meet(state: Column, x: Column) -> Column:
         done = F.when(c_done & x_done, F.array(decided(c, m["in"]), decided(x, ~m["in"]))).when(c_done, F.array(decided(c, m["in"]))).otherwise(F.array(decided(x, ~m["in"])))
         return F.struct(held.alias("held"), F.concat(state["done"], done).alias("done"))
 
-    met = _let([("room", c["size"] - c["words"]), ("x_room", x["size"] - x["words"]), ("chance", _chance(c["doc_id"], x["doc_id"], x["order"]))], move)
+    met = _let([("room", c["size"] - c["words"]), ("x_room", x["size"] - x["words"]), ("chance", _chance(c["order"], x["order"]))], move)
     return F.when(c.isNull(), F.struct(x.alias("held"), state["done"].alias("done"))).otherwise(met).cast(STATE)
 
 
 def rounded(items: DataFrame, most_docs: int, fan: int = FAN) -> DataFrame:
-    """``src, doc_id, size, up`` from ``src, doc_id, size, words, n_docs``: up is 1 with probability words / size."""
+    """``src, doc_id, mark, nth, size, up`` from ``src, doc_id, mark, nth, size, words, n_docs``: up is 1 with probability words / size."""
     out = []
-    level = items.withColumn("n", F.ceil(F.col("n_docs") / fan)).withColumn("order", F.xxhash64(F.lit(SEED), "doc_id", "src"))
+    level = items.withColumn("n", F.ceil(F.col("n_docs") / fan)).withColumn("order", F.xxhash64(F.lit(SEED), "src", *ROW))
     level = level.withColumn("block", F.pmod(F.xxhash64("order", F.lit(SEED)), F.col("n")))
     blocks = -(-most_docs // fan)
     while True:
-        packed = level.groupBy("src", "block").agg(F.sort_array(F.collect_list(F.struct("order", "doc_id", "size", "words").cast(ITEM))).alias("items"))
-        start = F.struct(F.lit(None).cast(ITEM).alias("held"), F.array().cast("array<struct<doc_id:bigint,size:bigint,up:int>>").alias("done")).cast(STATE)
+        packed = level.groupBy("src", "block").agg(F.sort_array(F.collect_list(F.struct("order", *ROW, "words").cast(ITEM))).alias("items"))
+        start = F.struct(F.lit(None).cast(ITEM).alias("held"), F.array().cast(DONE).alias("done")).cast(STATE)
         folded = cut(packed.select("src", "block", F.aggregate("items", start, _meet).alias("state")))
         out.append(folded.select("src", F.inline("state.done")))
         left = folded.where("state.held IS NOT NULL").select("src", F.expr(f"block div {fan}").alias("block"), "state.held.*")
         if blocks <= 1:
-            last = (_chance(F.col("doc_id"), F.col("order")) * F.col("size") < F.col("words")).cast("int")
-            out.append(left.select("src", "doc_id", "size", last.alias("up")))
+            last = (_chance(F.col("order")) * F.col("size") < F.col("words")).cast("int")
+            out.append(left.select("src", *ROW, last.alias("up")))
             break
         level, blocks = left, -(-blocks // fan)
     found = out[0]
@@ -111,30 +114,39 @@ def rounded(items: DataFrame, most_docs: int, fan: int = FAN) -> DataFrame:
 
 
 def mix_copies(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, fan: int = FAN) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` for each document of ``docs`` (doc_id, source, text)."""
-    rows = cut(docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size")))
+    """``doc_id, source, mark, size, source_size, target, copies, taken`` for each row of ``docs`` (doc_id, source, text); mark is a hash of the text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), F.xxhash64("text").alias("mark"), word_count(F.col("text")).alias("size"))
+    # rows that agree in all are counted before they meet, and then numbered: no block gathers the rows of one id
+    rows = cut(rows.groupBy("doc_id", "source", "mark", "size").agg(F.count("*").alias("n")))
+    rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
     sources = source_targets(rows, weights, share, most)
     part = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     sources = cut(sources.withColumn("whole", F.floor(part).cast("int")).withColumn("part", part - F.floor(part)))
-    known = sources.select("src", "n_docs", "part", F.col("source").alias("__source"))
-    tagged = rows.join(known, rows["source"].eqNullSafe(known["__source"]))
+    known = sources.select("src", "n_docs", "part", F.col("source").alias("of"))
+    tagged = rows.join(known, rows["source"].eqNullSafe(known["of"]))
     open_ = (F.col("size") > 0) & (F.col("part") > 0)
-    items = tagged.where(open_).select("src", "n_docs", "doc_id", "size", (F.col("part") * F.col("size")).alias("words"))
+    items = tagged.where(open_).select("src", "n_docs", *ROW, (F.col("part") * F.col("size")).alias("words"))
     up = rounded(items, sources.agg(F.max("n_docs")).first()[0] or 0, fan)
-    up = up.unionByName(tagged.where(~open_).select("src", "doc_id", "size", F.lit(0).alias("up")))
+    up = up.unionByName(tagged.where(~open_).select("src", *ROW, F.lit(0).alias("up")))
     out = up.join(sources, "src").withColumn("copies", F.col("whole") + F.col("up"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "mark", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _row_key(doc_id: Column, source: Column, mark: Column) -> list[Column]:
+    """Equality of these is equality of id, source and text, nulls included."""
+    return [doc_id.isNull().alias("no_id"), F.coalesce(doc_id.cast("long"), F.lit(0)).alias("id"), source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("of"), mark.alias("mark")]
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: every row of ``docs`` as many times as it has copies, with all of its columns."""
-    copies = mix_copies(docs, **how).groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies")).alias("__copies"))
-    copies = copies.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__n"), "__copies")
-    rows = docs.withColumn("__size", word_count(F.col("text")))
-    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy(F.xxhash64("text"))))
-    same = rows["doc_id"].eqNullSafe(copies["__id"]) & rows["source"].eqNullSafe(copies["__source"]) & (rows["__size"] == copies["__n"])
-    taken = rows.join(copies, same).withColumn("__taken", F.element_at("__copies", F.col("__nth"))).where("__taken > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__taken")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mix itself: every row of ``docs`` as many times as it has copies, with all of its columns, whatever their names."""
+    key = ["no_id", "id", "no_source", "of", "mark"]
+    copies = mix_copies(docs, **how).select(*_row_key(F.col("doc_id"), F.col("source"), F.col("mark")), "copies")
+    copies = copies.groupBy(*key).agg(F.sort_array(F.collect_list("copies")).alias("copies"))
+    rows = docs.select(F.struct("*").alias("row"))  # no other name can clash with the columns of docs
+    rows = rows.select(*_row_key(F.col("row.doc_id"), F.col("row.source"), F.xxhash64("row.text")), "row")
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
+    taken = rows.join(copies, key).withColumn("taken", F.element_at("copies", F.col("nth"))).where("taken > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("taken")))).select("row.*")
 
 
 def op5_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

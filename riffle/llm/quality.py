@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Additive
 
 
 def scored(docs: DataFrame, model: Additive, name: str = "score") -> DataFrame:
-    """``docs`` with the score of each whole text in a column ``name``."""
+    """``docs`` with the score of each whole text in a column ``name``, in place of one of this name."""
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
@@ -184,7 +184,8 @@ def scored(docs: DataFrame, model: Additive, name: str = "score") -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose score is ``least`` or more."""
-    return scored(docs, fit(docs, labels), "__score").where(F.col("__score") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("row")).select("row", "row.text")  # no other name can clash with the columns of docs
+    return scored(rows, fit(docs, labels)).where(F.col("score") >= least).select("row.*")
 
 
 def op9_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,15 @@
 """Sharding over fixed virtual slots.
 
-A record hashes into one of ``SLOTS`` virtual slots by its key alone. Bytes and rows are counted for each slot, and a
+A record hashes into one of ``SLOTS`` virtual slots by its id and text. Bytes and rows are counted for each slot, and a
 small versioned map says which shard holds each slot. Rebalancing edits the map and never rehashes a record: a new
 version names new shards for as few slots as are needed.
 
 The law is ``bytes``: the map is made so that shard sizes are near equal. Slots are dealt from the largest to the
-smallest, each to the lightest shard so far. A slot is never split: all rows of one key, however many, are in one shard
-and one window partition, so the largest shard is beyond the mean by at most the largest slot. A map has one row for each slot, so it is bounded by ``SLOTS`` whatever
+smallest, each to the lightest shard so far. Rows that agree in all are counted before anything else and hashed in runs of ``RUN``, so neither a common id
+nor a common row fills a slot: the largest shard is beyond the mean by at most the largest slot. A map has one row for each slot, so it is bounded by ``SLOTS`` whatever
 the input, and may be held by the driver and broadcast.
 
-Defined results: a null text has size 1 and CRC 0; a null key hashes like any other value; repeated rows get places of
+Defined results: a null text has size 1 and CRC 0; a null id hashes like any other value; repeated rows get places of
 their own; places inside a shard follow slot, key, size and CRC, so reruns agree; an empty table gives an empty
 result. Other columns of the input are ignored, whatever their names.
 """
@@ -26,16 +26,18 @@ from riffle.session import cut, shared_dir, table
 
 #: Virtual slots: fixed for the life of a dataset.
 SLOTS = 16_384
+#: Equal rows that go to one slot together.
+RUN = 64
 MAP_SCHEMA = "version int, slot int, shard int, first_place long"
 
 
-def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+def slot_of(*key: Column | str, slots: int = SLOTS) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(slots)).cast("int")
 
 
 def slot_sizes(rows: DataFrame) -> dict[int, tuple[int, int]]:
     """Bytes and rows of each slot that has any: at most one entry for each slot."""
-    return {r.vslot: (r.bytes, r.n) for r in rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
+    return {r.vslot: (r.bytes, r.n) for r in rows.groupBy("vslot").agg(F.sum(F.col("size") * F.col("n")).alias("bytes"), F.sum("n").alias("n")).collect()}
 
 
 def first_map(sizes: dict[int, tuple[int, int]], shards: int, slots: int = SLOTS) -> dict[int, int]:
@@ -88,9 +90,9 @@ def map_rows(spark: SparkSession, of: dict[int, int], sizes: dict[int, tuple[int
     return spark.createDataFrame(rows, MAP_SCHEMA)
 
 
-def store_map(rows: DataFrame, path: str) -> None:
-    """Adds a version to the stored map; earlier versions stay readable."""
-    rows.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+def store_map(rows: DataFrame, path: str, version: int) -> None:
+    """Stores a version of the map; earlier versions stay readable, and a write that is tried again replaces what it left."""
+    rows.drop("version").coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
@@ -100,22 +102,29 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
 
 
 def records(docs: DataFrame) -> DataFrame:
+    """``doc_id, size, text_crc32, n, vslot``: one row for up to ``RUN`` equal rows, ``n`` of them."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot_of(F.col("doc_id")).alias("vslot"))
+    rows = docs.select(F.col("doc_id").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("total"))
+    rows = rows.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(total - 1) div {RUN}"))))
+    n = F.least(F.lit(RUN).cast("long"), F.col("total") - F.col("run") * RUN)
+    return rows.select("doc_id", "size", "text_crc32", "run", n.alias("n"), slot_of("doc_id", "size", "text_crc32", "run").alias("vslot"))
 
 
 def placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
-    """Adds ``shard`` and ``slot``, the place in the shard from 0 without gaps. Ranks are taken inside virtual slots only."""
-    rank = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32")) - 1
+    """Every record with ``shard`` and ``slot``, the place in the shard from 0 without gaps. Ranks are taken inside virtual slots only."""
+    before = F.sum("n").over(Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32", "run").rowsBetween(Window.unboundedPreceding, -1))
     known = slot_map.select(F.col("slot").alias("vslot"), "shard", "first_place")
-    return rows.withColumn("rank", rank).join(F.broadcast(known), "vslot").select("*", (F.col("first_place") + F.col("rank")).alias("slot"))
+    rows = rows.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(known), "vslot")
+    rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return rows.select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("first_place") + F.col("before") + F.col("nth")).alias("slot"))
 
 
 def op10_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cut(records(table(spark, sf_dir, "documents")))
     sizes = slot_sizes(rows)
     folder = f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
-    store_map(map_rows(spark, first_map(sizes, 8), sizes, 1), folder)
+    store_map(map_rows(spark, first_map(sizes, 8), sizes, 1), folder, 1)
     out = placed(rows, load_map(spark, folder))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"))
 

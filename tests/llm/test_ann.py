@@ -87,3 +87,19 @@ def test_queries_in_thin_regions_get_all_their_rows(spark):
     assert all(len(v) == 10 for v in by.values())
     want = slow(list(range(600)), x, queries)
     assert all(by[q] == [v for _, v in want[q]] for q in queries if q % 60 == 0)
+
+
+def test_several_vectors_under_one_id_are_rows_of_their_own(spark):
+    rows = [(100, [0.0, 1.0]), (100, [3.0, 1.0]), (100, [3.0, 1.0]), (5, [0.0, 2.0]), (5, [0.0, 4.0]), (6, [3.0, 1.0])]
+    got = nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    lists = sorted((r.score, r.vec_id) for r in got)
+    one = [(1.0, 5), (3.0, 6), (3.0, 100), (3.0, 5)]
+    two = [(0.0, 6), (3.0, 100), (10**0.5, 5), (18**0.5, 5)]
+    assert lists == sorted(one + two) and {r.query_id for r in got} == {100} and sorted(r["rank"] for r in got) == [1, 1, 2, 2, 3, 3, 4, 4]
+
+
+def test_a_row_repeated_very_often(spark):
+    many = spark.range(100_000).selectExpr("7L AS vec_id", "array(1.0D, 2.0D) AS embedding")
+    rest = spark.range(2_000).selectExpr("id + 100 AS vec_id", "array(CAST(id % 40 AS double), CAST(id div 40 + 3 AS double)) AS embedding")
+    got = nearest_neighbours(many.unionByName(rest), F.col("vec_id") % 1000 == 0).collect()
+    assert {r.query_id for r in got} == {1000, 2000} and len(got) == 20

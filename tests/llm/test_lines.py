@@ -38,3 +38,11 @@ def test_against_brute_force(spark):
 def test_against_sql(spark):
     n, extra, missing = same(spark, op4_line_dedup, ORACLES["op4_line_dedup"], "/root/testdata/sf0.001")
     assert n and not extra and not missing, (extra, missing)
+
+
+def test_columns_of_any_name(spark):
+    rows = [(i, f"{LONG}\nown {i}") for i in range(6)]
+    docs = spark.createDataFrame([(*r, "a", "b", "c", "d", "e", "f", "g") for r in rows], "doc_id long, text string, __key string, id string, tag string, drop string, lines string, N_LINES string, `row.doc_id` string")
+    got = dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", "__key", "id", "tag", "drop", "lines", "row.doc_id", "n_lines", "n_dropped"]
+    assert sorted(tuple(r) for r in got.collect()) == sorted((i, t if i == 5 else f"own {i}", "a", "b", "c", "d", "e", "g", 2, int(i < 5)) for i, t in rows)

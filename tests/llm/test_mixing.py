@@ -75,3 +75,35 @@ def test_on_the_table(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     check([tuple(r) for r in docs.select("doc_id", "text", "source").collect()], mix_copies(docs).collect())
     assert source_targets(docs.select("source", word_count(F.col("text")).alias("size"))).count() == docs.select("source").distinct().count()
+
+
+def test_names_that_clash_and_null_ids(spark):
+    rows = [(None, "a b c", None), (None, "a b c", None), (None, "d e", "x"), (1, "f g h", "x"), (2, None, "x")]
+    docs = spark.createDataFrame([(*r, i, "c", "t", "n", "r") for i, r in enumerate(rows)], "doc_id long, text string, source string, __size int, copies string, taken string, nth string, `row.x` string")
+    out = mixed_documents(docs)
+    assert out.columns == docs.columns
+    got = mix_copies(docs).collect()
+    kept = out.collect()
+    assert len(kept) == sum(r.copies for r in got) and {r["__size"] for r in kept} <= set(range(5)) and all(tuple(r)[4:] == ("c", "t", "n", "r") for r in kept)
+
+
+def test_a_third_of_the_rows_under_one_id_or_alike(spark):
+    from riffle.llm.mixing import FAN, ROW
+
+    same_id = spark.range(20_000).selectExpr("CAST(NULL AS bigint) AS doc_id", "concat('text ', id) AS text", "'a' AS source")
+    alike = spark.range(20_000).selectExpr("5L AS doc_id", "'the same text' AS text", "'a' AS source")
+    rest = spark.range(20_000).selectExpr("id + 100 AS doc_id", "concat('other ', id) AS text", "'b' AS source")
+    docs = same_id.unionByName(alike).unionByName(rest)
+    out = mix_copies(docs).groupBy("source").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert {r.source: r.n for r in out} == {"a": 40_000, "b": 20_000} and all(abs(r.taken - r.target) <= 3 for r in out)
+    # blocks are dealt by a hash of the whole row, so none is much beyond FAN
+    rows = docs.selectExpr("doc_id", "xxhash64(text) AS mark", "row_number() OVER (PARTITION BY doc_id, text ORDER BY text) AS nth", "3L AS size")
+    sizes = rows.groupBy(F.pmod(F.xxhash64(F.xxhash64(F.lit(20), F.lit(0), *ROW), F.lit(20)), F.lit(60_000 // FAN))).count()
+    assert sizes.agg(F.max("count")).first()[0] < 3 * FAN
+
+
+def test_the_query_against_brute_force(spark):
+    from riffle.llm.mixing import op5_pivotal_mixing
+
+    rows = [tuple(r) for r in table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "source").collect()]
+    check(rows, op5_pivotal_mixing(spark, "/root/testdata/sf0.01").collect())
