@@ -12,6 +12,8 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from riffle.functions.jpeg import jfif_header, quant_tables
+
 START = b"\0\0\0\1"
 DELIMITER = START + b"\x09\xf0"
 
@@ -107,7 +109,36 @@ class JpegScans:
         return []
 
 
-MACHINES: dict[str, Callable] = {"h264": H264Units, "h265": H265Units, "jpeg": JpegScans}
+class JpegImages(JpegScans):
+    """Whole images: the scan data with a header from the fields of the first packet, and the end marker.
+
+    Quantisation is that of a quality of 1 to 99, or tables of the stream, which are remembered for each number from 128 to 254.
+    Images of unknown types, numbers or tables are lost.
+    """
+
+    def __init__(self, held: bytes = b"", fragment: bool = False, tables: dict[int, bytes] | None = None):
+        super().__init__(held, fragment)
+        self.tables = tables or {}
+
+    def take(self, payload: bytes, marker: bool = False) -> list[bytes]:
+        done = super().take(payload, marker)
+        if len(payload) < 8 or int.from_bytes(payload[1:4], "big"):
+            return [self.head + x + b"\xff\xd9" for x in done]
+        kind, number = payload[4] & 63, payload[5]
+        restart = int.from_bytes(payload[8:10], "big") if payload[4] & 0x40 else 0
+        at = 12 if payload[4] & 0x40 else 8
+        own = payload[at + 4 : at + 4 + int.from_bytes(payload[at + 2 : at + 4], "big")] if number > 127 else b""
+        if number > 127 and own and number < 255:
+            self.tables[number] = own
+        tables = quant_tables(number) if 1 <= number <= 99 else own or self.tables.get(number, b"")
+        if kind > 1 or not tables:
+            self.held, self.fragment = b"", False
+            return []
+        self.head = jfif_header(kind, payload[6] * 8, payload[7] * 8, restart, tables)
+        return [self.head + x + b"\xff\xd9" for x in done]
+
+
+MACHINES: dict[str, Callable] = {"h264": H264Units, "h265": H265Units, "jpeg": JpegScans, "jfif": JpegImages}
 
 
 def units(packets: DataFrame, kind: str, stream: str, order: str, tail: bool = False, **options) -> DataFrame:

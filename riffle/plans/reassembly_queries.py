@@ -93,16 +93,35 @@ def h265_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reassembly.units(packets, "h265", "conv_id", "seq").select("conv_id", "n", F.octet_length("unit").alias("size"), F.sha2("unit", 256).alias("sha256"))
 
 
-def jpeg_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def jpeg_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turns(spark, sf_dir).withColumn("parts", chunks(_x(F.col("data"), "00"), PIECE))
     packets = F.transform("parts", lambda p, i: F.struct(_x("00", F.unhex(put_be(i * PIECE, 3)), "01", "32", "1010", p).alias("payload"), (i == F.size("parts") - 1).alias("marker")))
-    rows = rows.select("conv_id", "turn", F.posexplode(packets).alias("i", "p")).select("conv_id", (F.col("turn") * 100_000 + F.col("i")).alias("seq"), "p.payload", "p.marker")
-    return reassembly.units(rows, "jpeg", "conv_id", "seq").select("conv_id", "n", F.octet_length("unit").alias("size"), F.sha2("unit", 256).alias("sha256"))
+    return rows.select("conv_id", "turn", F.posexplode(packets).alias("i", "p")).select("conv_id", (F.col("turn") * 100_000 + F.col("i")).alias("seq"), "p.payload", "p.marker")
+
+
+def jpeg_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reassembly.units(jpeg_packets(spark, sf_dir), "jpeg", "conv_id", "seq").select("conv_id", "n", F.octet_length("unit").alias("size"), F.sha2("unit", 256).alias("sha256"))
+
+
+def jfif_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reassembly.units(jpeg_packets(spark, sf_dir), "jfif", "conv_id", "seq").select("conv_id", "n", F.octet_length("unit").alias("size"), F.sha2("unit", 256).alias("sha256"))
 
 
-QUERIES = {f.__name__: f for f in (h264_split, h264_predicates, adts_split, mjpeg_split, h264_units, h265_units, jpeg_scans)}
+QUERIES = {f.__name__: f for f in (h264_split, h264_predicates, adts_split, mjpeg_split, h264_units, h265_units, jpeg_scans, jfif_images)}
 
 _T = "t AS (SELECT conv_id, turn, role, coalesce(text, '') AS x, strlen(coalesce(text, '')) AS n FROM conversations)"
+# The header of an image of 128 by 128 pixels, kind 1, quality 50.
+_JFIF = (
+    "FFD8" "FFE000104A46494600020100000100010000"
+    "FFDB008400" "100B0C0E0C0A100E0D0E1211101318281A181616183123251D283A333D3C3933383740485C4E404457453738506D51575F626768673E4D71797064785C656763"
+    "01" "111212181518 2F1A1A2F63423842" + "63" * 50 +
+    "FFC401A2" "0000010501010101010100000000000000000102030405060708090A0B" "0100030101010101010101010000000000000102030405060708090A0B"
+    "100002010303020403050504040000017D" "01020300041105122131410613516107227114328191A1082342B1C11552D1F02433627282090A161718191A25262728292A3435363738393A434445464748494A535455565758595A636465666768696A737475767778797A"
+    "838485868788898A92939495969798999AA2A3A4A5A6A7A8A9AAB2B3B4B5B6B7B8B9BAC2C3C4C5C6C7C8C9CAD2D3D4D5D6D7D8D9DAE1E2E3E4E5E6E7E8E9EAF1F2F3F4F5F6F7F8F9FA"
+    "1100020102040403040705040400010277" "000102031104052131061241510761711322328108144291A1B1C109233352F0156272D10A162434E125F11718191A262728292A35363738393A434445464748494A535455565758595A636465666768696A737475767778797A"
+    "82838485868788898A92939495969798999AA2A3A4A5A6A7A8A9AAB2B3B4B5B6B7B8B9BAC2C3C4C5C6C7C8C9CAD2D3D4D5D6D7D8D9DAE2E3E4E5E6E7E8E9EAF2F3F4F5F6F7F8F9FA"
+    "FFC0001108008000800301220002110103110 1" "FFDA000C03010002110311003F00"
+).replace(" ", "")
 _N = "CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS n"
 ORACLES = {
     "h264_split": f"""WITH {_T}, u AS (SELECT conv_id, turn, 1 AS k, 6::BIGINT AS b, 2 AS nals, 8 AS ty FROM t WHERE turn % 5 = 0 UNION ALL SELECT conv_id, turn, 2, n + 1, 1, CASE WHEN role = 'user' THEN 5 ELSE 1 END FROM t)
@@ -117,5 +136,6 @@ SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) -
 UNION ALL SELECT conv_id, turn, 2, '0000000109F000000001' || CASE WHEN role = 'user' THEN '65' ELSE '41' END || hex(encode(x)) FROM t UNION ALL SELECT DISTINCT conv_id, -1, 0, '0000000109F0' FROM t)
 SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS INTEGER) AS n, len(h) // 2 AS size, sha256(unhex(h)) AS sha256 FROM u""",
     "h265_units": f"WITH {_T} SELECT conv_id, {_N}, strlen(x) + 6 AS size, sha256(unhex('000000010201' || hex(encode(x)))) AS sha256 FROM t",
+    "jfif_images": f"WITH {_T} SELECT conv_id, {_N}, CAST(strlen(x) + 3 + {len(_JFIF) // 2} AS INTEGER) AS size, sha256(unhex('{_JFIF}' || hex(encode(x)) || '00FFD9')) AS sha256 FROM t",
     "jpeg_scans": f"WITH {_T} SELECT conv_id, {_N}, strlen(x) + 1 AS size, sha256(unhex(hex(encode(x)) || '00')) AS sha256 FROM t",
 }
