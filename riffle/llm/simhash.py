@@ -10,9 +10,9 @@ mask hides every differing bit and the pair meets in its table. No pair within t
 several words has masks over each word, and one word of a pair within the radius has no more than its part of the bits.
 
 With ``similarity``, fingerprints only propose pairs, and a link is a pair whose shingle sets have that Jaccard
-similarity. Texts are then compared in three rounds: pairs that span each group of proposed pairs; in groups that
-fall apart, all other pairs of different parts that are very near; and then all the rest of them. A pair is left
-uncompared only where links that were found join its two texts already, so no link is lost.
+similarity. Texts are then compared in two rounds: pairs that span each group of proposed pairs, and, in groups that
+fall apart, all other pairs of different parts, the nearer ones first. A pair is left uncompared only where links that were
+found join its two texts already, so no link is lost.
 
 Defined results: a null text is an empty text and has fingerprint 0, linked like any other; a null ``doc_id`` is an id
 like any other, but the last one, so a group has component_id null only if none of its rows has an id; repeated rows
@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from riffle.session import cut, stored, table
@@ -329,11 +329,13 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
+        large = large.where("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        state = Observation()
+        edges = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        edges = stored(edges.observe(state, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash")))
+        now = state.get
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now
@@ -368,15 +370,14 @@ def of_heads(nodes: DataFrame, links: DataFrame, shape: Shape) -> DataFrame:
     return links.join(a, shape.columns).join(b, [f"g{i}" for i in range(shape.words)]).select("a", "b", "d")
 
 
-def close_pairs(shape: Shape, low: int, high: int, similarity: float):
+def close_pairs(shape: Shape, similarity: float):
     """Reads (t, k, i, j, c, node, root, n, f...) sorted by (t, k, i, j): blocks i and j of bucket (t, k). Gives every pair of
-    nodes that differ in more than ``low`` and at most ``high`` bits, of different roots and of set sizes that allow the
-    similarity: each pair once, in the first table in which it meets."""
+    nodes within reach, of different roots and of set sizes that allow the similarity: once, in the first table in which it meets."""
 
     def pick(g: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         (t, c, node, root, n, cross), fp = g[:6], g[6:]
         bits = apart(fp, a, b).astype(np.int32)
-        ok = (bits > low) & (bits <= high) & (root[a] != root[b]) & ~(cross[a] & (c[a] == c[b]))
+        ok = (bits <= shape.reach) & (root[a] != root[b]) & ~(cross[a] & (c[a] == c[b]))
         ok &= np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9
         a, b, bits = a[ok], b[ok], bits[ok]
         ok = shape.first_table([f[a] ^ f[b] for f in fp]) == t[a]
@@ -399,7 +400,7 @@ def close_pairs(shape: Shape, low: int, high: int, similarity: float):
         for at, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
             for x in range(at, at + n - 1):
                 rest = np.arange(x + 1, at + n)
-                rest = rest[apart(fp, rest, x) <= high]
+                rest = rest[apart(fp, rest, x) <= shape.reach]
                 if len(rest):
                     yield pick(of, np.full(len(rest), x), rest)
 
@@ -438,8 +439,8 @@ def gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def every_pair(members: DataFrame, shape: Shape, low: int, high: int, similarity: float, block: int) -> DataFrame:
-    """``a, b, d``: all pairs of ``members`` (node, root, n, f0, ...) that a link of more than ``low`` and at most ``high`` bits may join; large buckets in pairs of blocks."""
+def every_pair(members: DataFrame, shape: Shape, similarity: float, block: int) -> DataFrame:
+    """``a, b, d``: all pairs of ``members`` (node, root, n, f0, ...) of different roots that a link may join; large buckets in pairs of blocks."""
     rows = members.select("node", "root", "n", *shape.columns, F.inline(shape.tables()))
     sizes = rows.groupBy("t", "k").agg(F.count("*").alias("rows"), F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
     sizes = cut(sizes.select("t", "k", F.ceil(F.col("rows") / block).cast("int").alias("blocks")))
@@ -447,7 +448,7 @@ def every_pair(members: DataFrame, shape: Shape, low: int, high: int, similarity
     rows = rows.withColumn("c", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("t", "k", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "c", "node", "root", F.col("n").cast("long").alias("n"), *shape.columns)
     rows = rows.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", *shape.columns, "node")
-    return rows.mapInArrow(close_pairs(shape, low, high, similarity), "a long, b long, d int")
+    return rows.mapInArrow(close_pairs(shape, similarity), "a long, b long, d int")
 
 
 class Sets:
@@ -560,14 +561,12 @@ def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, shape: Shape,
     rows = docs.select(*_row_key(F.col("doc_id"), F.xxhash64("text")), "text").join(members.select("node", "team", "block", *_row_key(F.col("doc_id"), F.col("tag"))), ["none", "id", "tag"])
     texts = cut(rows.select("node", "team", "block", "text").mapInArrow(run, "node long, team long, block int, grams array<long>").dropDuplicates(["node"]))
 
-    found, low = cut(alike(proposed, texts, members.withColumn("root", F.col("node")), similarity)), -1
-    for high in sorted({min(shape.near, shape.reach), shape.reach}):
-        parts = members.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = cut(parts.groupBy("group").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("group"))
-        parts = cut(parts.join(split, "group").select("node", "root", "n", *shape.columns))
-        more = cut(every_pair(parts, shape, low, high, similarity, min(BLOCK_PAIRS, max_bucket)))
-        found, low = cut(found.unionByName(alike(more, texts, parts, similarity))), high
-    return found
+    found = cut(alike(proposed, texts, members.withColumn("root", F.col("node")), similarity))
+    parts = members.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = cut(parts.groupBy("group").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("group"))
+    parts = cut(parts.join(split, "group").select("node", "root", "n", *shape.columns))
+    more = cut(every_pair(parts, shape, similarity, min(BLOCK_PAIRS, max_bucket)))
+    return cut(found.unionByName(alike(more, texts, parts, similarity)))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, shape: Shape = WIDE) -> DataFrame:
