@@ -1,4 +1,4 @@
-"""PCM signals as arrays: scaling, down-mixing, decimation, FIR filters and IMA ADPCM, all as Column expressions."""
+"""PCM signals as arrays: scaling, down-mixing, decimation, short FIR filters, all as Column expressions; ``sound`` has the same for bytes."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from riffle.functions.bytesx import let
-
 # Coefficients of the flat-top window.
 FLAT_TOP = (0.21557895, 0.41663158, 0.277263158, 0.083578947, 0.006947368)
 # Step sizes and index changes of IMA ADPCM.
@@ -92,69 +90,6 @@ def convolved(values: Column, coefficients: list[float]) -> Column:
     return F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(0), F.size(values) + (m - 2)), at))
 
 
-def _clamp(v: Column) -> Column:
-    return F.greatest(F.lit(-32768), F.least(F.lit(32767), v))
-
-
-def _step(index: Column) -> Column:
-    return F.get(F.array(*map(F.lit, STEPS)), index)
-
-
-def start_index(samples: Column) -> Column:
-    """The first of the steps that are nearest to abs(abs(s1) - abs(s2) / 2)."""
-    half = F.abs(F.abs(F.get(samples, F.lit(0))) - F.abs(F.get(samples, F.lit(1))) / 2)
-    return let(half, lambda h: F.array_min(F.transform(F.array(*map(F.lit, STEPS)), lambda s, i: F.struct(F.abs(s - h).alias("d"), i.alias("i")))))["i"]
-
-
-STATE = "struct<est:int,idx:int,nibs:array<int>,ests:array<int>>"
-
-
-def _next(state: Column, nibble: Column, size: Column) -> Column:
-    """The decoder's move: both sides make it."""
-    diff = F.shiftright(size, 3) + F.when(nibble.bitwiseAND(4) != 0, size).otherwise(0) + F.when(nibble.bitwiseAND(2) != 0, F.shiftright(size, 1)).otherwise(0) + F.when(nibble.bitwiseAND(1) != 0, F.shiftright(size, 2)).otherwise(0)
-    diff = F.least(diff, F.lit(32767))
-    est = _clamp(state["est"] + F.when(nibble >= 8, -diff).otherwise(diff))
-    idx = F.greatest(F.lit(0), F.least(F.lit(len(STEPS) - 1), state["idx"] + F.get(F.array(*map(F.lit, INDEX)), nibble.bitwiseAND(7))))
-    return let(est, lambda e: F.struct(e.cast("int").alias("est"), idx.cast("int").alias("idx"), F.concat(state["nibs"], F.array(nibble.cast("int"))).alias("nibs"), F.concat(state["ests"], F.array(e.cast("int"))).alias("ests")).cast(STATE))
-
-
-def _encode(state: Column, sample: Column) -> Column:
-    def with_size(size: Column) -> Column:
-        def with_delta(delta: Column) -> Column:
-            def third(v: Column) -> Column:
-                nib = v["nib"] + F.when(v["d"] > F.shiftright(size, 2), 1).otherwise(0)
-                return let(nib, lambda n: _next(state, n, size))
-
-            def second(v: Column) -> Column:
-                half = F.shiftright(size, 1)
-                return let(F.struct((v["nib"] + F.when(v["d"] > half, 2).otherwise(0)).alias("nib"), F.when(v["d"] > half, v["d"] - half).otherwise(v["d"]).alias("d")), third)
-
-            d = F.abs(delta)
-            return let(F.struct((F.when(delta < 0, 8).otherwise(0) + F.when(d > size, 4).otherwise(0)).alias("nib"), F.when(d > size, d - size).otherwise(d).alias("d")), second)
-
-        return let(_clamp(sample - state["est"]), with_delta)
-
-    return let(_step(state["idx"]), with_size)
-
-
-def _start(first: Column, index: Column) -> Column:
-    none = F.array().cast("array<int>")
-    return F.struct(first.cast("int").alias("est"), index.cast("int").alias("idx"), none.alias("nibs"), none.alias("ests")).cast(STATE)
-
-
-def adpcm_encoded(samples: Column) -> Column:
-    """``first, index, nibs`` of a chunk: the first sample, the starting index and one nibble for each other sample. Null under two samples."""
-    rest = F.slice(samples, F.lit(2), F.greatest(F.size(samples) - 1, F.lit(0)))
-    index = start_index(samples)
-    return F.when(F.size(samples) >= 2, let(index, lambda i: F.struct(F.get(samples, F.lit(0)).alias("first"), i.alias("index"), F.aggregate(rest, _start(F.get(samples, F.lit(0)), i), _encode)["nibs"].alias("nibs"))))
-
-
-def adpcm_decoded(chunk: Column) -> Column:
-    """The samples of a chunk as ``adpcm_encoded`` gives it."""
-    ests = F.aggregate(chunk["nibs"], _start(chunk["first"], chunk["index"]), lambda state, n: let(_step(state["idx"]), lambda size: _next(state, n, size)))["ests"]
-    return F.concat(F.array(chunk["first"].cast("int")), ests)
-
-
 def adpcm_bytes(n: Column) -> Column:
     """Bytes of the chunk that ``n`` bytes of PCM become."""
     return F.floor((n - 2) / 4) + 8 + F.when(n % 4 == 0, 1).otherwise(0)

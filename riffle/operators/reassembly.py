@@ -7,9 +7,9 @@ state is kept between micro-batches (``riffle.streaming``).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from riffle.functions.jpeg import jfif_header, quant_tables
@@ -142,15 +142,32 @@ MACHINES: dict[str, Callable] = {"h264": H264Units, "h265": H265Units, "jpeg": J
 
 
 def units(packets: DataFrame, kind: str, stream: str, order: str, tail: bool = False, **options) -> DataFrame:
-    """``stream, n, unit`` from ``stream, order, payload, marker``: complete units, and with ``tail`` what is left at the end of a stream."""
-    machine = MACHINES[kind]
+    """``stream, n, unit`` from ``stream, order, payload, marker``: complete units, and with ``tail`` what is left at the end of a stream.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = machine(**options), []
-        for payload, marker in rows.sort_values(order)[["payload", "marker"]].itertuples(index=False):
-            out += state.take(bytes(payload), bool(marker))
-        if tail and state.held:
-            out.append(state.held)
-        return pd.DataFrame({stream: [rows[stream].iloc[0]] * len(out), "n": range(len(out)), "unit": out})
+    Streams pass through their task in order, a batch at a time; only the unfinished unit of one stream is held.
+    """
+    machine = MACHINES[kind]
 
-    return packets.groupBy(stream).applyInPandas(fold, f"{stream} {dict(packets.dtypes)[stream]}, n int, unit binary")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, n, names = object(), None, 0, [stream, "n", "unit"]
+        for batch in batches:
+            out: list[tuple] = []
+            for key, payload, marker in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                if key != now:
+                    if tail and state is not None and state.held:
+                        out.append((now, n, state.held))
+                    now, state, n = key, machine(**options), 0
+                for unit in state.take(payload.as_py() or b"", bool(marker)):
+                    out.append((key, n, unit))
+                    n += 1
+            yield packed(batch.schema.field(0).type, out, names)
+            last = batch.schema.field(0).type
+        if tail and state is not None and state.held:
+            yield packed(last, [(now, n, state.held)], names)
+
+    def packed(kind_of: pa.DataType, out: list[tuple], names: list[str]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], kind_of), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], names=names)
+
+    rows = packets.repartition(stream).sortWithinPartitions(stream, order).select(stream, "payload", "marker")
+    return rows.mapInArrow(fold, f"{stream} {dict(packets.dtypes)[stream]}, n int, unit binary")

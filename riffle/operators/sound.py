@@ -46,6 +46,17 @@ def _samples(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else np.clip(np.trunc(np.asarray(v, np.float64) * 32767), -32768, 32767).astype("<i2").tobytes())
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _integers(data: pd.Series) -> pd.Series:
+    return data.map(lambda d: None if d is None else np.frombuffer(d, "<i2").astype(np.int32))
+
+
+def pcm_samples(data: Column) -> Column:
+    """``err, values``: samples as whole numbers."""
+    err = _problem(data)
+    return F.struct(err.alias("err"), _integers(F.when(err.isNull(), data)).alias("values"))
+
+
 def pcm_floats(data: Column) -> Column:
     """``err, values``: samples as numbers in [-1, 1)."""
     err = _problem(data)

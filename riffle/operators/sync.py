@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,26 +43,37 @@ def statistics(df: DataFrame, value: str, by: str) -> DataFrame:
 def greedy_pairs(left: DataFrame, right: DataFrame, by: str, tolerance_ms: float = 10.0) -> DataFrame:
     """Frames (``by, ms, frame``) paired in order: the stream that lags goes on until both are within the tolerance, then both do.
 
-    Each frame is used once at most, so this is a merge and not an interval join; it runs where the frames of a pair of recordings meet.
+    Each frame is used once at most, so this is a merge and not an interval join. Frames of both sides pass through a task in
+    the order of time, and only those are held that a frame still to come may be within the tolerance of.
     """
 
-    def merge(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        key = a[by].iloc[0] if len(a) else b[by].iloc[0] if len(b) else None
-        a, b = a.sort_values(["ms", "frame"]), b.sort_values(["ms", "frame"])
-        at, bt, out, i, j = a["ms"].to_numpy(), b["ms"].to_numpy(), [], 0, 0
-        while i < len(at) and j < len(bt):
-            if abs(at[i] - bt[j]) <= tolerance_ms:
-                out.append((i, j))
-                i, j = i + 1, j + 1
-            elif at[i] < bt[j]:
-                i += 1
-            else:
-                j += 1
-        x, y = [p[0] for p in out], [p[1] for p in out]
-        return pd.DataFrame({by: key, "left_frame": a["frame"].to_numpy()[x], "right_frame": b["frame"].to_numpy()[y], "gap_ms": bt[y] - at[x]})
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = object(), (deque(), deque())
+        for batch in batches:
+            out: list[tuple] = []
+            for key, ms, side, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    now, held = key, (deque(), deque())
+                held[side].append((ms, frame))
+                while held[0] and held[1]:
+                    a, b = held[0][0], held[1][0]
+                    if abs(a[0] - b[0]) <= tolerance_ms:
+                        out.append((key, a[1], b[1], b[0] - a[0]))
+                        held[0].popleft()
+                        held[1].popleft()
+                    else:
+                        held[0 if a[0] < b[0] else 1].popleft()
+                for q in held:
+                    while q and q[0][0] < ms - tolerance_ms:
+                        q.popleft()
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            types = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[by, "left_frame", "right_frame", "gap_ms"])
 
     kind = dict(left.dtypes)[by]
-    return left.groupBy(by).cogroup(right.groupBy(by)).applyInPandas(merge, f"{by} {kind}, left_frame long, right_frame long, gap_ms double")
+    side = lambda df, n: df.select(by, F.col("ms").cast("double").alias("ms"), F.lit(n).alias("side"), F.col("frame").cast("long").alias("frame"))
+    rows = side(left, 0).unionByName(side(right, 1)).repartition(by).sortWithinPartitions(by, "ms", "side", "frame")
+    return rows.mapInArrow(merge, f"{by} {kind}, left_frame long, right_frame long, gap_ms double")
 
 
 def file_pairs(names: DataFrame, name: str = "name") -> DataFrame:

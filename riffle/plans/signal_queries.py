@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riffle.functions.bytesx import put_le
-from riffle.operators import dsp
+from riffle.operators import dsp, sound
 from riffle.session import table
 
 RATE = 8000
@@ -54,19 +54,18 @@ def _fir(coefficients: list[float]):
     return query
 
 
+def pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signal(spark, sf_dir).select("vec_id", F.unhex(F.array_join(F.transform("s", lambda v: put_le(v, 2)), "")).alias("pcm"))
+
+
 def adpcm_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chunk in hex: length, first sample, index, padding flag and nibbles, the earlier one low."""
-    rows = signal(spark, sf_dir).select("vec_id", dsp.adpcm_encoded(F.col("s")).alias("c"))
-    n = F.size("c.nibs")
-    pairs = F.transform(F.sequence(F.lit(0), F.ceil(n / 2).cast("int") - 1), lambda i: F.hex(F.coalesce(F.get("c.nibs", i * 2 + 1), F.lit(0)) * 16 + F.get("c.nibs", i * 2)))
-    body = F.array_join(F.transform(pairs, lambda h: F.lpad(h, 2, "0")), "")
-    head = F.concat(put_le(F.ceil(n / 2) + 8, 4), put_le(F.col("c.first"), 2), put_le(F.col("c.index"), 1), put_le(n % 2, 1))
-    return rows.select("vec_id", F.concat(head, body).alias("chunk"))
+    return pcm(spark, sf_dir).select("vec_id", F.hex(sound.adpcm_encoded(F.col("pcm"))["data"]).alias("chunk"))
 
 
 def adpcm_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = signal(spark, sf_dir).select("vec_id", dsp.adpcm_encoded(F.col("s")).alias("c"))
-    return _rows(rows, dsp.adpcm_decoded(F.col("c")))
+    rows = pcm(spark, sf_dir).select("vec_id", sound.adpcm_encoded(F.col("pcm"))["data"].alias("chunk"))
+    return _rows(rows.select("vec_id", sound.adpcm_decoded(F.col("chunk"))["data"].alias("pcm")), sound.pcm_samples(F.col("pcm"))["values"])
 
 
 def adpcm_enc_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +102,8 @@ SELECT vec_id, CAST(k + n AS INTEGER) AS pos, round(sum(x * h), 6) AS v FROM x,
 
 
 _LO, _HI = _design("lo", LOW, False), _design("hi", LOW, True)
-_STEPS = f"[{', '.join(map(str, dsp.STEPS))}]"
+# Step sizes, apart from the table of the operator that they check.
+_STEPS = "[7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767]"
 _ADPCM = f"""steps AS (SELECT {_STEPS} AS t), st AS (SELECT vec_id, s, (SELECT arg_min(i, (d, i)) FROM (SELECT unnest(range(0, 89)) AS i, abs(unnest(t) - abs(abs(s[1]) - abs(s[2]) / 2.0)) AS d FROM steps)) AS i0 FROM signal),
 enc AS (SELECT vec_id, s, 1 AS i, s[1] AS est, CAST(i0 AS INTEGER) AS idx, 0 AS nib FROM st UNION ALL
  SELECT vec_id, s, i + 1, greatest(-32768, least(32767, est + CASE WHEN nib >= 8 THEN -diff ELSE diff END)), greatest(0, least(88, idx + [-1, -1, -1, -1, 2, 4, 6, 8][nib % 8 + 1])), nib FROM (

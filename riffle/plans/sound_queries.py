@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riffle.functions.bytesx import put_le
 from riffle.operators import sound
 from riffle.plans.packet_queries import media
-from riffle.plans.signal_queries import SIGNAL_SQL, signal
+from riffle.plans.signal_queries import _STEPS, SIGNAL_SQL, pcm
 from riffle.session import table
 
 
 def signal_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each signal in two pieces of sound, of 40 and of 24 samples."""
-    rows = signal(spark, sf_dir).select("vec_id", F.unhex(F.array_join(F.transform("s", lambda v: put_le(v, 2)), "")).alias("pcm"))
-    return rows.select("vec_id", F.substring("pcm", 1, 80).alias("a"), F.substring("pcm", 81, 2**31 - 1).alias("b"))
+    return pcm(spark, sf_dir).select("vec_id", F.substring("pcm", 1, 80).alias("a"), F.substring("pcm", 81, 2**31 - 1).alias("b"))
 
 
 def adpcm_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +45,6 @@ def wav_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (adpcm_chunks, pcm_bytes, resample_bytes, wav_errors)}
 
-_STEPS = "[7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767]"
 _HALVES = f"{SIGNAL_SQL.replace('signal AS', 'whole AS')}, signal AS (SELECT vec_id * 2 AS k, s[1:40] AS s FROM whole UNION ALL SELECT vec_id * 2 + 1, s[41:64] FROM whole)"
 _ENC = f"""st AS (SELECT k, s, (SELECT arg_min(i, (d, i)) FROM (SELECT unnest(range(0, 89)) AS i, abs(unnest({_STEPS}) - abs(abs(s[1]) - abs(s[2]) / 2.0)) AS d)) AS i0 FROM signal),
 enc AS (SELECT k, s, 1 AS i, s[1] AS est, CAST(i0 AS INTEGER) AS idx FROM st UNION ALL

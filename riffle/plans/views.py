@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from riffle.session import table
 
+#: Streams grow with the users; a PID has 13 bits.
+PIDS = 8_000
 PACKETS_SQL = """
 packets AS (
   SELECT pid, off, ts, ts_us, event_type, value, k,
          event_type IN ('signup', 'purchase') AS pusi,
          (ts_us * 9) // 100 AS pts,
          (row_number() OVER w - 1 + sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w) % 16 AS cc
-  FROM (SELECT user_id % 8 AS pid, event_id AS off, ts, epoch_us(ts) AS ts_us, event_type, value,
+  FROM (SELECT user_id % 8000 AS pid, event_id AS off, ts, epoch_us(ts) AS ts_us, event_type, value,
                CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
   WINDOW w AS (PARTITION BY pid ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 )"""
@@ -27,7 +29,7 @@ packets AS (
 def raw_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(
-        (F.col("user_id") % 8).alias("pid"),
+        (F.col("user_id") % PIDS).alias("pid"),
         F.col("event_id").alias("off"),
         "ts",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
@@ -38,7 +40,7 @@ def raw_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packets of eight PIDs; an ``error`` event stands for a lost packet, so the counter skips one there."""
+    """Packets of as many PIDs as there are users; an ``error`` event stands for a lost packet, so the counter skips one there."""
     w = Window.partitionBy("pid").orderBy("off").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lost = F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).over(w)
     return raw_packets(spark, sf_dir).select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,14 +27,15 @@ def transport_packets(spark: SparkSession, path: str, glob: str = "*.ts") -> Dat
 
 @dataclass
 class Written(WriterCommitMessage):
-    names: list[str]
+    files: list[tuple[str, str]]
 
 
 class ByteFiles(DataSource):
     """Writes rows ``name, data`` as one file each below a folder: ``df.write.format("byte_files").mode("append").save(folder)``.
 
-    Files of a task are renamed into place when the task ends, so a task that is run again leaves no half-written file. The folder
-    is any that pyarrow can write (a shared mount, HDFS or an object store).
+    Tasks write under hidden names; files get their own names when the job commits, and are removed when it fails. With mode overwrite,
+    what the folder held before goes at the commit. The folder is any that pyarrow can write (a shared mount, HDFS or an
+    object store), and a name may hold folders.
     """
 
     @classmethod
@@ -41,33 +43,55 @@ class ByteFiles(DataSource):
         return "byte_files"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return ByteFileWriter(self.options["path"])
+        return ByteFileWriter(self.options["path"], overwrite)
 
 
 class ByteFileWriter(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
+    def _store(self):
         from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        store, root = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
-        attempt, names = TaskContext.get().taskAttemptId(), []
-        store.create_dir(root, recursive=True)
+        store, root = self._store()
+        attempt, files = TaskContext.get().taskAttemptId(), []
+        folder = f"{root}/.writing-{self.job}"
+        store.create_dir(folder, recursive=True)
         for row in rows:
-            part = f"{root}/.{row.name}.{attempt}"
+            part = f"{folder}/{attempt}-{len(files)}"
             with store.open_output_stream(part) as out:
                 out.write(bytes(row.data))
-            store.move(part, f"{root}/{row.name}")
-            names.append(row.name)
-        return Written(names)
+            files.append((part, row.name))
+        return Written(files)
 
     def commit(self, messages: list) -> None:
-        return None
+        from pyarrow import fs
+
+        store, root = self._store()
+        if self.overwrite:
+            for old in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+                if not old.base_name.startswith(".writing-"):
+                    (store.delete_dir if old.type == fs.FileType.Directory else store.delete_file)(old.path)
+        for message in messages:
+            for part, name in message.files if message else []:
+                if "/" in name:
+                    store.create_dir(f"{root}/{name}".rsplit("/", 1)[0], recursive=True)
+                store.move(part, f"{root}/{name}")
+        self._clear(store, root)
 
     def abort(self, messages: list) -> None:
-        return None
+        self._clear(*self._store())
+
+    def _clear(self, store, root: str) -> None:
+        from pyarrow import fs
+
+        if store.get_file_info(f"{root}/.writing-{self.job}").type == fs.FileType.Directory:
+            store.delete_dir(f"{root}/.writing-{self.job}")
 
 
 def write_bytes(df: DataFrame, path: str, name: str = "name", data: str = "data") -> None:

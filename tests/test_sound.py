@@ -23,18 +23,36 @@ def test_numbers_and_back(spark):
     assert bytes(back[0].r.data) == pcm(0, 16383, -32767, 32767, 0) and back[1].r.err == back[2].r.err == "no audio data"
 
 
-def test_chunks_round_trip_like_the_column_expressions(spark):
+def slow_chunk(samples):
+    """One sample after another, as the format describes it."""
+    steps, moves = dsp.STEPS, dsp.INDEX
+    half = abs(abs(samples[0]) - abs(samples[1]) / 2)
+    index = min(range(len(steps)), key=lambda i: (abs(steps[i] - half), i))
+    est, head, nibs, decoded = samples[0], index, [], [samples[0]]
+    cap = lambda v: max(-32768, min(32767, v))
+    for s in samples[1:]:
+        delta, step = cap(s - est), steps[index]
+        nib, left, diff = (8 if delta < 0 else 0), abs(delta), step >> 3
+        for bit, part in ((4, step), (2, step >> 1), (1, step >> 2)):
+            if left > part:
+                nib, left, diff = nib | bit, left - part, diff + part
+        est = cap(est + (-1 if nib & 8 else 1) * min(diff, 32767))
+        index = max(0, min(len(steps) - 1, index + moves[nib & 7]))
+        nibs.append(nib)
+        decoded.append(est)
+    odd = len(nibs) % 2
+    body = bytes(a | b << 4 for a, b in zip(nibs[::2], nibs[1::2] + [0] * odd, strict=True))
+    return (8 + len(body)).to_bytes(4, "little") + samples[0].to_bytes(2, "little", signed=True) + bytes([head, odd]) + body, decoded
+
+
+def test_chunks_against_a_slow_coder(spark):
     rng = np.random.default_rng(0)
     rows = [np.cumsum(rng.integers(-900, 900, n)).astype("<i2") for n in (2, 3, 4, 5, 64, 301, 1000)] + [np.array([32767, -32768] * 20, "<i2"), np.array([-32768, 32767, 0], "<i2")]
     coded = run(spark, [r.tobytes() for r in rows] + [b"ab", b"", b"abc"], sound.adpcm_encoded)
     assert [r.err for r in coded[-3:]] == ["fewer than two samples", "no audio data", "uneven number of bytes"]
-    df = spark.createDataFrame([(i, r.astype(int).tolist()) for i, r in enumerate(rows)], "i int, s array<int>").select("i", dsp.adpcm_encoded(F.col("s")).alias("c")).select("i", "c", dsp.adpcm_decoded(F.col("c")).alias("s"))
-    for r, own in zip(df.orderBy("i").collect(), coded, strict=False):
-        data = bytes(own.data)
-        assert int.from_bytes(data[:4], "little") == len(data) and data[7] == len(r.c.nibs) % 2 and data[6] == r.c["index"]
-        nibs = [n for byte in data[8:] for n in (byte & 15, byte >> 4)]
-        assert nibs[: len(r.c.nibs)] == r.c.nibs
-        assert sound.decode_chunks([data])[0].tolist() == r.s
+    for r, own in zip(rows, coded, strict=False):
+        chunk, decoded = slow_chunk(r.astype(int).tolist())
+        assert bytes(own.data) == chunk and sound.decode_chunks([chunk])[0].tolist() == decoded
     long = run(spark, [b"".join(bytes(c.data) for c in coded[:9]) + b"\x40\0\0\0cut", b"short"], sound.adpcm_decoded)
     whole = np.concatenate(sound.decode_chunks([bytes(c.data) for c in coded[:9]])).astype("<i2").tobytes()
     assert bytes(long[0].data) == whole and len(whole) == 2 * sum(map(len, rows)) and long[1].err == "no whole chunk"
