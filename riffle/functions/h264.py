@@ -66,7 +66,7 @@ def sps_fields(bits: Column) -> Column:
     """Of the bits of a baseline SPS (behind the NAL header): profile, level, ids, sizes in macroblocks and the frame flag. Order count types 0 and 2."""
     number = lambda a, n: F.conv(F.substring(bits, a + 1, n), 2, 10).cast("int")
     width = lambda v: 2 * F.length(F.bin(v + 1)) - 1
-    beyond = lambda text, codes: F.substring(text, F.aggregate(codes, F.lit(1), lambda a, v: (a + width(v)).cast("int")), F.lit(4000))
+    beyond = lambda text, codes: F.substring(text, F.aggregate(codes, F.lit(1), lambda a, v: (a + width(v)).cast("int")), F.lit(1 << 30))
 
     def with_ids(v: Column) -> Column:
         """Three codes, and a fourth for the size of order counts of type 0; then the reference frames and the gaps flag."""
@@ -74,14 +74,14 @@ def sps_fields(bits: Column) -> Column:
         return let(F.struct(v["codes"].alias("codes"), after.alias("after")), lambda w: let(F.struct(w["codes"].alias("codes"), w["after"].alias("after"), ue_values(w["after"], F.lit(1)).alias("frames")), with_frames))
 
     def with_frames(v: Column) -> Column:
-        then = F.substring(beyond(v["after"], v["frames"]), F.lit(2), F.lit(4000))
+        then = F.substring(beyond(v["after"], v["frames"]), F.lit(2), F.lit(1 << 30))
         return let(F.struct(v["codes"].alias("codes"), v["frames"].alias("frames"), then.alias("then")), lambda w: let(F.struct(w["codes"].alias("codes"), w["frames"].alias("frames"), w["then"].alias("then"), ue_values(w["then"], F.lit(2)).alias("size")), result))
 
     def result(v: Column) -> Column:
         flag = F.substring(beyond(v["then"], v["size"]), F.lit(1), F.lit(1)) == "1"
         return F.struct(number(0, 8).alias("profile"), number(16, 8).alias("level"), v["codes"][0].alias("sps_id"), v["codes"][2].alias("order_count_type"), v["frames"][0].alias("ref_frames"), (v["size"][0] + 1).alias("width_mbs"), (v["size"][1] + 1).alias("height_units"), flag.alias("frame_mbs_only"))
 
-    rest = F.substring(bits, F.lit(25), F.lit(4000))
+    rest = F.substring(bits, F.lit(25), F.lit(1 << 30))
     return let(F.struct(rest.alias("rest"), ue_values(rest, F.lit(4)).alias("codes")), with_ids)
 
 

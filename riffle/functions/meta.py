@@ -39,7 +39,7 @@ def deleted(kv: Column, key: Column) -> Column:
 
 def decoded(data: Column) -> tuple[Column, Column]:
     """The entries, null where there is an error, and the error: bad header, wrong length, or an entry that is not ``k=v``."""
-    text = F.decode(F.substring(data, F.lit(5), F.lit(1 << 20)), "UTF-8")
+    text = F.decode(F.substring(data, F.lit(5), F.lit(1 << 30)), "UTF-8")
     parts = F.transform(F.split(text, "\t"), lambda x: F.split(x, "="))
     err = F.when(F.octet_length(data) < 4, "too short").when(be(data, 0, 2) != 16, "not metadata").when(be(data, 2, 2) != F.octet_length(data) - 4, "wrong length").when(F.exists(parts, lambda p: F.size(p) != 2), "unexpected format")
     return F.when(err.isNull(), F.transform(parts, lambda p: F.struct(F.get(p, F.lit(0)).alias("k"), F.get(p, F.lit(1)).alias("v")))), err
@@ -81,7 +81,7 @@ def rtsp_response(text: Column) -> dict[str, Column]:
     """Status and headers of a response; header values of one name are a list, in order."""
     lines = F.split(F.regexp_extract(text, "(?s)^(.*?)\r\n\r\n", 1), "\r\n")
     first = F.get(lines, F.lit(0))
-    heads = F.transform(F.filter(F.slice(lines, 2, F.lit(10_000)), lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_extract(x, "^[^:]*:(.*)$", 1)).alias("v")))
+    heads = F.transform(F.filter(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_extract(x, "^[^:]*:(.*)$", 1)).alias("v")))
     names = F.array_distinct(F.transform(heads, lambda h: h["k"]))
     grouped = F.map_from_entries(F.transform(names, lambda n: F.struct(n.alias("key"), F.transform(F.filter(heads, lambda h: h["k"] == n), lambda h: h["v"]).alias("value"))))
     status = F.regexp_extract(first, r"^RTSP/1\.0 (\d{3})( .*)?$", 1)

@@ -72,3 +72,39 @@ def jpeg_images(data: Column) -> Column:
 
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("held"), F.array().cast("array<string>").alias("found")).cast(kind)
     return F.when(be(data, 0, 2) == 0xFFD8, F.transform(F.aggregate(pieces, start, take)["found"], from_latin1))
+
+
+def without_first_eight(frame: Column) -> Column:
+    """What follows the first eight bytes; frames of eight bytes or fewer stay."""
+    return F.when(F.octet_length(frame) > 8, F.substring(frame, F.lit(9), F.lit(1 << 30))).otherwise(frame)
+
+
+# Numbers of the baseline, high and high 10 profiles.
+BASELINE, HIGH, HIGH_10 = 66, 100, 110
+
+
+def is_constrained_baseline(profile: Column, flags: Column) -> Column:
+    """flags: one byte for each bit of a sequence parameter set."""
+    return F.coalesce((profile == BASELINE) & (u8(flags, 8) == 1), F.lit(False))
+
+
+def is_constrained_high(profile: Column, flags: Column) -> Column:
+    return F.coalesce((profile == HIGH) & (u8(flags, 12) == 1) & (u8(flags, 13) == 1), F.lit(False))
+
+
+def is_high_10_intra(profile: Column, flags: Column) -> Column:
+    return F.coalesce((profile == HIGH_10) & (u8(flags, 11) == 1), F.lit(False))
+
+
+def ends_with_start_code(data: Column) -> Column:
+    """Whether the last four bytes are a start code."""
+    return F.coalesce(F.endswith(F.hex(data), F.lit("00000001")) & (F.octet_length(data) >= 4), F.lit(False))
+
+
+def ends_with_three_zeros(data: Column) -> Column:
+    return F.coalesce(F.endswith(F.hex(data), F.lit("000000")) & (F.octet_length(data) >= 3), F.lit(False))
+
+
+def more_data(bits_of: Column, at: Column) -> Column:
+    """Whether data is left in the bits of a payload, read up to ``at``: anything before its last 1, the stop bit."""
+    return F.coalesce(F.length(F.regexp_replace(bits_of, "0*$", "")) - 1 > at, F.lit(False))

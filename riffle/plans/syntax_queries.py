@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from riffle.functions import amf
 from riffle.functions import h264 as h
-from riffle.functions.bytesx import bits
+from riffle.functions import splitting as sp
+from riffle.functions.bytesx import bits, chunks
 from riffle.session import table
 
 
@@ -58,13 +59,26 @@ def amf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bit_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields of 3, 5, 11 and 13 bits at the start of each address."""
-    rows = table(spark, sf_dir, "pages").select("page_id", bits(F.encode("url", "UTF-8")).alias("b"))
+    """Fields of 3, 5, 11 and 13 bits over the whole of each address, four bytes at a time."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(chunks(F.encode("url", "UTF-8"), 4)).alias("n", "word")).where(F.octet_length("word") == 4).select("page_id", "n", bits(F.col("word")).alias("b"))
     at, out = 1, []
     for n in (3, 5, 11, 13):
         out.append(F.conv(F.substring("b", at, n), 2, 10).cast("long").alias(f"f{n}"))
         at += n
-    return rows.select("page_id", *out)
+    return rows.select("page_id", "n", *out)
+
+
+def unit_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses as payloads, some with a start code or zeros at their end: profiles, what is behind the first eight bytes, and whether data is left at a position."""
+    k = F.col("page_id")
+    tail = F.unhex(F.element_at(F.array(*map(F.lit, ("", "00000001", "000000", "0001"))), (k % 4 + 1).cast("int")))
+    flags = F.unhex(F.concat(*[F.when((F.floor(k / 3) + i // 2) % 2 == 0, "01").otherwise("00") for i in range(16)]))
+    profile = F.element_at(F.array(*map(F.lit, (66, 100, 110))), (k % 3 + 1).cast("int"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.concat(F.encode("url", "UTF-8"), tail).alias("d"), flags.alias("flags"), profile.alias("profile"))
+    return rows.select(
+        "page_id", F.hex(sp.without_first_eight(F.substring("d", F.lit(1), (k % 12 + 4).cast("int")))).alias("behind"), sp.is_constrained_baseline(F.col("profile"), F.col("flags")).alias("baseline"), sp.is_constrained_high(F.col("profile"), F.col("flags")).alias("high"), sp.is_high_10_intra(F.col("profile"), F.col("flags")).alias("intra"),
+        sp.ends_with_start_code(F.col("d")).alias("start"), sp.ends_with_three_zeros(F.col("d")).alias("zeros"), sp.more_data(bits(F.col("d")), k % 8 + (F.octet_length("d") - 2) * 8).alias("more"),
+    )
 
 
 def macroblocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +87,7 @@ def macroblocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", "slice", h.macroblock_name(F.col("slice"), kind).alias("name"), h.me_value(code, True, True).alias("intra"), h.me_value(code, False, False).alias("inter"), h.context_state(kind - 15, code, F.col("l_linenumber") * 9).cast("long").alias("state"))
 
 
-QUERIES = {f.__name__: f for f in (exp_golomb, sps_parse, slice_groups, order_counts, binarisations, amf_round_trip, bit_reader, macroblocks)}
+QUERIES = {f.__name__: f for f in (exp_golomb, sps_parse, slice_groups, order_counts, binarisations, amf_round_trip, bit_reader, unit_predicates, macroblocks)}
 
 _BITS = "2 * len(bin({v} + 1)) - 1"
 _UEG = """CASE WHEN abs({s}) < {c} THEN repeat('1', abs({s})) || '0' ELSE repeat('1', {c}) || repeat('1', st) || '0' || CASE WHEN st + {k} > 0 THEN lpad(bin(abs({s}) - {c} - ((1 << (st + {k})) - (1 << {k}))), CAST(st + {k} AS INTEGER), '0') ELSE '' END END"""
@@ -95,5 +109,10 @@ SELECT l_orderkey, l_linenumber, repeat('1', v) || '0' AS u, CASE WHEN v < 7 THE
     "macroblocks": f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey % 30 AS k, l_partkey % 50 AS c, ['I', 'P', 'B'][l_orderkey % 3 + 1] AS slice FROM lineitem), i AS (SELECT *, k - CASE slice WHEN 'P' THEN 5 WHEN 'B' THEN 23 ELSE 0 END AS i FROM r)
 SELECT l_orderkey, l_linenumber, slice, CASE WHEN slice = 'P' AND k < 5 THEN {list(h.P_TYPES)}[k + 1] WHEN slice = 'B' AND k < 23 THEN {list(h.B_TYPES)}[k + 1] WHEN i = 0 THEN 'I_NxN' WHEN i = 25 THEN 'I_PCM' WHEN i BETWEEN 1 AND 24 THEN 'I_16x16_' || ((i - 1) % 4) || '_' || (((i - 1) // 4) % 3) || '_' || CASE WHEN i > 12 THEN 1 ELSE 0 END END AS name,
 {list(h.CBP[True, True])}[c + 1] AS intra, {list(h.CBP[False, False])}[c + 1] AS inter, CAST(greatest(1, least(126, CAST(floor((k - 15) * greatest(0, least(51, l_linenumber * 9)) / 16.0) AS BIGINT) + c)) AS BIGINT) AS state FROM i""",
-    "bit_reader": """WITH b AS (SELECT page_id, ('0x' || substring(hex(encode(url)), 1, 8))::BIGINT AS v FROM pages) SELECT page_id, v >> 29 AS f3, (v >> 24) & 31 AS f5, (v >> 13) & 2047 AS f11, v & 8191 AS f13 FROM b""",
+    "bit_reader": """WITH b AS (SELECT page_id, hex(encode(url)) AS h, unnest(range(0, strlen(url) // 4)) AS n FROM pages), v AS (SELECT page_id, n, ('0x' || substring(h, CAST(n * 8 + 1 AS BIGINT), 8))::BIGINT AS v FROM b)
+SELECT page_id, CAST(n AS INTEGER) AS n, v >> 29 AS f3, (v >> 24) & 31 AS f5, (v >> 13) & 2047 AS f11, v & 8191 AS f13 FROM v""",
+    "unit_predicates": """WITH r AS (SELECT page_id AS k, hex(encode(url)) || ['', '00000001', '000000', '0001'][page_id % 4 + 1] AS h, [66, 100, 110][page_id % 3 + 1] AS p FROM pages),
+b AS (SELECT *, len(h) // 2 AS n, (k % 8) + (len(h) // 2 - 2) * 8 AS pos, rtrim(h, '0') AS t FROM r), l AS (SELECT *, strpos('123456789ABCDEF', right(t, 1)) AS x FROM b)
+SELECT k AS page_id, CASE WHEN k % 12 + 4 > 8 THEN substring(h, 17, CAST((k % 12 + 4 - 8) * 2 AS BIGINT)) ELSE substring(h, 1, CAST((k % 12 + 4) * 2 AS BIGINT)) END AS behind, p = 66 AND (k // 3 + 4) % 2 = 0 AS baseline, p = 100 AND (k // 3 + 6) % 2 = 0 AS high,
+ p = 110 AND (k // 3 + 5) % 2 = 0 AS intra, k % 4 = 1 AS "start", k % 4 = 2 AS zeros, len(t) * 4 - 1 - CASE WHEN x % 2 = 1 THEN 0 WHEN x % 4 = 2 THEN 1 WHEN x % 8 = 4 THEN 2 ELSE 3 END > pos AS more FROM l""",
 }
