@@ -42,8 +42,6 @@ BLOCK = 1 << 16
 MAX_BUCKET = 20_000
 #: Buckets up to this size are compared by shifted arrays, all at once.
 SMALL = 48
-#: Members of a block where all pairs of a bucket are wanted.
-BLOCK_PAIRS = 2_048
 #: Shingles and texts that are compared as sets in one block; two blocks meet in a task.
 SET_GRAMS, SET_TEXTS = 1 << 18, 1_024
 
@@ -370,87 +368,6 @@ def of_heads(nodes: DataFrame, links: DataFrame, shape: Shape) -> DataFrame:
     return links.join(a, shape.columns).join(b, [f"g{i}" for i in range(shape.words)]).select("a", "b", "d")
 
 
-def close_pairs(shape: Shape, similarity: float):
-    """Reads (t, k, i, j, c, node, root, n, f...) sorted by (t, k, i, j): blocks i and j of bucket (t, k). Gives every pair of
-    nodes within reach, of different roots and of set sizes that allow the similarity: once, in the first table in which it meets."""
-
-    def pick(g: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        (t, c, node, root, n, cross), fp = g[:6], g[6:]
-        bits = apart(fp, a, b).astype(np.int32)
-        ok = (bits <= shape.reach) & (root[a] != root[b]) & ~(cross[a] & (c[a] == c[b]))
-        ok &= np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9
-        a, b, bits = a[ok], b[ok], bits[ok]
-        ok = shape.first_table([f[a] ^ f[b] for f in fp]) == t[a]
-        return pa.RecordBatch.from_arrays([pa.array(node[a[ok]]), pa.array(node[b[ok]]), pa.array(bits[ok])], names=["a", "b", "d"])
-
-    def whole(g: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        t, k, i, j = g[:4]
-        fp = [f.view(np.uint64) for f in g[8:]]
-        of = [t, *g[4:8], i != j, *fp]
-        first = _starts(t, k, i, j)
-        size = np.diff(np.append(first, len(t)))
-        few = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
-        group = np.repeat(first, size)[few]
-        for d in range(1, SMALL):
-            same = np.flatnonzero(group[d:] == group[:-d])
-            if not len(same):
-                break
-            for at in range(0, len(same), BLOCK):
-                yield pick(of, few[same[at : at + BLOCK]], few[same[at : at + BLOCK] + d])
-        for at, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-            for x in range(at, at + n - 1):
-                rest = np.arange(x + 1, at + n)
-                rest = rest[apart(fp, rest, x) <= shape.reach]
-                if len(rest):
-                    yield pick(of, np.full(len(rest), x), rest)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            g = [batch.column(x).to_numpy() for x in range(8 + shape.words)]
-            if not len(g[0]):
-                continue
-            # the last bucket of a batch may go on in the next one
-            last = int(_starts(*g[:4])[-1])
-            if held and (last or any(x[0] != y[-1] for x, y in zip(g[:4], held[-1][:4], strict=True))):
-                yield from gathered(whole([np.concatenate(x) for x in zip(*held, [y[:last] for y in g], strict=True)]))
-                held = []
-            elif last:
-                yield from gathered(whole([x[:last] for x in g]))
-            held.append([x[last:] for x in g])
-        if held:
-            yield from gathered(whole([np.concatenate(x) for x in zip(*held, strict=True)]))
-
-    return run
-
-
-def gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Many small batches as fewer larger ones."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for part in parts:
-        if part.num_rows:
-            held.append(part)
-            rows += part.num_rows
-        if len(held) >= 1_000 or rows >= BLOCK:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, rows = [], 0
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
-def every_pair(members: DataFrame, shape: Shape, similarity: float, block: int) -> DataFrame:
-    """``a, b, d``: all pairs of ``members`` (node, root, n, f0, ...) of different roots that a link may join; large buckets in pairs of blocks."""
-    rows = members.select("node", "root", "n", *shape.columns, F.inline(shape.tables()))
-    sizes = rows.groupBy("t", "k").agg(F.count("*").alias("rows"), F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
-    sizes = cut(sizes.select("t", "k", F.ceil(F.col("rows") / block).cast("int").alias("blocks")))
-    rows = rows.join(sizes, ["t", "k"])
-    rows = rows.withColumn("c", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("t", "k", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "c", "node", "root", F.col("n").cast("long").alias("n"), *shape.columns)
-    rows = rows.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", *shape.columns, "node")
-    return rows.mapInArrow(close_pairs(shape, similarity), "a long, b long, d int")
-
-
 class Sets:
     """Shingle sets of some texts, side by side, and the parts that they form. Texts of one ``part`` belong together from the start."""
 
@@ -531,6 +448,47 @@ def alike(pairs: DataFrame, texts: DataFrame, parts: DataFrame, similarity: floa
     return dealt.groupBy(*unit).cogroup(wanted.groupBy(*[f"of_{c}" for c in unit])).applyInArrow(compare, "a long, b long")
 
 
+def links_between_parts(members: DataFrame, texts: DataFrame, parts: DataFrame, shape: Shape, similarity: float) -> DataFrame:
+    """Links ``a, b`` of the groups that fall into several parts: two blocks of a group meet in a task with their shingle sets.
+
+    ``members`` has ``group, team, block, blocks, node`` and fingerprints. All pairs of different parts that the masks propose are compared inside the
+    task, the nearer ones first; only links leave it.
+    """
+    split = parts.join(members.select("node", "group"), "node").groupBy("group").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    split = cut(split.where("least != most").select("group"))
+    rows = members.join(split, "group").join(parts.select("node", "root"), "node").join(texts.select("node", "grams"), "node")
+    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("team", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "group", "block", "node", "root", *shape.columns, "grams")
+
+    def compare(table: pa.Table) -> pa.Table:
+        group, node = (table.column(c).to_numpy() for c in ("group", "node"))
+        order = np.lexsort((node, group))
+        group, node = group[order], node[order]
+        block, root, i, j = (table.column(c).to_numpy()[order] for c in ("block", "root", "i", "j"))
+        fp = [table.column(c).to_numpy()[order].view(np.uint64) for c in shape.columns]
+        grams = table.column("grams").combine_chunks().take(pa.array(order))
+        size = pa.compute.list_value_length(grams).to_numpy()
+        first = _starts(group)
+        last = np.repeat(np.append(first[1:], len(group)), np.diff(np.append(first, len(group))))
+        found: list[np.ndarray] = []
+        for x in range(len(node)):
+            y = np.arange(x + 1, last[x])
+            d = apart(fp, y, x)
+            ok = (d <= shape.reach) & (root[y] != root[x]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9)
+            if i[x] != j[x]:  # pairs inside a block are compared where the block meets itself
+                ok &= block[y] != block[x]
+            if ok.any():
+                found.append(np.stack([np.full(ok.sum(), x), y[ok], d[ok]], axis=1).astype(np.int32))
+        pairs = np.concatenate([*found, np.zeros((0, 3), np.int32)])
+        pairs = pairs[shape.first_table([f[pairs[:, 0]] ^ f[pairs[:, 1]] for f in fp]) >= 0]
+        pairs = pairs[np.argsort(pairs[:, 2], kind="stable")]
+        a, b = pairs[:, 0].astype(np.int64), pairs[:, 1].astype(np.int64)
+        new = Sets(grams.flatten().to_numpy(), size, root).links(a, b, similarity)
+        return pa.table({"a": node[a[new]], "b": node[b[new]]})
+
+    return rows.groupBy("team", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def _row_key(doc_id: Column, tag: Column) -> list[Column]:
     """Equality of these is equality of id and text, nulls included."""
     return [doc_id.isNull().alias("none"), F.coalesce(doc_id.cast("long"), F.lit(0)).alias("id"), tag.alias("tag")]
@@ -550,7 +508,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, shape: Shape,
     sizes = sizes.withColumn("blocks", blocks)
     teams = -(-(sizes.where("blocks = 1").agg(F.sum("grams")).first()[0] or 0) // SET_GRAMS) or 1
     team = F.when(F.col("blocks") > 1, F.col("group")).otherwise(-1 - F.pmod(F.xxhash64("group"), F.lit(teams)))  # small groups share a task
-    members = groups.join(sizes.select("group", "blocks"), "group").select("group", "node", team.alias("team"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    members = groups.join(sizes.select("group", "blocks"), "group").select("group", "node", "blocks", team.alias("team"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     members = cut(members.join(nodes, "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -562,11 +520,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, shape: Shape,
     texts = cut(rows.select("node", "team", "block", "text").mapInArrow(run, "node long, team long, block int, grams array<long>").dropDuplicates(["node"]))
 
     found = cut(alike(proposed, texts, members.withColumn("root", F.col("node")), similarity))
-    parts = members.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = cut(parts.groupBy("group").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("group"))
-    parts = cut(parts.join(split, "group").select("node", "root", "n", *shape.columns))
-    more = cut(every_pair(parts, shape, similarity, min(BLOCK_PAIRS, max_bucket)))
-    return cut(found.unionByName(alike(more, texts, parts, similarity)))
+    parts = cut(members.select("node").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    return cut(found.unionByName(links_between_parts(members, texts, parts, shape, similarity)))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, shape: Shape = WIDE) -> DataFrame:
