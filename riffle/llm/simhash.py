@@ -11,8 +11,10 @@ several words has masks over each word, and one word of a pair within the radius
 
 With ``similarity``, fingerprints only propose pairs, and a link is a pair whose shingle sets have that Jaccard
 similarity. Texts are then compared in two rounds: pairs that span each group of proposed pairs, and, in groups that
-fall apart, all other pairs of different parts, the nearer ones first. A pair is left uncompared only where links that were
-found join its two texts already, so no link is lost.
+fall apart, all other pairs of different parts that meet in a bucket, the nearer ones first. A pair is left uncompared only
+where links that were found join its two texts already, so no link is lost. Groups that unrelated texts chain together by chance
+have few such pairs for their size; these are named one by one. Where a share of all pairs of a group meets (``DENSE``), the
+group is compared in pairs of blocks, and no pair leaves its task.
 
 Defined results: a null text is an empty text and has fingerprint 0, linked like any other; a null ``doc_id`` is an id
 like any other, but the last one, so a group has component_id null only if none of its rows has an id; repeated rows
@@ -22,6 +24,7 @@ whatever their names.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -44,6 +47,8 @@ MAX_BUCKET = 20_000
 SMALL = 48
 #: Shingles and texts that are compared as sets in one block; two blocks meet in a task.
 SET_GRAMS, SET_TEXTS = 1 << 18, 1_024
+#: A group is compared whole if so many times the pairs that meet are its texts squared.
+DENSE = 16
 
 
 @dataclass(frozen=True)
@@ -448,15 +453,96 @@ def alike(pairs: DataFrame, texts: DataFrame, parts: DataFrame, similarity: floa
     return dealt.groupBy(*unit).cogroup(wanted.groupBy(*[f"of_{c}" for c in unit])).applyInArrow(compare, "a long, b long")
 
 
+def meetings(members: DataFrame, parts: DataFrame, shape: Shape, max_bucket: int) -> DataFrame:
+    """Members (group, node, n, fingerprints) of groups that fall into several ``parts``, in every bucket where parts meet.
+
+    They are dealt to units ``t, k, i, j`` (``i < j``: two blocks of a bucket that is too large for one task) and sorted by unit.
+    """
+    rows = members.select("group", "node", "n", *shape.columns).join(parts.select("node", "root"), "node")
+    split = rows.groupBy("group").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("group")
+    rows = cut(rows.join(cut(split), "group"))
+    each = rows.select("group", "node", "n", "root", *shape.columns, F.inline(shape.tables()))
+    sizes = each.groupBy("t", "k").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
+    sizes = cut(sizes.select("t", "k", F.when(F.col("size") > max_bucket, F.ceil(2 * F.col("size") / max_bucket)).otherwise(1).cast("int").alias("blocks")))
+    each = each.join(sizes, ["t", "k"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    each = each.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("t", "k", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "block", "group", "node", "n", "root", *shape.columns)
+    return each.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", "node")
+
+
+def meeting_pairs(shape: Shape, similarity: float, named: bool):
+    """Reads rows of ``meetings``. Gives the pairs of different parts that the masks propose, each in the first table in which it meets: ``a, b, d`` if ``named``, else their number ``group, m``."""
+
+    def pairs(unit: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        t, k, i, j, block, _, _, n, root = unit[:9]
+        fp = unit[9:]
+
+        def proposed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            ok = (root[a] != root[b]) & ((i[a] == j[a]) | (block[a] != block[b])) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9)
+            a, b = a[ok], b[ok]
+            d = apart(fp, a, b)
+            ok = d <= shape.reach
+            a, b, d = a[ok], b[ok], d[ok]
+            ok = shape.first_table([f[a] ^ f[b] for f in fp]) == t[a]
+            return a[ok], b[ok], d[ok]
+
+        first = _starts(t, k, i, j)
+        size = np.diff(np.append(first, len(t)))
+        few = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
+        last = np.repeat(first + size, size)
+        for step in range(1, min(SMALL, int(size[size <= SMALL].max(initial=1)))):
+            a = few[few + step < last[few]]
+            if len(a):
+                yield proposed(a, a + step)
+        for at, m in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            for a in range(at, at + m - 1):
+                b = np.arange(a + 1, at + m)
+                yield proposed(np.full(len(b), a), b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in whole_units(batches, 4):
+            unit[9:] = [f.view(np.uint64) for f in unit[9:]]
+            group, node, found, held = unit[5], unit[6], [], 0
+            for some in itertools.chain(pairs(unit), [None]):
+                if some is not None and len(some[0]):
+                    found.append(some)
+                    held += len(some[0])
+                if found and (some is None or held > BLOCK):
+                    a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
+                    found, held = [], 0
+                    if named:
+                        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(d.astype(np.int32))], names=["a", "b", "d"])
+                    else:
+                        names, m = np.unique(group[a], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(m)], names=["group", "m"])
+
+    return run
+
+
+def whole_units(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted batches, cut so that no unit (equal first ``keys`` columns) is spread over two."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        last = int(_starts(*columns[:keys])[-1])
+        if last:
+            yield [c[:last] for c in columns]
+        held = [c[last:] for c in columns]
+    if held is not None:
+        yield held
+
+
 def links_between_parts(members: DataFrame, texts: DataFrame, parts: DataFrame, shape: Shape, similarity: float) -> DataFrame:
-    """Links ``a, b`` of the groups that fall into several parts: two blocks of a group meet in a task with their shingle sets.
+    """Links ``a, b`` of dense groups: two blocks of a group meet in a task with their shingle sets.
 
     ``members`` has ``group, team, block, blocks, node`` and fingerprints. All pairs of different parts that the masks propose are compared inside the
     task, the nearer ones first; only links leave it.
     """
-    split = parts.join(members.select("node", "group"), "node").groupBy("group").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    split = cut(split.where("least != most").select("group"))
-    rows = members.join(split, "group").join(parts.select("node", "root"), "node").join(texts.select("node", "grams"), "node")
+    rows = members.join(parts.select("node", "root"), "node").join(texts.select("node", "grams"), "node")
     rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("team", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "group", "block", "node", "root", *shape.columns, "grams")
 
@@ -521,7 +607,12 @@ def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, shape: Shape,
 
     found = cut(alike(proposed, texts, members.withColumn("root", F.col("node")), similarity))
     parts = cut(members.select("node").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    return cut(found.unionByName(links_between_parts(members, texts, parts, shape, similarity)))
+    met = meetings(members, parts, shape, max_bucket).mapInArrow(meeting_pairs(shape, similarity, False), "group long, m long")
+    met = met.groupBy("group").agg(F.sum("m").alias("m")).join(sizes.select("group", "texts"), "group")
+    met = cut(met.select("group", (DENSE * F.col("m") >= F.col("texts") * F.col("texts")).alias("dense")))
+    dense = links_between_parts(members.join(met.where("dense").select("group"), "group"), texts, parts, shape, similarity)
+    named = meetings(members.join(met.where("NOT dense").select("group"), "group"), parts, shape, max_bucket).mapInArrow(meeting_pairs(shape, similarity, True), "a long, b long, d int")
+    return cut(found.unionByName(dense).unionByName(alike(named, texts, parts, similarity)))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, shape: Shape = WIDE) -> DataFrame:

@@ -222,3 +222,27 @@ def test_one_of_each_keeps_columns_of_any_name(spark):
     got = kept.collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, "other words here"), (1, "a b c d e f"), (5, "p q r s t u"), (6, "")]
     assert all(tuple(r)[3:] == ("k", "i", "t", "n", "w", "d", "DOC") for r in got)
+
+
+def test_chance_links_do_not_make_all_pairs_of_a_group(spark, monkeypatch):
+    """Unrelated texts under narrow fingerprints: chance links chain them into one group, of which only pairs that meet are compared."""
+    shape = simhash.Shape(words=3, width=16, each=2, reach=12, near=4)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(map(str, rng.integers(0, 10**9, 12))) for _ in range(6_000)]
+    texts += [texts[0] + " x", texts[0] + " y"]  # two that are alike
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    compared, whole = [], []
+    alike, between = simhash.alike, simhash.links_between_parts
+    monkeypatch.setattr(simhash, "alike", lambda pairs, *a: compared.append(pairs.count()) or alike(pairs, *a))
+    monkeypatch.setattr(simhash, "links_between_parts", lambda members, *a: whole.append(members.groupBy("group").count().selectExpr("sum(count * count)").first()[0] or 0) or between(members, *a))
+    got = {r.doc_id: r.component_id for r in near_duplicates(rows, 5, shape, 0.6).collect()}
+    assert {i for i, c in got.items() if i != c} == {6_000, 6_001} and got[6_000] == got[6_001] == 0
+    fp = np.array([simhash.fingerprint(t, 5, shape) for t in texts], np.uint64)
+    meet = 0
+    for a in range(len(fp) - 1):
+        d = [fp[a, w] ^ fp[a + 1 :, w] for w in range(3)]
+        near = sum(np.bitwise_count(x) for x in d) <= shape.reach
+        meet += int((shape.first_table([x[near] for x in d]) >= 0).sum())
+    largest = 1_000  # one group holds at least so many
+    assert meet > 6_000 and compared[0] > largest, "chance links chain the texts together"
+    assert sum(compared) <= 2 * meet and sum(whole) <= simhash.DENSE * meet
