@@ -27,7 +27,8 @@ B_TYPES = (
 
 def ue_bits(v: Column) -> Column:
     """An unsigned number as an Exp-Golomb code."""
-    return let(F.bin(v.cast("long") + 1), lambda b: F.concat(F.repeat(F.lit("0"), F.length(b) - 1), b))
+    b = F.bin(v.cast("long") + 1)
+    return F.lpad(b, 2 * F.length(b) - 1, F.lit("0"))
 
 
 def se_bits(v: Column) -> Column:

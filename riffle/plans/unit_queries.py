@@ -13,10 +13,9 @@ from riffle.session import table
 
 def payload(*bits: Column | str) -> Column:
     """Bits one after another, the stop bit and zeros up to a whole byte."""
-    text = F.concat(*[F.lit(b) if isinstance(b, str) else b for b in bits], F.lit("1"))
-    n = F.ceil(F.length(text) / 8).cast("int")
-    full = F.rpad(text, n * 8, F.lit("0"))
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: put_be(F.conv(F.substring(full, i * 8 + 1, F.lit(8)), 2, 10), 1)), ""))
+    text = F.concat(*[F.lit(b) if isinstance(b, str) else b for b in bits], F.lit("1" + "0" * 7))  # whole bytes of this end at the last of the seven that is needed
+    octets = F.transform(F.regexp_extract_all(text, F.lit("[01]{8}"), F.lit(0)), lambda b: put_be(F.conv(b, 2, 10), 1))
+    return F.unhex(F.array_join(octets, ""))
 
 
 def fixed(v: Column, n: int) -> Column:
@@ -55,7 +54,7 @@ def h264_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
         ue_bits(part % 400), ue_bits(F.col("l_linenumber") % 10), ue_bits(F.lit(3)), fixed(k % 16, 4), when(of(2), ue_bits(k % 9)), fixed(part % 64, 6), when(of(1), "1"), when(of(0, 3), "1", ue_bits(k % 3)), when(of(1), "0"),
         when(of(0, 3), "1", ue_bits(F.lit(0)), ue_bits(k % 5), ue_bits(F.lit(3))), when(of(1), "00"), when(of(2), "01"), when(~of(2), "1", ue_bits(F.lit(1)), ue_bits(part % 6), ue_bits(F.lit(0))), se_bits(part % 21 - 10), when(of(3), "1"), when(of(3, 4), se_bits(k % 7 - 3)),
     )
-    data = F.when(part % 11 == 0, F.substring(data, 1, 1)).otherwise(data)
+    data = F.substring(data, F.lit(1), F.when(part % 11 == 0, 1).otherwise(1 << 20))
     numbers = {"frame_num_bits": F.lit(4), "frames_only": F.lit(1), "order_bits": F.lit(6), "nal_ref": F.lit(1), "nal_type": F.when(of(2), 5).otherwise(1)}
     context = F.create_map(*[x for n, v in numbers.items() for x in (F.lit(n), v.cast("long"))])
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", units.parsed(data, units.slice_header, context).alias("r"))
