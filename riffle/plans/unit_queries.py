@@ -27,10 +27,8 @@ def h264_pps(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = F.when(k % 2 == 1, F.concat(ue_bits(F.lit(1)), ue_bits(F.lit(0)), ue_bits(s), ue_bits(k % 7))).otherwise(ue_bits(F.lit(0)))
     more = F.when(k % 5 == 0, F.concat(F.lit("11"), F.lit("1"), *[se_bits(s - 8 if j == 0 else F.lit(0)) for j in range(16)], F.lit("0000000"), se_bits(k % 9 - 4))).otherwise("")
     data = payload(ue_bits(k % 256), ue_bits(s % 32), "10", groups, ue_bits(k % 4), ue_bits(F.lit(0)), "110", se_bits(s - 26), se_bits(F.lit(0)), se_bits(k % 5 - 2), "101", more)
-    rows = table(spark, sf_dir, "part").select("p_partkey", units.parsed(data, units.picture_parameters).alias("r"))
-    f = F.col("r.fields")
     names = {"id": "id", "sps_id": "sps", "more_groups": "more_groups", "run_length_less_1[0]": "run0", "run_length_less_1[1]": "run1", "refs0_less_1": "refs0", "weighted_b": "weighted_b", "qp_less_26": "qp", "chroma_offset": "chroma", "redundant_present": "redundant", "scaling[0][0]": "scaling", "second_chroma_offset": "second"}
-    return rows.select("p_partkey", *[f[n].alias(a) for n, a in names.items()], F.size(f).alias("n_fields"), "r.err")
+    return table(spark, sf_dir, "part").select("p_partkey", units.fields_of(data, units.picture_parameters, names).alias("r")).select("p_partkey", "r.*")
 
 
 def h264_vui(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,10 +37,8 @@ def h264_vui(spark: SparkSession, sf_dir: str) -> DataFrame:
     timing = F.concat(F.lit("1"), fixed(F.lit(1000), 32), fixed(c + 50_000, 32), F.lit("1"))
     decoder = F.when(k % 2 == 0, F.concat(F.lit("1"), ue_bits(F.lit(1)), F.lit("01000110"), *[F.concat(ue_bits(c + i), ue_bits(k % 1000), F.lit("1")) for i in range(2)], F.lit("1011110111" "0110111000"))).otherwise("0")
     data = payload(aspect, "11", "1", "101", "0", "1", "000000010000001000000011", "0", timing, decoder, "0", F.when(k % 2 == 0, "1").otherwise(""), "0", "11", *[ue_bits(c % (3 + i)) for i in range(6)])
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", units.parsed(data, units.usability).alias("r"))
-    f = F.col("r.fields")
     names = {"aspect": "aspect", "sar_width": "sar_width", "sar_height": "sar_height", "format": "format", "matrix": "matrix", "units_in_tick": "tick", "time_scale": "scale", "nal_hrd.rate_less_1[1]": "rate1", "nal_hrd.size_less_1[0]": "size0", "nal_hrd.output_delay_bits_less_1": "output_bits", "low_delay": "low_delay", "buffered_frames": "buffered"}
-    return rows.select("o_orderkey", *[f[n].alias(a) for n, a in names.items()], F.size(f).alias("n_fields"), "r.err")
+    return table(spark, sf_dir, "orders").select("o_orderkey", units.fields_of(data, units.usability, names).alias("r")).select("o_orderkey", "r.*")
 
 
 def h264_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,11 +53,9 @@ def h264_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.substring(data, F.lit(1), F.when(part % 11 == 0, 1).otherwise(1 << 20))
     numbers = {"frame_num_bits": F.lit(4), "frames_only": F.lit(1), "order_bits": F.lit(6), "nal_ref": F.lit(1), "nal_type": F.when(of(2), 5).otherwise(1)}
     context = F.create_map(*[x for n, v in numbers.items() for x in (F.lit(n), v.cast("long"))])
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", units.parsed(data, units.slice_header, context).alias("r"))
-    f = F.col("r.fields")
-    good = lambda n, a: F.when(F.col("r.err").isNull(), f[n]).alias(a)
     names = {"first_mb": "first_mb", "slice_type": "slice_type", "frame_num": "frame_num", "idr_id": "idr_id", "order_lsb": "lsb", "refs0_less_1": "refs0", "modification_value0[0]": "modified", "difference[0]": "difference", "long_term": "long_term", "qp_delta": "qp", "qs_delta": "qs"}
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", *[good(n, a) for n, a in names.items()], "r.err")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", units.fields_of(data, units.slice_header, names, context).alias("r"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", *[F.when(F.col("r.err").isNull(), F.col(f"r.{a}")).alias(a) for a in names.values()], "r.err")
 
 
 def nal_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
