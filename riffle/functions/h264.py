@@ -104,6 +104,22 @@ def dispersed_groups(n_units: Column, width_mbs: Column, groups: Column) -> Colu
     return F.transform(F.sequence(F.lit(0), (n_units - 1).cast("int")), lambda i: ((i % width_mbs + F.floor(F.floor(i / width_mbs) * groups / 2)) % groups).cast("int"))
 
 
+def foreground_groups(n_units: Column, width_mbs: Column, top_left: Column, bottom_right: Column) -> Column:
+    """Map type 2: rectangles of map units between two corners, the ones of smaller number in front; what is left belongs to the last group."""
+
+    def group(unit: Column) -> Column:
+        x, y = unit % width_mbs, F.floor(unit / width_mbs)
+
+        def inside(g: Column) -> Column:
+            first, last = F.get(top_left, g), F.get(bottom_right, g)
+            return (x >= first % width_mbs) & (x <= last % width_mbs) & (y >= F.floor(first / width_mbs)) & (y <= F.floor(last / width_mbs))
+
+        at = F.transform(top_left, lambda _, g: F.when(inside(g), g))
+        return F.coalesce(F.array_min(at), F.size(top_left)).cast("int")
+
+    return F.transform(F.sequence(F.lit(0), (n_units - 1).cast("int")), group)
+
+
 def order_count_idr(kind: Column, lsb: Column, bottom_delta: Column) -> dict[str, Column]:
     """Picture order counts of an IDR picture: the reference can be nothing but zero."""
     return {"top": F.when(kind == 0, lsb).otherwise(0), "bottom": F.when(kind == 0, lsb + bottom_delta).otherwise(0)}
@@ -158,6 +174,42 @@ def macroblock_name(slice_type: Column, kind: Column) -> Column:
     return F.coalesce(own, F.when(i == 0, "I_NxN").when(i == 25, "I_PCM").when((i > 0) & (i < 25), whole))
 
 
+def prediction_mode(slice_type: Column, kind: Column, large_transform: Column, partition: Column | None = None) -> Column:
+    """``mode, err`` of the first partition of a macroblock; types without one mode, other partitions and unknown slices give an error."""
+    intra = F.when(kind == 0, F.when(large_transform, "Intra_8x8").otherwise("Intra_4x4")).when((kind > 0) & (kind < 25), "Intra_16x16")
+    one = F.when((kind >= 0) & ~kind.isin(3, 4), "Pred_L0")
+    two = F.when(kind.isin(1, 4, 5, 8, 9, 12, 13), "Pred_L0").when(kind.isin(2, 6, 7, 10, 11, 14, 15), "Pred_L1").when((kind == 3) | kind.between(16, 21), "BiPred").when(kind == 22, None).otherwise("Direct")
+    mode = F.when(slice_type == "I", intra).when(slice_type == "SI", F.when(kind == 0, "Intra_4x4")).when(slice_type.isin("P", "SP"), one).when(slice_type == "B", two)
+    other = F.lit(False) if partition is None else partition != 0
+    err = F.when(other, "not the first partition").when(~slice_type.isin("I", "SI", "P", "SP", "B"), "unknown slice type").when(mode.isNull(), "no mode for this type")
+    return F.struct(F.when(err.isNull(), mode).alias("mode"), err.alias("err"))
+
+
+def chroma_size(chroma_format: Column, separate_planes: Column) -> dict[str, Column]:
+    """Chroma samples of a macroblock: formats 1 to 3 are 4:2:0, 4:2:2 and 4:4:4."""
+    none = (chroma_format == 0) | separate_planes
+    return {"chroma_width": F.when(none, 0).when(chroma_format == 3, 16).otherwise(8), "chroma_height": F.when(none, 0).when(chroma_format == 1, 8).otherwise(16)}
+
+
+def layer_offset(reference: Column, size: Column) -> Column:
+    """Offset of a sample from the macroblock of a reference layer; ``reference`` counts sixteenths, ``size`` is the macroblock's."""
+    return F.shiftleft(F.shiftright((reference - 64).cast("long"), 8), 4) - F.shiftright(size.cast("long"), 1)
+
+
+def layer_place(at: Column, offset: Column, size: Column) -> Column:
+    """The place in that macroblock."""
+    return (at + offset) % size
+
+
+def layer_distance(place: Column, size: Column) -> Column:
+    """The distance to the nearer edge: negative in the upper half."""
+    return F.when(place >= F.floor(size / 2), place - size).otherwise(place + 1)
+
+
+def layer_neighbour(distance: Column, size: Column, sign: Column) -> Column:
+    return distance - (F.floor(size / 2) + 1) * sign
+
+
 def context_state(m: Column, n: Column, slice_qp: Column) -> Column:
     """The starting state of an arithmetic coding context, before it is split into index and most probable symbol."""
     return clip3(F.lit(1), F.lit(126), F.shiftright(m * clip3(F.lit(0), F.lit(51), slice_qp), 4) + n)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 KIND = "struct<fields:map<string,bigint>,err:string>"
 #: Leading zeros of a code at most: numbers of the syntax have 32 bits.
 MOST_ZEROS = 32
-ERRORS = (None, "ended early", "code too long")
+ERRORS = (None, "ended early", "code too long", "no such token", "invalid context number", "invalid state")
 Mask = np.ndarray
 Syntax = Callable[["Cursor"], None]
 
@@ -95,6 +95,32 @@ class Cursor:
         self.at[rows] += 2 * zeros + 1
         return self._keep(name, rows, np.where(value % 2 == 1, (value + 1) // 2, -(value // 2)) if with_sign else value)
 
+    def zeros(self, where: Mask) -> np.ndarray:
+        """The number of zeros before a one, which is read too."""
+        rows = np.flatnonzero(where & (self.fault == 0))
+        left = self.size[rows] - self.at[rows]
+        ahead = np.minimum(MOST_ZEROS + 1, left)
+        zeros = ahead - np.frexp(self._peek(rows, self.at[rows], ahead).astype(float))[1]
+        fault = np.where(zeros < ahead, 0, np.where(ahead > MOST_ZEROS, 2, 1))
+        self.fault[rows] = fault
+        rows, zeros = rows[fault == 0], zeros[fault == 0]
+        self.at[rows] += zeros + 1
+        return self._keep("", rows, zeros)
+
+    def lookup(self, tables: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What ``tables[kind]`` has for the next 16 bits: the length of a code, which is read, and numbers."""
+        rows = np.flatnonzero(self.fault == 0)
+        left = self.size[rows] - self.at[rows]
+        word = self._peek(rows, self.at[rows], 16)
+        word = word >> np.maximum(16 - left, 0) << np.maximum(16 - left, 0)  # what is behind the end counts as zeros
+        found = tables[kind[rows], word]
+        length = found[:, 0]
+        fault = np.where((length > left) | ((length == 0) & (left < 16)), 1, np.where(length == 0, ERRORS.index("no such token"), 0))
+        self.fault[rows] = fault
+        rows, found = rows[fault == 0], found[fault == 0]
+        self.at[rows] += found[:, 0]
+        return tuple(self._keep("", rows, found[:, i]) for i in range(1, found.shape[1]))
+
     def se(self, name: str, where: Mask) -> np.ndarray:
         return self.ue(name, where, True)
 

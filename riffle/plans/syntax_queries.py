@@ -33,9 +33,11 @@ def sps_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def slice_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, n = F.col("p_size") % 7 + 2, F.col("p_size") % 5 + 20
     runs = F.array((F.col("p_partkey") % 3 + 1).cast("long"), (F.col("p_size") % 4 + 1).cast("long"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", w.alias("w"), n.alias("n"), runs.alias("runs"))
+    first = F.array(F.col("p_partkey") % 9, F.col("p_size") % 6)  # two rectangles that may overlap
+    last = F.array(F.col("p_partkey") % 9 + w + 1, F.col("p_size") % 6 + 2 * w + 1)
+    rows = table(spark, sf_dir, "part").select("p_partkey", w.alias("w"), n.alias("n"), runs.alias("runs"), first.alias("first"), last.alias("last"))
     text = lambda a: F.array_join(F.transform(a, lambda v: v.cast("string")), "")
-    return rows.select("p_partkey", text(h.interleaved_groups(F.col("n"), F.col("runs"))).alias("interleaved"), text(h.dispersed_groups(F.col("n"), F.col("w"), F.lit(3))).alias("dispersed"))
+    return rows.select("p_partkey", text(h.interleaved_groups(F.col("n"), F.col("runs"))).alias("interleaved"), text(h.dispersed_groups(F.col("n"), F.col("w"), F.lit(3))).alias("dispersed"), text(h.foreground_groups(F.col("n"), F.col("w"), F.col("first"), F.col("last"))).alias("foreground"))
 
 
 def order_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,8 +99,10 @@ n AS (SELECT l_orderkey, CAST(sum({_BITS.format(v='l_partkey')} + {_BITS.format(
 SELECT l_orderkey, n_bits, 2 * i AS pos, l_partkey AS v FROM r JOIN n USING (l_orderkey) UNION ALL SELECT l_orderkey, n_bits, 2 * i + 1, s FROM r JOIN n USING (l_orderkey)""",
     "sps_parse": """SELECT p_partkey, 66 AS profile, 30 AS level, p_partkey % 32 AS sps_id, p_partkey % 2 * 2 AS order_count_type, 1::BIGINT AS ref_frames, p_size + 2 AS width_mbs, p_size + 1 AS height_units, p_size % 2 = 0 AS frame_mbs_only,
 (p_size + 2) * 16 AS width, (p_size + 1) * CASE WHEN p_size % 2 = 0 THEN 1 ELSE 2 END * 16 AS height, (p_size + 2) * (p_size + 1) * CASE WHEN p_size % 2 = 0 THEN 1 ELSE 2 END AS n_mbs FROM part""",
-    "slice_groups": """WITH r AS (SELECT p_partkey, p_size % 7 + 2 AS w, p_size % 5 + 20 AS n, p_partkey % 3 + 1 AS a, p_size % 4 + 1 AS b FROM part)
-SELECT p_partkey, array_to_string(list_transform(range(0, n), lambda i: CASE WHEN i % (a + b) < a THEN 0 ELSE 1 END), '') AS interleaved, array_to_string(list_transform(range(0, n), lambda i: (i % w + ((i // w) * 3) // 2) % 3), '') AS dispersed FROM r""",
+    "slice_groups": """WITH r AS (SELECT p_partkey, p_size % 7 + 2 AS w, p_size % 5 + 20 AS n, p_partkey % 3 + 1 AS a, p_size % 4 + 1 AS b, p_partkey % 9 AS f0, p_size % 6 AS f1 FROM part),
+c AS (SELECT *, f0 + w + 1 AS l0, f1 + 2 * w + 1 AS l1 FROM r)
+SELECT p_partkey, array_to_string(list_transform(range(0, n), lambda i: CASE WHEN i % (a + b) < a THEN 0 ELSE 1 END), '') AS interleaved, array_to_string(list_transform(range(0, n), lambda i: (i % w + ((i // w) * 3) // 2) % 3), '') AS dispersed,
+array_to_string(list_transform(range(0, n), lambda i: CASE WHEN i % w BETWEEN f0 % w AND l0 % w AND i // w BETWEEN f0 // w AND l0 // w THEN 0 WHEN i % w BETWEEN f1 % w AND l1 % w AND i // w BETWEEN f1 // w AND l1 // w THEN 1 ELSE 2 END), '') AS foreground FROM c""",
     "order_counts": """SELECT p_partkey, CAST(CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE 0 END AS BIGINT) AS top, CAST(CASE WHEN p_partkey % 3 = 0 THEN p_size - 1 ELSE 0 END AS BIGINT) AS bottom,
 CAST((p_size % 48) % 16 AS BIGINT) AS luma, CAST((p_size % 48) // 16 AS BIGINT) AS chroma, CAST(greatest(5, least(40, p_size)) AS BIGINT) AS clipped FROM part""",
     "binarisations": f"""WITH r AS (SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS BIGINT) AS v, CAST(l_partkey % 61 - 30 AS BIGINT) AS s FROM lineitem),
