@@ -118,7 +118,7 @@ class JpegImages(JpegScans):
 
     def __init__(self, held: bytes = b"", fragment: bool = False, tables: dict[int, bytes] | None = None):
         super().__init__(held, fragment)
-        self.tables = tables or {}
+        self.head, self.tables = b"", tables or {}
 
     def take(self, payload: bytes, marker: bool = False) -> list[bytes]:
         done = super().take(payload, marker)
