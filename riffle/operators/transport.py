@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -211,18 +211,48 @@ def flv_header(video: bool = True, audio: bool = True) -> Column:
     return F.unhex(F.lit(f"464C5601{4 * audio + video:02X}0000000900000000"))
 
 
-def rtmp_chunks(kind: Column, stream_id: Column, channel: int, timestamp: Column, delta: Column, size: Column, packet_type: Column, body: Column, chunk: int = 128) -> Column:
-    """The bytes of a message: a header of 12, 8, 4 or 1 bytes (``kind``), and the body in chunks with one byte between them.
+def rtmp_channel(kind: Column, channel: Column) -> Column:
+    """The first one to three bytes of a header in hex: header kind and channel, which takes one more byte from 64 and two from 320 on."""
+    top = F.when(kind == 12, 0).when(kind == 8, 0x40).when(kind == 4, 0x80).otherwise(0xC0)
+    far = channel - 64
+    wide = F.concat(put_be(top + 1, 1), put_be(far % 256, 1), put_be(F.floor(far / 256), 1))
+    return F.when(channel > 319, wide).when(channel > 63, F.concat(put_be(top, 1), put_be(far, 1))).otherwise(put_be(top + channel, 1))
 
-    ``timestamp`` is written in full headers and ``delta`` in the others; 24 bits are all ones where four more bytes follow.
+
+def rtmp_chunks(kind: Column, stream_id: Column, channel: int | Column, timestamp: Column, delta: Column, size: Column, packet_type: Column, body: Column, chunk: int = 128) -> Column:
+    """The bytes of a message: a header of 12, 8, 4 or 1 bytes (``kind``), and the body in chunks with the channel between them.
+
+    ``timestamp`` is written in full headers and ``delta`` in the others; 24 bits are all ones where four more bytes follow. Channels go from 2 to 65,599.
     """
-    if not 2 <= channel <= 63:
-        raise ValueError("channel must be from 2 to 63")
+    if isinstance(channel, int) and not 2 <= channel <= 65_599:
+        raise ValueError("channel must be from 2 to 65599")
+    channel = F.lit(channel) if isinstance(channel, int) else channel
     number = F.when(kind == 12, timestamp).otherwise(delta)
-    first = F.when(kind == 12, 0).when(kind == 8, 0x40).when(kind == 4, 0x80).otherwise(0xC0) + channel
     head = F.concat(
-        put_be(first, 1), F.when(kind > 1, put_be(F.least(number, F.lit(0xFFFFFF)), 3)).otherwise(""), F.when(kind > 4, F.concat(put_be(size, 3), put_be(packet_type, 1))).otherwise(""),
+        rtmp_channel(kind, channel), F.when(kind > 1, put_be(F.least(number, F.lit(0xFFFFFF)), 3)).otherwise(""), F.when(kind > 4, F.concat(put_be(size, 3), put_be(packet_type, 1))).otherwise(""),
         F.when(kind > 8, F.concat(*[F.substring(put_be(stream_id, 4), 7 - 2 * i, 2) for i in range(4)])).otherwise(""), F.when((kind > 1) & (number >= 0xFFFFFF), put_be(number, 4)).otherwise(""),
     )
-    between = F.unhex(F.lit(f"{0xC0 + channel:02X}"))
+    between = F.unhex(rtmp_channel(F.lit(1), channel))
     return F.concat(F.unhex(head), one_after_another(F.transform(chunks(body, chunk), lambda c, i: F.when(i == 0, c).otherwise(F.concat(between, c)))))
+
+
+def rtmp_sends(messages: DataFrame, stream: str, order: str, chunk: int = 128) -> DataFrame:
+    """``messages`` (packet_type, size, head: the bytes of its header) with ``deferred``, ``joined`` and ``sends``: how messages go out.
+
+    A small audio message (type 8, less than a chunk) waits for the next one, unless one waits already. The next one takes it along in its first send
+    if both fit into a chunk; else it goes alone before. Each chunk is a send. A message that waits has no sends of its own, and at the end of a stream it stays.
+    """
+    w = window(stream, order)
+    small = (F.col("packet_type") == 8) & (F.col("size") < chunk)
+    rows = messages.withColumn("__small", small)
+    # of small ones in a row every second waits
+    start = F.when(~F.coalesce(F.col("__small"), F.lit(False)) | ~F.coalesce(F.lag("__small").over(w), F.lit(False)), F.row_number().over(w))
+    rows = rows.withColumn("__at", F.row_number().over(w)).withColumn("__from", start)
+    rows = rows.withColumn("__from", F.last("__from", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("deferred", F.col("__small") & ((F.col("__at") - F.col("__from")) % 2 == 0))
+    waits = F.coalesce(F.lag("deferred").over(w), F.lit(False))
+    held = F.lag(F.col("size") + F.col("head")).over(w)
+    rows = rows.withColumn("__waits", waits).withColumn("joined", waits & (held + F.col("size") + F.col("head") <= chunk))
+    own = F.greatest(F.ceil(F.col("size") / chunk), F.lit(1))
+    sends = F.when(F.col("deferred"), 0).otherwise(own + (F.col("__waits") & ~F.col("joined")).cast("int"))
+    return rows.withColumn("sends", sends.cast("int")).drop("__small", "__at", "__from", "__waits")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from riffle.plans import continuity_queries, long_queries, meta_queries, ordered_queries, packet_queries, reassembly_queries, residual_queries, signal_queries, sound_queries, syntax_queries, transport_queries, unit_queries
+from riffle.plans import continuity_queries, link_queries, long_queries, meta_queries, ordered_queries, packet_queries, reassembly_queries, residual_queries, signal_queries, sound_queries, syntax_queries, transport_queries, unit_queries
 
-MODULES = [continuity_queries, ordered_queries, signal_queries, sound_queries, packet_queries, meta_queries, reassembly_queries, syntax_queries, transport_queries, unit_queries, residual_queries, long_queries]
+MODULES = [continuity_queries, ordered_queries, signal_queries, sound_queries, packet_queries, meta_queries, reassembly_queries, syntax_queries, transport_queries, unit_queries, residual_queries, long_queries, link_queries]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 #: Columns whose SQL type would differ from Spark's: the types that Spark gives.
 TYPES = {
