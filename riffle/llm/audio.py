@@ -16,6 +16,7 @@ result. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import struct
 import zlib
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 from riffle.session import table
 
 ALIGN = 64
-RATE, UP, DOWN = 16_000, 1, 2
+RATE, UP, DOWN = 16_000, 3, 4
 #: Of the resampled sound: samples in a frame and between frames, bands, frames in a window, length of the FFT.
-FRAME, HOP, MELS, WINDOW, FFT = 200, 80, 20, 32, 256
+FRAME, HOP, MELS, WINDOW, FFT = 300, 120, 20, 32, 512
 #: Filter taps on either side for each phase; energies in dB where a span opens and closes.
 TAPS, OPEN_DB, CLOSE_DB = 8, -9.0, -12.0
 HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
@@ -68,7 +69,7 @@ def polyphase() -> np.ndarray:
     m = max(UP, DOWN)
     t = np.arange(-TAPS * m, TAPS * m + UP)
     h = np.sinc(t / m) / m * np.kaiser(len(t), 8.0) * UP
-    return np.stack([h[p :: UP][: -(-len(h) // UP)] for p in range(UP)])
+    return np.pad(h, (0, -len(h) % UP)).reshape(-1, UP).T.copy()
 
 
 @lru_cache(1)
@@ -96,9 +97,10 @@ def resample(sound: np.ndarray, first: int, n: int) -> np.ndarray:
     if b > a:
         part[a - low : b - low] = (sound[a:b].astype(np.float32) - 128) / 128
     near = np.lib.stride_tricks.sliding_window_view(part, width)
-    if UP == 1:
-        return near[::DOWN][:n] @ np.ascontiguousarray(taps[0, ::-1], np.float32)
-    return (near[base - int(base[0])] * taps[phase, ::-1].astype(np.float32)).sum(axis=1)
+    out = np.empty(n, np.float32)
+    for i in range(min(UP, n)):  # every UP-th sample has the same phase, DOWN samples of the input further on
+        out[i::UP] = near[base[i] - base[0] :: DOWN][: len(out[i::UP])] @ np.ascontiguousarray(taps[phase[i], ::-1], np.float32)
+    return out
 
 
 def active_spans(energy: np.ndarray, open_: bool) -> tuple[list[tuple[int, int]], bool]:
@@ -112,8 +114,12 @@ def active_spans(energy: np.ndarray, open_: bool) -> tuple[list[tuple[int, int]]
     return list(zip(np.flatnonzero(step > 0).tolist(), np.flatnonzero(step < 0).tolist(), strict=True)), bool(on[-1])
 
 
-def features(payload: bytes) -> tuple[bytes, int, int]:
-    """The Arrow stream of one sound, its windows, and its active frames."""
+def features(payload: bytes) -> tuple[bytes, int, int, str]:
+    """The Arrow stream of one sound, its windows, its active frames, and a digest.
+
+    The digest is over the spans, in frames, and the level of each band over the whole sound, in tenths. Tensors are no part of
+    it, as their last digits depend on how a processor adds up.
+    """
     sound = np.frombuffer(payload, np.uint8)
     rate = RATE * UP / DOWN
     total = -(-len(sound) * UP // DOWN)
@@ -121,16 +127,20 @@ def features(payload: bytes) -> tuple[bytes, int, int]:
     windows = -(-frames // WINDOW)
     hann = np.hanning(FRAME).astype(np.float32)
     bank = mel_bank().astype(np.float32)
-    mel, spans, open_, active = [], [], False, 0
+    mel, spans, open_, active, levels = [], [], False, 0, np.zeros(MELS)
+    digest = hashlib.sha256()
     for w in range(windows):
         part = resample(sound, w * WINDOW * HOP, (WINDOW - 1) * HOP + FRAME)
         cut = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
         power = np.abs(np.fft.rfft(cut * hann, FFT)) ** 2
-        mel.append(np.log10(power.astype(np.float32) @ bank + 1e-6).astype(np.float16).ravel())
+        bands = np.log10(power.astype(np.float32) @ bank + 1e-6)
+        mel.append(bands.astype(np.float16).ravel())
         here = min(WINDOW, frames - w * WINDOW)
+        levels += bands[:here].sum(axis=0, dtype=float)
         energy = 10 * np.log10((cut[:here] ** 2).mean(axis=1) + 1e-9)
         runs, open_ = active_spans(energy, open_)
         active += sum(b - a for a, b in runs)
+        digest.update(repr((w, runs)).encode())
         spans.append([[(w * WINDOW + a) * HOP / rate, (w * WINDOW + b) * HOP / rate] for a, b in runs])
     start = np.arange(windows) * WINDOW * HOP / rate
     end = np.minimum(start + ((WINDOW - 1) * HOP + FRAME) / rate, total / rate)
@@ -139,7 +149,8 @@ def features(payload: bytes) -> tuple[bytes, int, int]:
     sink = io.BytesIO()
     with pa.ipc.new_stream(sink, SCHEMA) as out:
         out.write_batch(pa.RecordBatch.from_arrays(columns, schema=SCHEMA))
-    return sink.getvalue(), windows, active
+    digest.update(repr(np.rint(10 * levels / frames).astype(int).tolist()).encode())
+    return sink.getvalue(), windows, active, digest.hexdigest()
 
 
 def read_tensors(stream: bytes) -> pa.Table:
@@ -147,7 +158,7 @@ def read_tensors(stream: bytes) -> pa.Table:
     return pa.ipc.open_stream(stream).read_all()
 
 
-MEDIA = "doc_id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, tensors binary, n_windows int, active_frames int"
+MEDIA = "doc_id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, tensors binary, n_windows int, active_frames int, digest string"
 #: Bytes of stored sound that a task gives on at a time.
 OUT = 8 << 20
 
@@ -156,23 +167,21 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """One row for each document: the stored sound, what was read back from it, and its tensors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch in batches:
             rows, held = [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 payload, n = payload_of(text.as_py())
                 media = wave_of(payload)
                 back = samples_of(media)
-                tensors, windows, active = features(back)
-                rows.append((doc, n, media, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ALIGN:]), tensors, windows, active))
+                tensors, windows, active, digest = features(back)
+                rows.append((doc, n, media, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ALIGN:]), tensors, windows, active, digest))
                 held += len(media)
                 if held > OUT:
                     yield out(rows)
                     rows, held = [], 0
             yield out(rows)
 
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int32()]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.string()]
     names = [c.split()[0] for c in MEDIA.split(", ")]
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -185,7 +194,7 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media_columns(table(spark, sf_dir, "documents"))
     return out.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws(":", F.col("n_windows").cast("string"), F.col("active_frames").cast("string"), F.sha2("tensors", 256)).alias("feature"), "n_windows", "active_frames",
+        F.concat_ws(":", F.col("n_windows").cast("string"), F.col("active_frames").cast("string"), "digest").alias("feature"), "n_windows", "active_frames",
     )
 
 
