@@ -106,9 +106,14 @@ def demuxed(packets: DataFrame, stream: str, *order: str, packet: str = "packet"
     f = ps.ts_fields(F.col(packet))
     rows = packets.select(F.col(stream).alias("stream"), F.struct(*order).alias("at"), f["pid"].alias("pid"), f["pusi"].alias("pusi"), f["payload"].alias("payload"), f["err"].alias("err"))
     rows = rows.where(F.col("err").isNotNull() | (F.col("pid") != PAT_PID))
-    section = F.substring("payload", (u8(F.col("payload"), 0) + 2).cast("int"), F.lit(184))
-    held, problem = m.decoded(ps.has_descriptor(section, META_TAG))
-    text = F.when(F.col("pid") == pmt_pid, F.coalesce(F.when(problem.isNull(), m.encoded_text(held)), F.lit("")))
+
+    def text_of(descriptor: Column) -> Column:
+        held, problem = m.decoded(descriptor)
+        return F.coalesce(F.when(problem.isNull(), m.encoded_text(held)), F.lit(""))
+
+    # each step is computed once, and only for tables
+    section = lambda p: F.substring(p, (u8(p, 0) + 2).cast("int"), F.lit(184))
+    text = F.when(F.col("pid") == pmt_pid, let(F.col("payload"), lambda p: let(section(p), lambda t: let(ps.has_descriptor(t, META_TAG), text_of))))
     w = window("stream", "at")
     media = F.coalesce(F.col("pid") != pmt_pid, F.lit(True))
     rows = rows.withColumn("meta", F.last(text, ignorenulls=True).over(w)).where(media)
