@@ -34,13 +34,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, written: list[str] | None = None) -> DataFrame:
     """Like ``cut``, but as a Parquet table in the shared folder, whose true size the planner knows.
 
     A checkpoint keeps the size that was estimated for it. Joins multiply estimates, so in a loop they grow to numbers
-    that take the planner minutes; loops store what they hand on to the next round.
+    that take the planner minutes; loops store what they hand on to the next round. The path is added to ``written``, so that
+    a loop can ``discard`` what it needs no longer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if written is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of the shared folder, and empties the list."""
+    for path in paths:
+        of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        of.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(of, True)
+    paths.clear()
