@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from riffle.session import cut, stored, table
+from riffle.session import cut, discard, stored, table
 
 LOWER = bytes(range(256)).replace(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Shingles hashed at a time: the memory that a very long text takes.
@@ -47,8 +47,8 @@ MAX_BUCKET = 20_000
 SMALL = 48
 #: Shingles and texts that are compared as sets in one block; two blocks meet in a task.
 SET_GRAMS, SET_TEXTS = 1 << 18, 1_024
-#: A group is compared whole if so many times the pairs that meet are its texts squared.
-DENSE = 16
+#: A group is compared whole if so many times the pairs that meet under the masks of the first word are its texts squared.
+DENSE = 32
 
 
 @dataclass(frozen=True)
@@ -76,9 +76,10 @@ class Shape:
         """Word and mask of each table."""
         return [(w, m) for w in range(self.words) for m in covering_masks(self.each, range(self.width))]
 
-    def tables(self) -> Column:
-        """An array of ``t, k``: the bucket of a fingerprint in each table."""
-        return F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"f{w}").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, (w, m) in enumerate(self.masks)])
+    def tables(self, words: int | None = None) -> Column:
+        """An array of ``t, k``: the bucket of a fingerprint in each table, or in those of the first ``words`` words."""
+        some = [(t, w, m) for t, (w, m) in enumerate(self.masks) if words is None or w < words]
+        return F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"f{w}").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, w, m in some])
 
     def first_table(self, differ: list[np.ndarray]) -> np.ndarray:
         """The first table in which pairs meet that differ in these bits; a pair may meet in several, and counts in one."""
@@ -327,21 +328,24 @@ def components(links: DataFrame) -> DataFrame:
     The smallest neighbours are kept as a table, so that the join with them stands alone and a hub's part of it can be split.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    seen = None
+    seen, before = None, []
     while True:
+        written: list[str] = []
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), written)
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         state = Observation()
         edges = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = stored(edges.observe(state, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash")))
+        edges = stored(edges.observe(state, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash")), written)
         now = state.get
+        discard(edges.sparkSession, before)  # the round before is needed no longer
         if now == seen:
+            discard(edges.sparkSession, written[:1])
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
+        seen, before = now, written
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, shape: Shape = PLAIN, similarity: float | None = None, max_bucket: int = MAX_BUCKET) -> DataFrame:
@@ -453,20 +457,22 @@ def alike(pairs: DataFrame, texts: DataFrame, parts: DataFrame, similarity: floa
     return dealt.groupBy(*unit).cogroup(wanted.groupBy(*[f"of_{c}" for c in unit])).applyInArrow(compare, "a long, b long")
 
 
-def meetings(members: DataFrame, parts: DataFrame, shape: Shape, max_bucket: int) -> DataFrame:
-    """Members (group, node, n, fingerprints) of groups that fall into several ``parts``, in every bucket where parts meet.
+def meetings(members: DataFrame, parts: DataFrame, shape: Shape, max_bucket: int, words: int | None = None) -> DataFrame:
+    """Members (group, node, n, fingerprints) of groups that fall into several ``parts``, in every bucket (of the first ``words`` words) where parts meet.
 
     They are dealt to units ``t, k, i, j`` (``i < j``: two blocks of a bucket that is too large for one task) and sorted by unit.
     """
     rows = members.select("group", "node", "n", *shape.columns).join(parts.select("node", "root"), "node")
     split = rows.groupBy("group").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("group")
     rows = cut(rows.join(cut(split), "group"))
-    each = rows.select("group", "node", "n", "root", *shape.columns, F.inline(shape.tables()))
+    each = rows.select("group", "node", "n", "root", *shape.columns, F.inline(shape.tables(words)))
     sizes = each.groupBy("t", "k").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
     sizes = cut(sizes.select("t", "k", F.when(F.col("size") > max_bucket, F.ceil(2 * F.col("size") / max_bucket)).otherwise(1).cast("int").alias("blocks")))
-    each = each.join(sizes, ["t", "k"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    each = each.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.select("t", "k", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "block", "group", "node", "n", "root", *shape.columns)
+    rest = ["group", "node", "n", "root", *shape.columns]
+    whole = each.join(sizes.where("blocks = 1"), ["t", "k"]).select("t", "k", *[F.lit(0).alias(c) for c in ("i", "j", "block")], *rest)
+    cut_up = each.join(sizes.where("blocks > 1"), ["t", "k"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cut_up = cut_up.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = whole.unionByName(cut_up.select("t", "k", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "block", *rest))
     return each.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", "node")
 
 
@@ -607,11 +613,11 @@ def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, shape: Shape,
 
     found = cut(alike(proposed, texts, members.withColumn("root", F.col("node")), similarity))
     parts = cut(members.select("node").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    met = meetings(members, parts, shape, max_bucket).mapInArrow(meeting_pairs(shape, similarity, False), "group long, m long")
+    met = meetings(members, parts, shape, max_bucket, 1).mapInArrow(meeting_pairs(shape, similarity, False), "group long, m long")
     met = met.groupBy("group").agg(F.sum("m").alias("m")).join(sizes.select("group", "texts"), "group")
-    met = cut(met.select("group", (DENSE * F.col("m") >= F.col("texts") * F.col("texts")).alias("dense")))
-    dense = links_between_parts(members.join(met.where("dense").select("group"), "group"), texts, parts, shape, similarity)
-    named = meetings(members.join(met.where("NOT dense").select("group"), "group"), parts, shape, max_bucket).mapInArrow(meeting_pairs(shape, similarity, True), "a long, b long, d int")
+    whole = cut(met.where(DENSE * F.col("m") >= F.col("texts") * F.col("texts")).select("group"))
+    dense = links_between_parts(members.join(whole, "group"), texts, parts, shape, similarity)
+    named = meetings(members.join(whole, "group", "left_anti"), parts, shape, max_bucket).mapInArrow(meeting_pairs(shape, similarity, True), "a long, b long, d int")
     return cut(found.unionByName(dense).unionByName(alike(named, texts, parts, similarity)))
 
 
