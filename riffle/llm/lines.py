@@ -66,7 +66,7 @@ def drop_positions(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
     often = lines.groupBy("h1", "h2").agg(F.countDistinct("id").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
     often = cut(often.select("h1", "h2", "keeper"))  # so that the join below stands alone and a common line's part of it can be split
     gone = lines.join(often, ["h1", "h2"]).where("id != keeper")
-    return gone.groupBy("id", "tag").agg(F.collect_set("pos").alias("drop"))
+    return cut(gone.groupBy("id", "tag").agg(F.collect_set("pos").alias("drop")))  # so that a repeated row's part of the join with texts can be split
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
