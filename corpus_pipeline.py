@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riffle.llm import bpe, lines, mixing, quality, simhash
-from riffle.session import shared_dir, table
+from riffle.session import discard, shared_dir, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +46,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written as Parquet in the shared folder and read again."""
+    """All stages over ``documents``; what a stage returns is written as Parquet in the shared folder and read again.
+
+    Only what the last stage wrote stays there.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", []
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        discard(spark, before)
+        before = [f"{folder}/{name}"]
     return docs
