@@ -75,7 +75,11 @@ def test_messages_with_long_times(spark):
     assert out(12, 0x1000000) == bytes.fromhex("04FFFFFF0000C80801000000") + bytes.fromhex("01000000") + tail
     assert out(4, 40) == bytes.fromhex("84000028") + tail and out(1, 40) == b"\xc4" + tail
     with pytest.raises(ValueError):
-        transport.rtmp_chunks(F.lit(12), F.lit(1), 64, F.lit(0), F.lit(0), F.lit(0), F.lit(8), F.lit(b""))
+        transport.rtmp_chunks(F.lit(12), F.lit(1), 65_600, F.lit(0), F.lit(0), F.lit(0), F.lit(8), F.lit(b""))
+    wide = lambda channel: bytes(spark.range(1).select(transport.rtmp_chunks(F.lit(1), F.lit(1), channel, F.lit(0), F.lit(0), F.lit(200), F.lit(8), F.lit(body)).alias("x")).first().x)
+    for channel, head in ((64, "C000"), (319, "C0FF"), (320, "C10001"), (65_599, "C1FFFF")):
+        head = bytes.fromhex(head)
+        assert wide(channel) == head + body[:128] + head + body[128:]
 
 
 def test_images_with_tables_of_their_own(spark):
