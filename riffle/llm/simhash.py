@@ -12,9 +12,10 @@ several words has masks over each word, and one word of a pair within the radius
 With ``similarity``, fingerprints only propose pairs, and a link is a pair whose shingle sets have that Jaccard
 similarity. Texts are then compared in two rounds: pairs that span each group of proposed pairs, and, in groups that
 fall apart, all other pairs of different parts that meet in a bucket, the nearer ones first. A pair is left uncompared only
-where links that were found join its two texts already, so no link is lost. Groups that unrelated texts chain together by chance
-have few such pairs for their size; these are named one by one. Where a share of all pairs of a group meets (``DENSE``), the
-group is compared in pairs of blocks, and no pair leaves its task.
+where links that were found join its two texts already, so no link is lost. In groups of up to ``FEW_TEXTS`` these pairs are found
+by comparing all fingerprints, a block with a block; members of larger groups are dealt to their buckets. Groups that unrelated
+texts chain together by chance have few such pairs for their size; these are named one by one. Where a share of all pairs of a
+group meets (``DENSE``), the group is compared in pairs of blocks, and no pair leaves its task.
 
 Defined results: a null text is an empty text and has fingerprint 0, linked like any other; a null ``doc_id`` is an id
 like any other, but the last one, so a group has component_id null only if none of its rows has an id; repeated rows
@@ -47,6 +48,9 @@ MAX_BUCKET = 20_000
 SMALL = 48
 #: Shingles and texts that are compared as sets in one block; two blocks meet in a task.
 SET_GRAMS, SET_TEXTS = 1 << 18, 1_024
+#: The fingerprints of a group of up to so many texts are compared in pairs of blocks of about so many: a text goes to 8 units at
+#: most. In larger groups it goes to its buckets, 93 of them in ``WIDE``.
+FEW_TEXTS, FEW_BLOCK = 8_192, 1_024
 #: A group is compared whole if so many times the pairs that meet under the masks of the first word are its texts squared.
 DENSE = 32
 
@@ -458,26 +462,31 @@ def alike(pairs: DataFrame, texts: DataFrame, parts: DataFrame, similarity: floa
 
 
 def meetings(members: DataFrame, parts: DataFrame, shape: Shape, max_bucket: int, words: int | None = None) -> DataFrame:
-    """Members (group, node, n, fingerprints) of groups that fall into several ``parts``, in every bucket (of the first ``words`` words) where parts meet.
+    """Members (group, node, n, fingerprints) of groups that fall into several ``parts``, in units that hold every pair of parts that meets in a bucket (of the first ``words`` words).
 
-    They are dealt to units ``t, k, i, j`` (``i < j``: two blocks of a bucket that is too large for one task) and sorted by unit.
+    A unit ``t, k, i, j`` is a bucket ``t, k``, or a group ``k`` of few texts, where t is -1; ``i < j`` are two blocks of what is too large for one task.
+    Rows are sorted by unit.
     """
     rows = members.select("group", "node", "n", *shape.columns).join(parts.select("node", "root"), "node")
-    split = rows.groupBy("group").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("group")
-    rows = cut(rows.join(cut(split), "group"))
-    each = rows.select("group", "node", "n", "root", *shape.columns, F.inline(shape.tables(words)))
+    split = rows.groupBy("group").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("texts")).where("least != most")
+    few = F.when(F.col("texts") <= FEW_TEXTS, F.ceil(F.col("texts") / min(FEW_BLOCK, max_bucket))).otherwise(0).cast("int")
+    rows = cut(rows.join(cut(split.select("group", few.alias("few"))), "group"))
+    rest = ["group", "node", "n", "root", *shape.columns]
+    together = rows.where("few > 0").select(F.lit(-1).alias("t"), F.col("group").alias("k"), F.col("few").alias("blocks"), *rest)
+    each = rows.where("few = 0").select(*rest, F.inline(shape.tables(words)))
     sizes = each.groupBy("t", "k").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
     sizes = cut(sizes.select("t", "k", F.when(F.col("size") > max_bucket, F.ceil(2 * F.col("size") / max_bucket)).otherwise(1).cast("int").alias("blocks")))
-    rest = ["group", "node", "n", "root", *shape.columns]
-    whole = each.join(sizes.where("blocks = 1"), ["t", "k"]).select("t", "k", *[F.lit(0).alias(c) for c in ("i", "j", "block")], *rest)
-    cut_up = each.join(sizes.where("blocks > 1"), ["t", "k"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cut_up = cut_up.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    whole = each.join(sizes.where("blocks = 1"), ["t", "k"]).select("t", "k", "blocks", *rest).unionByName(together.where("blocks = 1"))
+    whole = whole.select("t", "k", *[F.lit(0).alias(c) for c in ("i", "j", "block")], *rest)
+    cut_up = each.join(sizes.where("blocks > 1"), ["t", "k"]).select("t", "k", "blocks", *rest).unionByName(together.where("blocks > 1"))
+    cut_up = cut_up.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     each = whole.unionByName(cut_up.select("t", "k", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "block", *rest))
     return each.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", "node")
 
 
-def meeting_pairs(shape: Shape, similarity: float, named: bool):
-    """Reads rows of ``meetings``. Gives the pairs of different parts that the masks propose, each in the first table in which it meets: ``a, b, d`` if ``named``, else their number ``group, m``."""
+def meeting_pairs(shape: Shape, similarity: float, named: bool, words: int | None = None):
+    """Reads rows of ``meetings``. Gives the pairs of different parts that the masks (of the first ``words`` words) propose, each once: ``a, b, d`` if ``named``, else their number ``group, m``."""
+    tables = sum(words is None or w < words for w, _ in shape.masks)
 
     def pairs(unit: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         t, k, i, j, block, _, _, n, root = unit[:9]
@@ -489,7 +498,8 @@ def meeting_pairs(shape: Shape, similarity: float, named: bool):
             d = apart(fp, a, b)
             ok = d <= shape.reach
             a, b, d = a[ok], b[ok], d[ok]
-            ok = shape.first_table([f[a] ^ f[b] for f in fp]) == t[a]
+            met = shape.first_table([f[a] ^ f[b] for f in fp])
+            ok = np.where(t[a] < 0, (met >= 0) & (met < tables), met == t[a])
             return a[ok], b[ok], d[ok]
 
         first = _starts(t, k, i, j)
@@ -501,9 +511,10 @@ def meeting_pairs(shape: Shape, similarity: float, named: bool):
             if len(a):
                 yield proposed(a, a + step)
         for at, m in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-            for a in range(at, at + m - 1):
-                b = np.arange(a + 1, at + m)
-                yield proposed(np.full(len(b), a), b)
+            strip = max(1, BLOCK // m)
+            for x in range(at, at + m - 1, strip):
+                a, b = (y.ravel() for y in np.mgrid[x : min(x + strip, at + m), x + 1 : at + m])
+                yield proposed(a[a < b], b[a < b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in whole_units(batches, 4):
@@ -613,7 +624,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, shape: Shape,
 
     found = cut(alike(proposed, texts, members.withColumn("root", F.col("node")), similarity))
     parts = cut(members.select("node").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    met = meetings(members, parts, shape, max_bucket, 1).mapInArrow(meeting_pairs(shape, similarity, False), "group long, m long")
+    met = meetings(members, parts, shape, max_bucket, 1).mapInArrow(meeting_pairs(shape, similarity, False, 1), "group long, m long")
     met = met.groupBy("group").agg(F.sum("m").alias("m")).join(sizes.select("group", "texts"), "group")
     whole = cut(met.where(DENSE * F.col("m") >= F.col("texts") * F.col("texts")).select("group"))
     dense = links_between_parts(members.join(whole, "group"), texts, parts, shape, similarity)

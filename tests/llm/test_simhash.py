@@ -246,3 +246,39 @@ def test_chance_links_do_not_make_all_pairs_of_a_group(spark, monkeypatch):
     largest = 1_000  # one group holds at least so many
     assert meet > 6_000 and compared[0] > largest, "chance links chain the texts together"
     assert sum(compared) <= 2 * meet and sum(whole) <= simhash.DENSE * meet
+
+
+@pytest.mark.parametrize(("max_bucket", "blocks"), [(20_000, 1), (40, 4)])
+def test_groups_of_few_texts_are_not_dealt_to_buckets(spark, monkeypatch, max_bucket, blocks):
+    """A group of few texts is compared by all its fingerprints: no row for each table, and the pairs are those that the buckets give."""
+    texts = family(np.random.default_rng(7), 150, 2, 9)
+    fps = [simhash.fingerprint(t, 5, simhash.WIDE) for t in texts]
+    rows = [(i // 140, i, 146, *f) for i, f in enumerate(fps)] + [(2, 200 + i, 146, *f) for i, f in enumerate(fps[:30])]  # the last group is one part
+    members = spark.createDataFrame(rows, "group long, node long, n int, f0 long, f1 long, f2 long").cache()
+    parts = members.selectExpr("node", "CASE WHEN group = 2 THEN 200 WHEN node % 140 < 10 THEN node - node % 5 ELSE node END AS root").cache()
+    root = {r.node: r.root for r in parts.collect()}
+    want, counted = {}, {}
+    for a in range(len(fps)):
+        for b in range(a + 1, len(fps)):
+            differ = [x ^ y for x, y in zip(fps[a], fps[b], strict=True)]
+            d = sum(x.bit_count() for x in differ)
+            hit = [w for w, m in simhash.WIDE.masks if not differ[w] & m]
+            if a // 140 == b // 140 and root[a] != root[b] and d <= 22 and hit:
+                want[a, b] = d
+                counted[a // 140] = counted.get(a // 140, 0) + (hit[0] == 0)
+    assert len(want) > 1_000 and 0 < sum(counted.values()) < len(want)
+
+    def found(words):
+        return simhash.meetings(members, parts, simhash.WIDE, max_bucket, words)
+
+    def check():
+        named = found(None).mapInArrow(simhash.meeting_pairs(simhash.WIDE, 0.8, True), "a long, b long, d int").collect()
+        assert len(named) == len(want) and {(min(r.a, r.b), max(r.a, r.b)): r.d for r in named} == want
+        some = found(1).mapInArrow(simhash.meeting_pairs(simhash.WIDE, 0.8, False, 1), "group long, m long").groupBy("group").sum("m").collect()
+        assert {r[0]: r[1] for r in some} == {g: m for g, m in counted.items() if m}
+
+    check()
+    assert found(None).count() == found(1).count() == 140 * blocks + 11
+    monkeypatch.setattr(simhash, "FEW_TEXTS", 100)  # the larger group goes to its buckets
+    check()
+    assert found(None).count() > 10 * 140
