@@ -88,8 +88,11 @@ def qtable_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cameras(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Events of even and odd users are frames of the left and the right camera of one day; ``value`` is the angle."""
-    e = table(spark, sf_dir, "events").select(F.to_date("ts").cast("string").alias("day"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("ms"), F.col("event_id").alias("frame"), (F.col("user_id") % 2).alias("side"), F.pmod(F.col("value"), F.lit(360.0)).alias("angle"))
+    """Events of even and odd users are frames of the left and the right camera of one day; ``value`` is the angle.
+
+    The angle is rounded as the SQL rounds it, which adds 360 to all values: angles half a turn apart go the long way round by their last digit.
+    """
+    e = table(spark, sf_dir, "events").select(F.to_date("ts").cast("string").alias("day"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("ms"), F.col("event_id").alias("frame"), (F.col("user_id") % 2).alias("side"), ((F.col("value") % 360 + 360) % 360).alias("angle"))
     return e.where("side = 0").drop("side"), e.where("side = 1").drop("side")
 
 

@@ -1,5 +1,9 @@
 """Every registered query of the library against its SQL; those without SQL must give rows."""
 
+import datetime
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from riffle.plans import catalog
@@ -15,3 +19,12 @@ def test_query(spark, name):
         assert n and not extra and not missing, (extra, missing)
     else:
         assert catalog.QUERIES[name](spark, SF).count()
+
+
+def test_angles_half_a_turn_apart_go_the_way_of_the_sql(spark, tmp_path):
+    pairs = [(0.08, 180.08), (0.1, 540.1), (180.08, 0.08), (540.1, 0.1), (10.0, 190.0), (-0.1, 179.9), (3.2, 97.4)]
+    rows = [(datetime.datetime(2024, 1, day, 0, k, side), 2 * (20 * day + k) + side, side, v) for day in range(1, len(pairs) + 1) for k, pair in enumerate(pairs[:day]) for side, v in enumerate(pair)]
+    ts, frame, user, value = zip(*rows, strict=True)
+    pq.write_table(pa.table({"event_id": pa.array(frame), "ts": pa.array(ts, pa.timestamp("us")), "user_id": pa.array(user), "value": pa.array(value)}), tmp_path / "events.parquet")
+    n, extra, missing = same(spark, catalog.QUERIES["sync_statistics"], catalog.ORACLES["sync_statistics"], str(tmp_path))
+    assert n == len(pairs) and not extra and not missing, (extra, missing)
