@@ -156,9 +156,9 @@ def corners(points: DataFrame, by: str) -> DataFrame:
     return points.groupBy(by).agg(F.min_by(p, s).alias("tl"), F.min_by(p, d).alias("tr"), F.max_by(p, s).alias("br"), F.max_by(p, d).alias("bl"))
 
 
-def largest(df: DataFrame, by: str, area: str, least: float) -> DataFrame:
-    """The row of the largest area of each group, if that is above ``least``."""
-    best = df.where(F.col(area) > least).groupBy(by).agg(F.max_by(F.struct(*df.columns), area).alias("r"))
+def largest(df: DataFrame, by: str, area: str, least: float, place: tuple[str, ...] = ()) -> DataFrame:
+    """The row of the largest area of each group, if that is above ``least``; of equal areas the first by the columns of ``place``, which are left out."""
+    row = F.struct(*[c for c in df.columns if c not in place])
+    first = F.struct(~F.isnan(area), -F.col(area), *place)  # not a number is above all numbers
+    best = df.where(F.col(area) > least).groupBy(by).agg(F.min_by(row, first).alias("r"))
     return best.select("r.*")
-
-

@@ -138,7 +138,9 @@ def marker_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def largest_contour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sync.largest(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("area")), "l_orderkey", "area", 30_000.0)
+    """Of equal prices the first row of the table counts, as ``arg_max`` has it where it reads in order."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("area"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return sync.largest(rows, "l_orderkey", "area", 30_000.0, ("file", "row"))
 
 
 QUERIES = {f.__name__: f for f in (meta_encode, meta_edit, meta_parse, psi_with_meta, psi_edit, url_fields, rtsp_texts, codec_dim_join, qtable_scale, sync_pairs, sync_statistics, iqr_filter, clock_angles, recording_pairs, marker_corners, largest_contour)}
