@@ -8,8 +8,11 @@ follows the data and has no cap of its own. The distance r and the width are fit
 row is indexed. Candidates of all tables are ranked by their exact distance.
 
 Exact copies share one index entry for the smallest ids that can matter, as many as results are asked for and one more, so a
-vector that a third of the rows share is compared once. Buckets are dealt out in salted parts of about ``PART`` entries and
-streamed through tasks, which keep only the nearest few of each query that they meet. Queries that met fewer than asked for
+vector that a third of the rows share is compared once; queries of one vector are one search. The buckets to probe grow much
+faster than the rows where vectors have no clusters, so they are not listed: a query carries for each table how likely a bucket
+must be to be visited (``Hashing.reach``), and the tasks that hold buckets work out which queries visit them. Entries are dealt
+out by buckets, full ones in salted pieces, to parts, and once for each block of ``BLOCK`` queries; queries go to each part once,
+which makes no more rows than the entries. Tasks keep only the nearest few of each query. Queries that met fewer than asked for
 are compared with every entry.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
@@ -35,8 +38,12 @@ SAMPLE = 2_000
 TABLES, TARGET, SEED = 2, 0.97, 8
 #: Entries that a bucket holds on average, and entries of a bucket in one part.
 FILL, PART = 256, 512
-#: Candidates compared at a time, and queries whose nearest a task holds.
-CHUNK, HELD = 1_024, 20_000
+#: Parts up to which ``PART`` holds, entries of a part from there on, and queries of a block.
+PARTS, LARGE, BLOCK = 32, 65_536, 65_536
+#: Entries and queries compared at a time, and pairs whose exact distance waits to be ranked.
+CHUNK, SUB, PENDING = 512, 4_096, 100_000
+#: Draws by which the probability of a bucket to visit is found, and the least logarithm of one along an axis.
+DRAWS, LEAST = 1_024, -700.0
 
 
 def usable(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -103,6 +110,31 @@ class Hashing:
                 return home.astype(np.int64) + cells[: int(np.searchsorted(covered, self.each)) + 1]
             keep *= 4
 
+    def logs(self, low: np.ndarray) -> np.ndarray:
+        """Logarithm of the probability that a neighbour is in a step that begins ``low`` units of the width away, along one direction."""
+        at = low * (self.width / self.radius)
+        return np.log(np.maximum(_normal(at + self.width / self.radius) - _normal(at), math.exp(LEAST)))
+
+    def reach(self, position: np.ndarray) -> np.ndarray:
+        """Rows by tables: the least logarithm of a bucket's probability that a query visits.
+
+        The buckets above it, the likeliest ones, hold such a neighbour with the probability ``each``: so many of the neighbours
+        that are drawn fall into them. These are the buckets that ``probes`` lists.
+        """
+        far = max(1, math.ceil(5 * self.radius / self.width))
+        draws = np.random.default_rng(SEED).standard_normal((DRAWS, self.k)) * (self.radius / self.width)
+        out = np.zeros(position.shape[:2])
+        offset, axis = np.arange(-far, far + 1), np.arange(self.k)
+        rank = int((1 - self.each) * DRAWS)
+        for a in range(0, len(position), 64):
+            for t in range(position.shape[1]):
+                past = position[a : a + 64, t] - np.floor(position[a : a + 64, t])
+                mass = self.logs(offset - past[..., None])
+                cell = np.clip(np.floor(past[:, None] + draws), -far, far).astype(np.int64) + far
+                logs = mass[np.arange(len(past))[:, None, None], axis, cell].sum(axis=2)
+                out[a : a + 64, t] = np.partition(logs, rank, axis=1)[:, rank] - 1e-4
+        return out
+
 
 def _normal(x: np.ndarray) -> np.ndarray:
     """The Gaussian distribution function (Abramowitz and Stegun 26.2.17)."""
@@ -117,70 +149,119 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 class Nearest:
-    """The nearest ``n`` entries of each query met so far: squared distances, smallest ids and entries, in this order."""
-
-    def __init__(self, n: int):
-        self.n = n
-        self.of: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-
-    def meet(self, queries: np.ndarray, q: np.ndarray, entries: np.ndarray, least: np.ndarray, x: np.ndarray) -> None:
-        """Compares all queries of a bucket with some of its entries. Exact distances are taken wherever fast ones could decide wrongly."""
-        q2, x2 = (q**2).sum(1), (x**2).sum(1)
-        fast = q2[:, None] + x2 - 2 * (q @ x.T)
-        slack = 1e-9 * (q2 + x2.max())
-        for i, query in enumerate(queries.tolist()):
-            known = self.of.get(query)
-            row = fast[i]
-            most = np.partition(row, self.n - 1)[self.n - 1] if len(row) > self.n else np.inf
-            if known is not None and len(known[0]) >= self.n:
-                most = min(most, known[0][-1])
-            near = np.flatnonzero(row <= most + slack[i])
-            if not len(near):
+    """The nearest ``n`` entries of each query of a block met so far: squared distances, smallest ids and entries, in this order."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, reach: np.ndarray, model: Hashing, n: int):
+        self.ids, self.q, self.model, self.n = ids, q, model, n
+        self.at = np.concatenate([model.steps(q[a : a + SUB].astype(float)) for a in range(0, len(q), SUB)])
+        self.limit = reach.T.astype(np.float32)
+        self.d = np.full((len(q), n), np.inf)
+        self.low, self.entry = np.zeros((len(q), n), np.int64), np.full((len(q), n), -1)
+        self.logs: dict[tuple[int, int, int, int], np.ndarray] = {}
+        self.pending: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
+
+    def axis(self, t: int, axis: int, cells: np.ndarray, a: int) -> np.ndarray:
+        """Steps by some queries: the logarithms of ``Hashing.logs``. Some thousand steps are kept."""
+        if len(self.logs) > 4_000:
+            self.logs = {}
+        for c in cells.tolist():
+            if (t, axis, c, a) not in self.logs:
+                self.logs[t, axis, c, a] = self.model.logs(c - self.at[a : a + SUB, t, axis]).astype(np.float32)
+        return np.stack([self.logs[t, axis, c, a] for c in cells.tolist()])
+
+    def meet(self, t: int, entries: np.ndarray, least: np.ndarray, x: np.ndarray) -> None:
+        """Compares some entries with the queries that visit their buckets. Exact distances are taken wherever fast ones could decide wrongly."""
+        cells = np.floor((x @ self.model.directions[t].T + self.model.shift[t]) / self.model.width).astype(np.int64)
+        buckets, of = np.unique(cells, axis=0, return_inverse=True)
+        of = of.ravel()
+        axes = [np.unique(column, return_inverse=True) for column in buckets.T]
+        x2 = (x**2).sum(1)
+        wide = np.concatenate([-2 * x, x2[:, None], np.ones((len(x), 1))], axis=1)
+        short = wide.astype(np.float32) if x2.max() < 1e30 else None
+        for a in range(0, len(self.q), SUB):
+            logs = np.zeros((len(buckets), min(SUB, len(self.q) - a)), np.float32)
+            for k, (values, inverse) in enumerate(axes):
+                logs += self.axis(t, k, values, a)[inverse]
+            visits = logs >= self.limit[t, a : a + SUB]
+            some = np.flatnonzero(visits.any(axis=0))
+            if not len(some):
                 continue
-            d, low, e = ((x[near] - q[i]) ** 2).sum(axis=1), least[near], entries[near]
-            if known is not None:
-                d, low, e = (np.concatenate(both) for both in zip(known, (d, low, e), strict=True))
-            e, first = np.unique(e, return_index=True)
-            d, low = d[first], low[first]
-            order = np.lexsort((e, low, d))[: self.n]
-            self.of[query] = d[order], low[order], e[order]
-
-    def flush(self) -> pa.RecordBatch:
-        n = [len(x[0]) for x in self.of.values()]
-        ids = np.repeat(np.fromiter(self.of, np.int64, len(n)), n)
-        d, low, e = (np.concatenate([x[k] for x in self.of.values()]) if n else np.zeros(0, t) for k, t in enumerate((float, np.int64, np.int64)))
-        self.of = {}
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(e), pa.array(low), pa.array(d)], names=["query", "entry", "least", "d2"])
-
-
-def search(nearest: int):
-    """Reads (t, key, part, block, is_entry, id, least, v) sorted by bucket, queries before entries; gives the nearest entries of each query."""
+            visits = visits[:, some][of]
+            q = self.q[a + some].astype(float)
+            q2 = (q**2).sum(1)
+            tall = np.concatenate([q, np.ones((len(q), 1)), q2[:, None]], axis=1)
+            scale = q2 + x2.max()
+            if short is not None and 1e-20 < scale.min() and scale.max() < 1e30:  # single precision rules out most pairs
+                fast, slack = short @ tall.astype(np.float32).T, 5e-7 * tall.shape[1] * scale
+            else:
+                fast, slack = wide @ tall.T, 1e-9 * scale
+            most = self.d[a + some, -1]
+            if len(new := np.flatnonzero(np.isinf(most))) and len(x) > self.n:
+                most[new] = np.partition(np.where(visits[:, new], fast[:, new], np.inf), self.n - 1, axis=0)[self.n - 1]
+            e, i = np.divmod(np.flatnonzero((fast <= (most + slack).astype(fast.dtype)) & visits), len(some))
+            for b in range(0, len(e), PENDING):
+                near, to = e[b : b + PENDING], i[b : b + PENDING]
+                d = ((x[near] - q[to]) ** 2).sum(axis=1)
+                self.pending.append((a + some[to], d, least[near], entries[near]))
+                self.waiting += len(d)
+                if self.waiting >= PENDING:
+                    self.rank()
+
+    def rank(self) -> None:
+        if not self.pending:
+            return
+        row, d, low, e = (np.concatenate(x) for x in zip(*self.pending, strict=True))
+        self.pending, self.waiting = [], 0
+        rows = np.unique(row)
+        known = self.entry[rows] >= 0
+        d, low, e = (np.concatenate([old[rows][known], new]) for old, new in ((self.d, d), (self.low, low), (self.entry, e)))
+        row = np.concatenate([np.repeat(rows, self.n).reshape(known.shape)[known], row])
+        order = np.lexsort((e, low, d, row))
+        row, d, low, e = row[order], d[order], low[order], e[order]
+        first = np.concatenate(([True], (row[1:] != row[:-1]) | (e[1:] != e[:-1])))  # an entry's distance is the same whenever it is met
+        row, d, low, e = row[first], d[first], low[first], e[first]
+        begin = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        place = np.arange(len(row)) - np.repeat(begin, np.diff(np.append(begin, len(row))))
+        keep = place < self.n
+        row, place = row[keep], place[keep]
+        self.d[row, place], self.low[row, place], self.entry[row, place] = d[keep], low[keep], e[keep]
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        self.rank()
+        for a in range(0, len(self.q), SUB):
+            row, place = np.nonzero(self.entry[a : a + SUB] >= 0)
+            columns = self.ids[a + row], self.entry[a + row, place], self.low[a + row, place], self.d[a + row, place]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "entry", "least", "d2"])
+
+
+def search(nearest: int, model: Hashing):
+    """Reads (part, block, is_entry, t, key, id, least, reach, v) sorted in this order, queries before entries; gives the nearest entries of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, bucket = Nearest(nearest), None
-        ids: list[np.ndarray] = []
-        q: list[np.ndarray] = []
+        best, group = None, None
+        asked: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            head = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], axis=1)
-            row_id, least, v = batch.column(5).to_numpy(), batch.column(6).to_numpy(), _matrix(batch.column(7))
+            head = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
+            row_id, least, v = batch.column(5).to_numpy(), batch.column(6).to_numpy(), _matrix(batch.column(8))
             at = np.flatnonzero(np.concatenate(([True], (head[1:] != head[:-1]).any(axis=1), [True])))
             for a, b in zip(at, at[1:], strict=False):
-                if bucket is None or (head[a, :4] != bucket).any():
-                    bucket, ids, q = head[a, :4].copy(), [], []
-                if not head[a, 4]:
-                    ids.append(row_id[a:b])
-                    q.append(v[a:b])
-                elif ids:
-                    if len(ids) > 1:
-                        ids, q = [np.concatenate(ids)], [np.concatenate(q)]
+                if group is None or (head[a, :2] != group).any():
+                    if best:
+                        yield from best.found()
+                    best, group, asked = None, head[a, :2].copy(), []
+                if not head[a, 2]:
+                    asked.append((row_id[a:b], v[a:b], _matrix(batch.column(7).slice(a, b - a))))
+                elif asked or best:
+                    if asked:
+                        best, asked = Nearest(*(np.concatenate(x) for x in zip(*asked, strict=True)), model, nearest), []
                     for c in range(a, b, CHUNK):
                         end = min(b, c + CHUNK)
-                        best.meet(ids[0], q[0], row_id[c:end], least[c:end], v[c:end])
-            if len(best.of) > HELD:
-                yield best.flush()
-        yield best.flush()
+                        best.meet(int(head[a, 3]), row_id[c:end], least[c:end], v[c:end].astype(float))
+        if best:
+            yield from best.found()
 
     return run
 
@@ -194,76 +275,89 @@ def copies(one: DataFrame, nearest: int) -> DataFrame:
 
 def nearest_neighbours(rows: DataFrame, query: Column, nearest: int = 10, tables: int = TABLES, target: float = TARGET, fill: int = FILL, part: int = PART) -> DataFrame:
     """``query_id, rank, vec_id, score``: the nearest found of all ``rows`` (vec_id, embedding) for those that meet ``query`` (a condition on vec_id)."""
-    base = usable(rows).select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(SEED), "v").alias("h2"))
-    base = cut(base.dropDuplicates(["vec_id", "h1", "h2"]))
-    lengths = base.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    base = usable(rows).withColumn("n", F.size("v")).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(SEED), "v"))
+    if dict(rows.dtypes)["embedding"] == "array<float>":
+        base = base.withColumn("v", F.col("v").cast("array<float>"))  # loses nothing, and half the bytes are moved
+    seen = cut(base.select("vec_id", "n", "h1", "h2").distinct())  # vectors are read again where they are needed, each kept once
+    lengths = seen.groupBy("n").count().orderBy(F.desc("count"), "n").first()
     dim = lengths.n if lengths else 1
-    base = base.where(F.size("v") == dim)
-    entries = copies(base.select("vec_id", "h1", "h2"), nearest).select("h1", "h2", "ids", F.element_at("ids", 1).alias("vec_id"))
-    entries = entries.join(base, ["vec_id", "h1", "h2"]).select("h1", "h2", F.col("vec_id").alias("least"), "ids", "v")
-    entries = cut(entries.withColumn("entry", F.monotonically_increasing_id()))
-    queries = base.where(query).join(entries.select("h1", "h2", F.col("entry").alias("own")), ["h1", "h2"])
+    base, seen = base.where(F.col("n") == dim), seen.where(F.col("n") == dim)
+    entries = base.groupBy("h1", "h2").agg(F.first("v").alias("v")).join(copies(seen, nearest), ["h1", "h2"])
+    entries = cut(entries.select("h1", "h2", F.element_at("ids", 1).alias("least"), "ids", "v", F.monotonically_increasing_id().alias("entry")))
+    queries = base.where(query).dropDuplicates(["vec_id", "h1", "h2"]).join(entries.select("h1", "h2", F.col("entry").alias("own")), ["h1", "h2"])
     queries = cut(queries.select("vec_id", "own", "v").withColumn("query", F.monotonically_increasing_id()))
 
     sample = entries.select("least", "h1", "v").orderBy(F.xxhash64("least", "h1"), "least", "h1").limit(SAMPLE).toPandas()
-    model = Hashing(np.array(sample["v"].tolist(), float).reshape(-1, dim), entries.count(), nearest, tables, target, fill)
+    total = entries.count()
+    model = Hashing(np.array(sample["v"].tolist(), float).reshape(-1, dim), total, nearest, tables, target, fill)
 
     @F.pandas_udf("array<bigint>")
     def keys(v):
         import pandas as pd
 
-        x = np.stack(v.to_list()) if len(v) else np.zeros((0, dim))
+        x = np.stack(v.to_list()).astype(float) if len(v) else np.zeros((0, dim))
         return pd.Series(list(model.key(np.floor(model.steps(x)))))
 
-    @F.pandas_udf("array<struct<t:int,key:bigint>>")
-    def visits(v):
+    @F.pandas_udf("array<double>")
+    def reach(v):
         import pandas as pd
 
-        at = model.steps(np.stack(v.to_list())) if len(v) else []
-        return pd.Series([[{"t": t, "key": k} for t in range(tables) for k in model.key(model.probes(x[t])).tolist()] for x in at])
-
-    index = cut(entries.select("entry", F.posexplode(keys("v")).alias("t", "key")))
-    probes = cut(queries.select("query", F.explode(visits("v")).alias("p")).select("query", "p.t", "p.key"))
-    count = lambda df, name: df.groupBy("t", "key").agg(F.ceil(F.count("*") / part).cast("int").alias(name))
-    parts = cut(count(index, "parts").join(count(probes, "blocks"), ["t", "key"]))
-    of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    entry = [F.lit(1).alias("is_entry"), F.col("entry").alias("id"), "least", "v"]
-    asked = [F.lit(0).alias("is_entry"), F.col("query").alias("id"), F.lit(0).cast("long").alias("least"), "v"]
-    here = index.join(parts, ["t", "key"]).withColumn("part", of("entry", "parts")).withColumn("block", each("blocks"))
-    here = here.join(entries.select("entry", "least", "v"), "entry").select("t", "key", "part", "block", *entry)
-    there = probes.join(parts, ["t", "key"]).withColumn("block", of("query", "blocks")).withColumn("part", each("parts"))
-    there = there.join(queries.select("query", "v"), "query").select("t", "key", "part", "block", *asked)
-    out = cut(ranked(here.unionByName(there), entries, queries, nearest))
-
-    # queries that met too few: compared with every entry, in blocks of both
-    least = min(nearest, base.count() - 1)
-    short = queries.join(out.groupBy("query").agg(F.count("*").alias("n")), "query", "left").where(F.coalesce("n", F.lit(0)) < least)
-    short = cut(short.select("query", "v"))
+        return pd.Series(list(model.reach(model.steps(np.stack(v.to_list()).astype(float)))) if len(v) else [], dtype=object)
+
+    asked = cut(queries.dropDuplicates(["own"]).select(F.col("own").alias("query"), "v", reach("v").alias("reach")))
+    rows_of = entries.select("entry", "least", "v", F.posexplode(keys("v")).alias("t", "key"))
+    found = cut(ranked(dealt(rows_of, tables * total, asked, part), entries, nearest, model))
     columns = ["query_id", "rank", "vec_id", "score"]
-    if not (n := short.count()):
+    out = cut(answers(found, queries, nearest))
+
+    # queries that met too few: compared with every entry
+    least = min(nearest, seen.count() - 1)
+    short = queries.join(out.groupBy("query").agg(F.count("*").alias("n")), "query", "left").where(F.coalesce("n", F.lit(0)) < least)
+    short = cut(short.select("query", "own", "vec_id", "v"))
+    if not short.count():
         return out.select(*columns)
-    parts, blocks = math.ceil(entries.count() / part), math.ceil(n / part)
-    pick = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    place = [F.lit(0).alias("t"), F.lit(0).cast("long").alias("key"), "part", "block"]
-    here = entries.withColumn("part", pick("entry", parts)).withColumn("block", every(blocks)).select(*place, *entry)
-    there = short.withColumn("block", pick("query", blocks)).withColumn("part", every(parts)).select(*place, *asked)
-    whole = ranked(here.unionByName(there), entries, queries, nearest)
+    asked = cut(short.dropDuplicates(["own"]).select(F.col("own").alias("query"), "v", F.array_repeat(F.lit(float("-inf")), tables).alias("reach")))
+    rows_of = entries.select("entry", "least", "v", F.lit(0).alias("t"), F.col("entry").alias("key"))
+    whole = answers(ranked(dealt(rows_of, total, asked, part), entries, nearest, model), short, nearest)
     return out.join(short.select("query"), "query", "left_anti").unionByName(whole).select(*columns)
 
 
-def ranked(rows: DataFrame, entries: DataFrame, queries: DataFrame, nearest: int) -> DataFrame:
-    """``query, query_id, rank, vec_id, score`` from queries and entries dealt to (t, key, part, block)."""
-    dealt = rows.repartition("t", "key", "part", "block").sortWithinPartitions("t", "key", "part", "block", "is_entry")
-    found = dealt.mapInArrow(search(nearest + 1), "query long, entry long, least long, d2 double").distinct()
+def dealt(rows: DataFrame, n: int, asked: DataFrame, part: int) -> DataFrame:
+    """``part, block, is_entry, t, key, id, least, reach, v`` of ``n`` entries (entry, least, v, t, key) and of queries (query, v, reach).
+
+    Entries go to parts by their bucket. Buckets that would fill much of a part are dealt out in pieces: these are counted, and
+    there are sixteen for each part at most.
+    """
+    queries = asked.count()
+    blocks = math.ceil(queries / BLOCK) or 1
+    parts = max(1, min(math.ceil(n / part), max(PARTS, math.ceil(n / LARGE)), math.ceil(n * blocks / max(1, queries))))
+    piece = max(part, math.ceil(n / parts / 16))
+    full = cut(rows.groupBy("t", "key").agg(F.ceil(F.count("*") / piece).alias("pieces")).where("pieces > 1"))
+    pick = lambda n, *c: F.pmod(F.xxhash64(*c), n if isinstance(n, Column) else F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    here = rows.join(F.broadcast(full), ["t", "key"], "left").withColumn("piece", pick(F.coalesce("pieces", F.lit(1).cast("long")), "entry"))
+    here = here.select(pick(parts, "t", "key", "piece").cast("int").alias("part"), every(blocks).alias("block"), F.lit(1).alias("is_entry"), "t", "key", F.col("entry").alias("id"), "least", F.lit(None).cast("array<double>").alias("reach"), "v")
+    there = asked.select(every(parts).alias("part"), pick(blocks, "query").cast("int").alias("block"), F.lit(0).alias("is_entry"), F.lit(0).alias("t"), F.lit(0).cast("long").alias("key"), F.col("query").alias("id"), F.lit(0).cast("long").alias("least"), "reach", "v")
+    return here.unionByName(there)
+
+
+def ranked(rows: DataFrame, entries: DataFrame, nearest: int, model: Hashing) -> DataFrame:
+    """``own, entry, vec_id, score`` from dealt entries and queries (entries themselves): the nearest rows of each query, its own among them."""
+    rows = rows.repartition("part", "block").sortWithinPartitions("part", "block", "is_entry", "t", "key")
+    found = rows.mapInArrow(search(nearest + 1, model), "query long, entry long, least long, d2 double").distinct()
     first = Window.partitionBy("query").orderBy("d2", "least", "entry")
-    found = found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= nearest + 1).select("query", "entry", "d2")
-    found = found.join(entries.select("entry", "ids"), "entry").join(queries.select("query", F.col("vec_id").alias("query_id"), "own"), "query")
-    found = found.select("query", "query_id", "entry", "own", F.explode("ids").alias("vec_id"), F.sqrt("d2").alias("score"))
-    found = found.where((F.col("vec_id") != F.col("query_id")) | (F.col("entry") != F.col("own")))  # all but the query's own row
+    found = found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= nearest + 1).select(F.col("query").alias("own"), "entry", "d2")
+    found = found.join(entries.select("entry", "ids"), "entry").select("own", "entry", F.explode("ids").alias("vec_id"), F.sqrt("d2").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("own").orderBy("score", "vec_id", "entry"))
+    return found.withColumn("n", rank).where(F.col("n") <= nearest + 1).drop("n")
+
+
+def answers(found: DataFrame, queries: DataFrame, nearest: int) -> DataFrame:
+    """``query, query_id, rank, vec_id, score``: the nearest rows of each query's vector, without the query's own row."""
+    rows = queries.select("query", F.col("vec_id").alias("query_id"), "own").join(found, "own")
+    rows = rows.where((F.col("vec_id") != F.col("query_id")) | (F.col("entry") != F.col("own")))
     rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id", "entry"))
-    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= nearest).select("query", "query_id", "rank", "vec_id", "score")
+    return rows.withColumn("rank", rank.cast("int")).where(F.col("rank") <= nearest).select("query", "query_id", "rank", "vec_id", "score")
 
 
 def op8_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

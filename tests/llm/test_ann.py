@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riffle.llm import ann
 from riffle.llm.ann import Hashing, nearest_neighbours, op8_multiprobe_neighbours
 from tests.oracle import duck
 
@@ -103,3 +104,49 @@ def test_a_row_repeated_very_often(spark):
     rest = spark.range(2_000).selectExpr("id + 100 AS vec_id", "array(CAST(id % 40 AS double), CAST(id div 40 + 3 AS double)) AS embedding")
     got = nearest_neighbours(many.unionByName(rest), F.col("vec_id") % 1000 == 0).collect()
     assert {r.query_id for r in got} == {1000, 2000} and len(got) == 20
+
+
+@pytest.mark.parametrize("block", [65_536, 64])
+def test_rows_dealt_do_not_grow_with_the_buckets_to_probe(spark, monkeypatch, block):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3_000, 16))
+    x /= np.sqrt((x**2).sum(axis=1))[:, None]
+    docs = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    rows = []
+    plain = ann.ranked
+
+    def counted(dealt, *rest):
+        rows.append(dealt.count())
+        return plain(dealt, *rest)
+
+    monkeypatch.setattr(ann, "ranked", counted)
+    monkeypatch.setattr(ann, "BLOCK", block, raising=False)
+    got = nearest_neighbours(docs, F.col("vec_id") % 20 == 0, fill=2, part=100).collect()
+    blocks = -(-150 // block)
+    assert len(rows) == 1 and rows[0] <= 2 * 2 * 3_000 * blocks + 150
+    queries = list(range(0, 3_000, 20))
+    assert recall(got, slow(list(range(3_000)), x, queries)) >= 0.9
+    assert len(got) == 1_500
+
+
+def test_reach_is_the_least_probability_of_the_probes():
+    x = np.random.default_rng(0).standard_normal((500, 8))
+    model = Hashing(x, 5000, 10)
+    at = model.steps(x[:40])
+    reach = model.reach(at)
+    for i in range(40):
+        for t in range(2):
+            cells = model.probes(at[i, t])
+            logs = model.logs(cells - at[i, t]).sum(axis=1)
+            assert np.exp(logs[logs >= reach[i, t]]).sum() >= model.each - 0.05
+            assert np.exp(logs[logs < reach[i, t]]).sum() <= 0.05
+
+
+@pytest.mark.parametrize("power", [70, -70])
+def test_scale_changes_no_neighbour(spark, power):
+    x = np.random.default_rng(6).standard_normal((400, 24)).astype(np.float32).astype(float)
+    lists = []
+    for scale, kind in ((1.0, "float"), (1.0, "double"), (2.0**power, "double")):
+        docs = spark.createDataFrame(list(enumerate((x * scale).tolist())), f"vec_id long, embedding array<{kind}>")
+        lists.append(sorted((r.query_id, r["rank"], r.vec_id, r.score / scale) for r in nearest_neighbours(docs, F.col("vec_id") % 10 == 0, fill=16).collect()))
+    assert len(lists[0]) == 400 and lists[0] == lists[1] == lists[2]
