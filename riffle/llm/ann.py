@@ -11,7 +11,7 @@ Exact copies share one index entry for the smallest ids that can matter, as many
 vector that a third of the rows share is compared once; queries of one vector are one search. The buckets to probe grow much
 faster than the rows where vectors have no clusters, so they are not listed: a query carries for each table how likely a bucket
 must be to be visited (``Hashing.reach``), and the tasks that hold buckets work out which queries visit them. Entries are dealt
-out by buckets, full ones in salted pieces, to parts, and once for each block of ``BLOCK`` queries; queries go to each part once,
+out by their buckets in one table, full ones in salted pieces, to parts, and once for each block of ``BLOCK`` queries; queries go to each part once,
 which makes no more rows than the entries. Tasks keep only the nearest few of each query. Queries that met fewer than asked for
 are compared with every entry.
 
@@ -39,9 +39,9 @@ TABLES, TARGET, SEED = 2, 0.97, 8
 #: Entries that a bucket holds on average, and entries of a bucket in one part.
 FILL, PART = 256, 512
 #: Parts up to which ``PART`` holds, entries of a part from there on, and queries of a block.
-PARTS, LARGE, BLOCK = 32, 65_536, 65_536
+PARTS, LARGE, BLOCK = 32, 262_144, 65_536
 #: Entries and queries compared at a time, and pairs whose exact distance waits to be ranked.
-CHUNK, SUB, PENDING = 512, 4_096, 100_000
+CHUNK, SUB, PENDING = 512, 1_024, 100_000
 #: Draws by which the probability of a bucket to visit is found, and the least logarithm of one along an axis.
 DRAWS, LEAST = 1_024, -700.0
 
@@ -162,32 +162,48 @@ class Nearest:
         self.waiting = 0
 
     def axis(self, t: int, axis: int, cells: np.ndarray, a: int) -> np.ndarray:
-        """Steps by some queries: the logarithms of ``Hashing.logs``. Some thousand steps are kept."""
-        if len(self.logs) > 4_000:
+        """Steps by some queries: the logarithms of ``Hashing.logs``. A bounded number is kept."""
+        if len(self.logs) > 16_000:
             self.logs = {}
         for c in cells.tolist():
             if (t, axis, c, a) not in self.logs:
                 self.logs[t, axis, c, a] = self.model.logs(c - self.at[a : a + SUB, t, axis]).astype(np.float32)
         return np.stack([self.logs[t, axis, c, a] for c in cells.tolist()])
 
-    def meet(self, t: int, entries: np.ndarray, least: np.ndarray, x: np.ndarray) -> None:
-        """Compares some entries with the queries that visit their buckets. Exact distances are taken wherever fast ones could decide wrongly."""
+    def sums(self, t: int, x: np.ndarray) -> tuple[list, np.ndarray]:
+        """How to add up the logarithms of entries over the axes: what is common to several entries is added once. Axes, then sums of two earlier ones."""
         cells = np.floor((x @ self.model.directions[t].T + self.model.shift[t]) / self.model.width).astype(np.int64)
-        buckets, of = np.unique(cells, axis=0, return_inverse=True)
-        of = of.ravel()
-        axes = [np.unique(column, return_inverse=True) for column in buckets.T]
+        steps: list = [np.unique(column, return_inverse=True) for column in cells.T]
+        nodes = [(k, len(values), of) for k, (values, of) in enumerate(steps)]
+        steps = [values for values, _ in steps]
+        while len(nodes) > 1:
+            (left, _, i), (right, n, j) = nodes[:2]
+            pairs, of = np.unique(i * n + j, return_inverse=True)
+            steps.append((left, pairs // n, right, pairs % n))
+            nodes = [*nodes[2:], (len(steps) - 1, len(pairs), of)]
+        return steps, nodes[0][2]
+
+    def visits(self, t: int, steps: list, a: int) -> np.ndarray:
+        """Buckets of the entries by some queries: which are visited."""
+        made: list[np.ndarray] = []
+        for k, step in enumerate(steps):
+            made.append(self.axis(t, k, step, a) if k < self.model.k else made[step[0]][step[1]] + made[step[2]][step[3]])
+        return made[-1] >= self.limit[t, a : a + SUB]
+
+    def meet(self, entries: np.ndarray, least: np.ndarray, x: np.ndarray) -> None:
+        """Compares some entries with the queries that visit one of their buckets. Exact distances are taken wherever fast ones could decide wrongly."""
+        tables = [self.sums(t, x) for t in range(len(self.limit))]
         x2 = (x**2).sum(1)
         wide = np.concatenate([-2 * x, x2[:, None], np.ones((len(x), 1))], axis=1)
         short = wide.astype(np.float32) if x2.max() < 1e30 else None
         for a in range(0, len(self.q), SUB):
-            logs = np.zeros((len(buckets), min(SUB, len(self.q) - a)), np.float32)
-            for k, (values, inverse) in enumerate(axes):
-                logs += self.axis(t, k, values, a)[inverse]
-            visits = logs >= self.limit[t, a : a + SUB]
+            visits = np.zeros((len(x), min(SUB, len(self.q) - a)), bool)
+            for t, (steps, of) in enumerate(tables):
+                visits |= self.visits(t, steps, a)[of]
             some = np.flatnonzero(visits.any(axis=0))
             if not len(some):
                 continue
-            visits = visits[:, some][of]
+            visits = visits if len(some) == visits.shape[1] else visits[:, some]
             q = self.q[a + some].astype(float)
             q2 = (q**2).sum(1)
             tall = np.concatenate([q, np.ones((len(q), 1)), q2[:, None]], axis=1)
@@ -236,7 +252,7 @@ class Nearest:
 
 
 def search(nearest: int, model: Hashing):
-    """Reads (part, block, is_entry, t, key, id, least, reach, v) sorted in this order, queries before entries; gives the nearest entries of each query."""
+    """Reads (part, block, is_entry, key, id, least, reach, v) sorted in this order, queries before entries; gives the nearest entries of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, group = None, None
@@ -244,8 +260,8 @@ def search(nearest: int, model: Hashing):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            head = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
-            row_id, least, v = batch.column(5).to_numpy(), batch.column(6).to_numpy(), _matrix(batch.column(8))
+            head = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
+            row_id, least, v = batch.column(4).to_numpy(), batch.column(5).to_numpy(), _matrix(batch.column(7))
             at = np.flatnonzero(np.concatenate(([True], (head[1:] != head[:-1]).any(axis=1), [True])))
             for a, b in zip(at, at[1:], strict=False):
                 if group is None or (head[a, :2] != group).any():
@@ -253,13 +269,13 @@ def search(nearest: int, model: Hashing):
                         yield from best.found()
                     best, group, asked = None, head[a, :2].copy(), []
                 if not head[a, 2]:
-                    asked.append((row_id[a:b], v[a:b], _matrix(batch.column(7).slice(a, b - a))))
+                    asked.append((row_id[a:b], v[a:b], _matrix(batch.column(6).slice(a, b - a))))
                 elif asked or best:
                     if asked:
                         best, asked = Nearest(*(np.concatenate(x) for x in zip(*asked, strict=True)), model, nearest), []
                     for c in range(a, b, CHUNK):
                         end = min(b, c + CHUNK)
-                        best.meet(int(head[a, 3]), row_id[c:end], least[c:end], v[c:end].astype(float))
+                        best.meet(row_id[c:end], least[c:end], v[c:end].astype(float))
         if best:
             yield from best.found()
 
@@ -291,12 +307,12 @@ def nearest_neighbours(rows: DataFrame, query: Column, nearest: int = 10, tables
     total = entries.count()
     model = Hashing(np.array(sample["v"].tolist(), float).reshape(-1, dim), total, nearest, tables, target, fill)
 
-    @F.pandas_udf("array<bigint>")
-    def keys(v):
+    @F.pandas_udf("bigint")
+    def key(v):
         import pandas as pd
 
         x = np.stack(v.to_list()).astype(float) if len(v) else np.zeros((0, dim))
-        return pd.Series(list(model.key(np.floor(model.steps(x)))))
+        return pd.Series(model.key(np.floor(model.steps(x))[:, 0]))
 
     @F.pandas_udf("array<double>")
     def reach(v):
@@ -305,8 +321,7 @@ def nearest_neighbours(rows: DataFrame, query: Column, nearest: int = 10, tables
         return pd.Series(list(model.reach(model.steps(np.stack(v.to_list()).astype(float)))) if len(v) else [], dtype=object)
 
     asked = cut(queries.dropDuplicates(["own"]).select(F.col("own").alias("query"), "v", reach("v").alias("reach")))
-    rows_of = entries.select("entry", "least", "v", F.posexplode(keys("v")).alias("t", "key"))
-    found = cut(ranked(dealt(rows_of, tables * total, asked, part), entries, nearest, model))
+    found = cut(ranked(dealt(entries.select("entry", "least", "v", key("v").alias("key")), total, asked, part), entries, nearest, model))
     columns = ["query_id", "rank", "vec_id", "score"]
     out = cut(answers(found, queries, nearest))
 
@@ -317,33 +332,32 @@ def nearest_neighbours(rows: DataFrame, query: Column, nearest: int = 10, tables
     if not short.count():
         return out.select(*columns)
     asked = cut(short.dropDuplicates(["own"]).select(F.col("own").alias("query"), "v", F.array_repeat(F.lit(float("-inf")), tables).alias("reach")))
-    rows_of = entries.select("entry", "least", "v", F.lit(0).alias("t"), F.col("entry").alias("key"))
-    whole = answers(ranked(dealt(rows_of, total, asked, part), entries, nearest, model), short, nearest)
+    whole = answers(ranked(dealt(entries.select("entry", "least", "v", F.col("entry").alias("key")), total, asked, part), entries, nearest, model), short, nearest)
     return out.join(short.select("query"), "query", "left_anti").unionByName(whole).select(*columns)
 
 
 def dealt(rows: DataFrame, n: int, asked: DataFrame, part: int) -> DataFrame:
-    """``part, block, is_entry, t, key, id, least, reach, v`` of ``n`` entries (entry, least, v, t, key) and of queries (query, v, reach).
+    """``part, block, is_entry, key, id, least, reach, v`` of ``n`` entries (entry, least, v, key) and of queries (query, v, reach).
 
-    Entries go to parts by their bucket. Buckets that would fill much of a part are dealt out in pieces: these are counted, and
+    Entries go to parts by their bucket in the first table, and the tasks find those of the other tables. Buckets that would fill much of a part are dealt out in pieces: these are counted, and
     there are sixteen for each part at most.
     """
     queries = asked.count()
     blocks = math.ceil(queries / BLOCK) or 1
     parts = max(1, min(math.ceil(n / part), max(PARTS, math.ceil(n / LARGE)), math.ceil(n * blocks / max(1, queries))))
     piece = max(part, math.ceil(n / parts / 16))
-    full = cut(rows.groupBy("t", "key").agg(F.ceil(F.count("*") / piece).alias("pieces")).where("pieces > 1"))
+    full = cut(rows.groupBy("key").agg(F.ceil(F.count("*") / piece).alias("pieces")).where("pieces > 1"))
     pick = lambda n, *c: F.pmod(F.xxhash64(*c), n if isinstance(n, Column) else F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    here = rows.join(F.broadcast(full), ["t", "key"], "left").withColumn("piece", pick(F.coalesce("pieces", F.lit(1).cast("long")), "entry"))
-    here = here.select(pick(parts, "t", "key", "piece").cast("int").alias("part"), every(blocks).alias("block"), F.lit(1).alias("is_entry"), "t", "key", F.col("entry").alias("id"), "least", F.lit(None).cast("array<double>").alias("reach"), "v")
-    there = asked.select(every(parts).alias("part"), pick(blocks, "query").cast("int").alias("block"), F.lit(0).alias("is_entry"), F.lit(0).alias("t"), F.lit(0).cast("long").alias("key"), F.col("query").alias("id"), F.lit(0).cast("long").alias("least"), "reach", "v")
+    here = rows.join(F.broadcast(full), "key", "left").withColumn("piece", pick(F.coalesce("pieces", F.lit(1).cast("long")), "entry"))
+    here = here.select(pick(parts, "key", "piece").cast("int").alias("part"), every(blocks).alias("block"), F.lit(1).alias("is_entry"), "key", F.col("entry").alias("id"), "least", F.lit(None).cast("array<double>").alias("reach"), "v")
+    there = asked.select(every(parts).alias("part"), pick(blocks, "query").cast("int").alias("block"), F.lit(0).alias("is_entry"), F.lit(0).cast("long").alias("key"), F.col("query").alias("id"), F.lit(0).cast("long").alias("least"), "reach", "v")
     return here.unionByName(there)
 
 
 def ranked(rows: DataFrame, entries: DataFrame, nearest: int, model: Hashing) -> DataFrame:
     """``own, entry, vec_id, score`` from dealt entries and queries (entries themselves): the nearest rows of each query, its own among them."""
-    rows = rows.repartition("part", "block").sortWithinPartitions("part", "block", "is_entry", "t", "key")
+    rows = rows.repartition("part", "block").sortWithinPartitions("part", "block", "is_entry", "key")
     found = rows.mapInArrow(search(nearest + 1, model), "query long, entry long, least long, d2 double").distinct()
     first = Window.partitionBy("query").orderBy("d2", "least", "entry")
     found = found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= nearest + 1).select(F.col("query").alias("own"), "entry", "d2")
